@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, quality, simhash
+from . import mixing, packing, quality, simhash, substring
 
 QUERIES = {
     "op4_mix_sources": mixing.op4_mix_sources,
     "op5_simhash_near_dedup": simhash.op5_simhash_near_dedup,
+    "op8_substring_dedup": substring.op8_substring_dedup,
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
 }
 ORACLES = {
+    "op8_substring_dedup": substring.OP8_SQL,
     "op9_quality_rules": quality.OP9_SQL,
 }
