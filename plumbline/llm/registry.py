@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, quality, simhash, substring
+from . import mixing, packing, pii, quality, secrets, simhash, substring
 
 QUERIES = {
+    "op2_pii": pii.op2_pii,
+    "op3_secret_scan": secrets.op3_secret_scan,
     "op4_mix_sources": mixing.op4_mix_sources,
     "op5_simhash_near_dedup": simhash.op5_simhash_near_dedup,
     "op8_substring_dedup": substring.op8_substring_dedup,
