@@ -15,85 +15,137 @@ rows. A text over the capacity is cut into pieces, the last may be shorter; no p
 
 from __future__ import annotations
 
+import functools
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import read, saved
+from .wordcodes import word_codes
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: Characters tried as separators between words: each is one token on its own.
-MARKS = "¤§¶†‡•※¬"
+NAMES = ["doc_id", "piece", "start", "length", "ids_crc32"]
+TYPES = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+#: The vocabulary's own splitting, for words of these characters only: lower-casing is all that its normaliser does to them.
+PLAIN = re.compile(r"[!-~À-ÖØ-öø-įıĲ-ȹȻ-ȽȿɁ-ɏ]+")
+LETTERS = "a-zß-öø-ʯ"
+PARTS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^{LETTERS}0-9]+")
 
 
 class WordTokens:
-    """Token ids of texts, as little-endian unsigned 32-bit bytes. Holds at most ``keep`` words between batches."""
+    """Token ids of texts, for a vocabulary that marks where words end (``</w>``).
 
-    def __init__(self, path: str, keep: int = 400_000):
-        from tokenizers import Tokenizer
+    Each distinct word of a batch is split once: plain words into the vocabulary's parts, any other word is one part.
+    Parts, which many words share, are tokenised once and kept, about ``keep`` of them between batches; plain ones
+    with the merges alone, the others by the whole tokenizer. Ids are put together by index, not word by word.
+    """
+
+    def __init__(self, path: str, keep: int = 1_000_000):
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
+        self.merges = Tokenizer.from_file(path)
+        self.merges.normalizer = None
+        self.merges.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
+        self.ends[[i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if t.endswith("</w>")]] = True
         self.keep = keep
-        self.known: dict[bytes, bytes] = {}
-        self.mark, self.mark_id = next((m, e[0]) for m in MARKS if len(e := self.tokenizer.encode(m, add_special_tokens=False).ids) == 1)
-
-    def _alone(self, word: bytes) -> bytes:
-        ids = self.tokenizer.encode(word.decode("utf-8"), add_special_tokens=False).ids
-        return np.array(ids, dtype="<u4").tobytes()
-
-    def _learn(self, fresh: list[bytes], block: int = 4096) -> None:
-        mark = self.mark.encode()
-        plain = [w for w in fresh if mark not in w]
-        for w in set(fresh).difference(plain):
-            self.known[w] = self._alone(w)
-        glue = b" " + mark + b" "
-        for at in range(0, len(plain), block):
-            some = plain[at : at + block]
-            ids = np.array(self.tokenizer.encode(glue.join(some).decode("utf-8"), add_special_tokens=False).ids, dtype="<u4")
-            cuts = np.flatnonzero(ids == self.mark_id)
-            if len(cuts) != len(some) - 1:  # a word normalises to the mark
-                self.known.update((w, self._alone(w)) for w in some)
-                continue
-            raw = ids.tobytes()
-            begin, end = np.r_[0, cuts + 1] * 4, np.r_[cuts, len(ids)] * 4
-            self.known.update((w, raw[a:b]) for w, a, b in zip(some, begin.tolist(), end.tolist()))
-
-    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
-        split = [(t or "").encode("utf-8", "replace").split() for t in texts]
-        if len(self.known) > self.keep:
-            self.known.clear()
-        fresh = set().union(*split).difference(self.known)
-        self._learn(list(fresh))
-        get = self.known.__getitem__
-        for ws in split:
-            yield b"".join(map(get, ws))
+        self.forget()
+
+    def forget(self) -> None:
+        self.at: dict[str, int] = {}
+        self.size = np.zeros(0, np.int64)
+        self.flat = np.zeros(0, "<u4")
+
+    def _alone(self, word: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4")
+
+    def _learn(self, fresh: list[str], odd: list[str], block: int = 1024) -> None:
+        """fresh: parts of plain words; odd: words with a leading NUL, for the whole tokenizer."""
+        sizes, ids = [self.size], [self.flat]
+        for k in range(0, len(fresh), block):
+            some = fresh[k : k + block]
+            got = np.array(self.merges.encode(" ".join(some), add_special_tokens=False).ids, dtype="<u4")
+            cuts = np.flatnonzero(self.ends[got]) + 1
+            if len(cuts) != len(some):
+                each = [self._alone(w) for w in some]
+                got, cuts = np.concatenate(each), np.cumsum([len(x) for x in each])
+            sizes.append(np.diff(cuts, prepend=0))
+            ids.append(got)
+        for word in odd:
+            ids.append(self._alone(word[1:]))
+            sizes.append(np.array([len(ids[-1])]))
+        first = len(self.size)
+        self.at.update(zip([*fresh, *odd], range(first, first + len(fresh) + len(odd))))
+        self.size, self.flat = np.concatenate(sizes), np.concatenate(ids)
+
+    @staticmethod
+    def _spread(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """begin[i], begin[i] + 1, ... (n[i] of them) for each i."""
+        ends = np.cumsum(n)
+        return np.repeat(begin - (ends - n), n) + np.arange(int(n.sum()))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, and where each text's begin (one more than texts)."""
+        distinct, codes, first = word_codes(texts)
+        if len(self.at) > self.keep:
+            self.forget()
+        plain = PLAIN.fullmatch
+        flat: list[str] = []
+        n_parts = np.ones(len(distinct), np.int64)
+        for k, word in enumerate(distinct):
+            if not plain(word) or "<|" in word:
+                flat.append("\0" + word)
+            elif (low := word.lower()).isalpha():
+                flat.append(low)
+            else:
+                parts = PARTS.findall(low)
+                n_parts[k] = len(parts)
+                flat += parts
+        fresh = set(flat).difference(self.at)
+        odd = [w for w in fresh if w[0] == "\0"]
+        self._learn(list(fresh.difference(odd)), odd)
+        part = np.fromiter(map(self.at.__getitem__, flat), np.int64, len(flat))
+        # ids of the distinct words, then of the texts
+        n = self.size[part]
+        own = self.flat[self._spread((np.cumsum(self.size) - self.size)[part], n)]
+        size = np.add.reduceat(n, np.cumsum(n_parts) - n_parts) if len(n) else np.zeros(0, np.int64)
+        n = size[codes]
+        ids = own[self._spread((np.cumsum(size) - size)[codes], n)]
+        return ids, np.r_[0, np.cumsum(n)][first]
+
+
+@functools.lru_cache(maxsize=1)
+def word_tokens(path: str) -> WordTokens:
+    """One a Python worker, so that later tasks know the words of earlier ones."""
+    return WordTokens(path)
 
 
 def _pieces(path: str, capacity: int, end_id: int):
     end = np.array([end_id], dtype="<u4").tobytes()
     step = capacity * 4
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokens = WordTokens(path)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = word_tokens(path)
         for batch in batches:
-            for at in range(0, len(batch), 1000):
-                part = batch.iloc[at : at + 1000]
+            for at in range(0, batch.num_rows, 4000):
+                part = batch.slice(at, 4000)
+                ids, first = tokens.encode(part.column("text"))
                 rows = []
-                for doc_id, raw in zip(part["doc_id"], tokens.encode(part["text"].tolist())):
-                    raw += end
-                    for k, a in enumerate(range(0, len(raw), step)):
-                        cut = raw[a : a + step]
-                        rows.append((doc_id, k, a // 4, len(cut) // 4, zlib.crc32(cut)))
-                out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-                out["doc_id"] = out["doc_id"].astype("Int64")
-                yield out
+                for doc_id, a, b in zip(part.column("doc_id").to_pylist(), first[:-1].tolist(), first[1:].tolist()):
+                    raw = ids[a:b].tobytes() + end
+                    rows += [(doc_id, k, x // 4, len(raw[x : x + step]) // 4, zlib.crc32(raw[x : x + step])) for k, x in enumerate(range(0, len(raw), step))]
+                columns = zip(*rows) if rows else [[]] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, TYPES)], NAMES)
 
     return run
 
@@ -101,7 +153,7 @@ def _pieces(path: str, capacity: int, end_id: int):
 def tokenised_pieces(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
     """A row per piece of every row of docs (doc_id, text)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInPandas(_pieces(vocabulary, capacity, end_id), PIECES)
+    return rows.mapInArrow(_pieces(vocabulary, capacity, end_id), PIECES)
 
 
 def fullest(counts: dict[int, int], lengths: list[int], room: int) -> list[tuple[int, int]]:
@@ -201,7 +253,11 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id: int = 1
     return ranked.mapInPandas(_place(plan), PIECES + ", sequence_id long, offset long")
 
 
-def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+def default_vocabulary() -> str:
     import public_tokenizers
 
-    return pack(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(read(spark, sf_dir, "documents"), default_vocabulary())
