@@ -4,6 +4,13 @@ from __future__ import annotations
 
 from . import langid, mixing, packing, pii, quality, secrets, simhash, substring, topk, warc
 
+
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     "op1_warc_salvage": warc.op1_warc_salvage,
     "op2_pii": pii.op2_pii,
@@ -15,6 +22,7 @@ QUERIES = {
     "op8_substring_dedup": substring.op8_substring_dedup,
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
+    "pipeline": pipeline,
 }
 ORACLES = {
     "op1_warc_salvage": warc.OP1_SQL,
