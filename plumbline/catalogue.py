@@ -1,4 +1,5 @@
 """Imports every module that registers queries."""
 
-from .operators import relational  # noqa: F401
+from .functions import queries as functions  # noqa: F401
+from .operators import dml, relational  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

@@ -11,13 +11,13 @@ q("boolean_filter", "SELECT product_id, CAST(min_stock > 25 AS BOOLEAN) AS is_la
 q("in_list", "SELECT customer_id, full_name FROM cust WHERE region IN ('ASIA', 'EUROPE', 'AFRICA') AND tier IN ('A', 'B') AND segment NOT IN ('MACHINERY', 'BUILDING')")
 q("tuple_in", "SELECT customer_id, full_name FROM cust WHERE (region, tier) IN (SELECT region, max(tier) FROM cust GROUP BY region)")
 q("between_range", "SELECT order_id, order_date, amount FROM ord WHERE order_date BETWEEN TIMESTAMP '1996-06-01 00:00:00' AND TIMESTAMP '1996-09-30 00:00:00' AND amount BETWEEN 10000 AND 100000")
-q("like_contains", "SELECT product_id, product_name FROM prod WHERE product_name LIKE '%1%' AND kind NOT LIKE '%BRASS'")
+q("like_contains", "SELECT product_id, product_name FROM prod WHERE product_name LIKE '%blue%' AND kind NOT LIKE '%ECON%'")
 q("like_charclass", "SELECT product_id, category FROM prod WHERE category RLIKE '^Brand#[1-3]'", "SELECT product_id, category FROM prod WHERE regexp_matches(category, '^Brand#[1-3]')")
 q("null_filter", """SELECT c.customer_id, o.order_id IS NULL AS no_order, o.order_id IS NOT NULL AS has_order FROM cust c LEFT JOIN ord o ON c.customer_id = o.customer_id AND o.status = 'P'
   WHERE (o.order_id IS NULL OR o.amount IS NOT NULL) AND NOT coalesce(o.status = CAST(NULL AS VARCHAR(1)), false)""")
 q("case_simple", "SELECT order_id, status, CASE status WHEN 'F' THEN 'done' WHEN 'O' THEN 'open' WHEN 'P' THEN 'cancelled' ELSE 'unknown' END AS label FROM ord")
 q("case_searched", "SELECT product_id, unit_price, CASE WHEN unit_price < 1000 THEN 'low' WHEN unit_price < 1400 THEN 'mid' WHEN unit_price < 1800 THEN 'high' ELSE 'top' END AS price_level FROM prod")
-q("case_in_agg", "SELECT region, round(sum(CASE WHEN tier = 'A' THEN credit_limit ELSE 0 END), 2) AS limit_a, round(sum(CASE WHEN tier = 'B' THEN credit_limit ELSE 0 END), 2) AS limit_b, sum(CASE WHEN tier = 'C' THEN 1 ELSE 0 END)::BIGINT AS n_c FROM cust GROUP BY region".replace("sum(CASE WHEN tier = 'C' THEN 1 ELSE 0 END)::BIGINT", "CAST(sum(CASE WHEN tier = 'C' THEN 1 ELSE 0 END) AS BIGINT)"))
+q("case_in_agg", "SELECT region, round(sum(CASE WHEN tier = 'A' THEN credit_limit ELSE 0 END), 2) AS limit_a, round(sum(CASE WHEN tier = 'B' THEN credit_limit ELSE 0 END), 2) AS limit_b, CAST(sum(CASE WHEN tier = 'C' THEN 1 ELSE 0 END) AS BIGINT) AS n_c FROM cust GROUP BY region")
 q("iif_choose", "SELECT order_id, if(amount > 100000, 'large', 'small') AS size_label, elt(quarter(order_date), 'Q1', 'Q2', 'Q3', 'Q4') AS q_label FROM ord",
   "SELECT order_id, CASE WHEN amount > 100000 THEN 'large' ELSE 'small' END AS size_label, ['Q1', 'Q2', 'Q3', 'Q4'][quarter(order_date)] AS q_label FROM ord")
 q("collate_ci", "SELECT segment, CAST(count(*) AS BIGINT) AS n FROM cust WHERE segment COLLATE UTF8_LCASE = 'building' OR segment COLLATE UNICODE_CI_AI = 'máchinery' GROUP BY segment",
@@ -43,8 +43,8 @@ q("join_full", "SELECT coalesce(n.n_nationkey, s.n) AS nation_key, n.n_name, s.s
 q("join_cross", "SELECT r.r_name, t.tier, CAST(count(c.customer_id) AS BIGINT) AS n FROM region r CROSS JOIN (SELECT 'A' AS tier UNION ALL SELECT 'B' UNION ALL SELECT 'C' UNION ALL SELECT 'D') t LEFT JOIN cust c ON c.region = r.r_name AND c.tier = t.tier GROUP BY r.r_name, t.tier")
 q("join_natural", "SELECT customer_id, full_name, n_orders FROM cust NATURAL JOIN (SELECT o_custkey AS customer_id, CAST(count(*) AS BIGINT) AS n_orders FROM orders GROUP BY o_custkey) x")
 q("semi_exists", "SELECT customer_id, full_name, region FROM cust c WHERE EXISTS (SELECT 1 FROM ord o WHERE o.customer_id = c.customer_id AND o.amount > 150000)")
-q("anti_not_exists", "SELECT customer_id, full_name FROM cust c WHERE NOT EXISTS (SELECT 1 FROM ord o WHERE o.customer_id = c.customer_id)")
-q("anti_nested", "SELECT product_id, product_name FROM prod p WHERE NOT EXISTS (SELECT 1 FROM item i JOIN ord o ON i.order_id = o.order_id WHERE i.product_id = p.product_id AND o.status NOT IN ('P') AND o.amount > 200000)")
+q("anti_not_exists", "SELECT customer_id, full_name FROM cust c WHERE NOT EXISTS (SELECT 1 FROM ord o WHERE o.customer_id = c.customer_id AND o.status = 'P' AND o.amount > 100000)")
+q("anti_nested", "SELECT product_id, product_name FROM prod p WHERE NOT EXISTS (SELECT 1 FROM item i JOIN ord o ON i.order_id = o.order_id WHERE i.product_id = p.product_id AND o.status NOT IN ('P') AND o.amount > 450000)")
 q("anti_not_in", "SELECT customer_id FROM cust WHERE customer_id NOT IN (SELECT customer_id FROM ord WHERE amount > 100000)")
 q("apply_topn", "SELECT customer_id, order_id, amount, CAST(nth AS BIGINT) AS nth FROM (SELECT customer_id, order_id, amount, row_number() OVER (PARTITION BY customer_id ORDER BY amount DESC, order_id) AS nth FROM ord) x WHERE nth <= 3",
   "SELECT c.c_custkey AS customer_id, t.order_id, t.amount, t.nth FROM customer c, LATERAL (SELECT o_orderkey AS order_id, o_totalprice AS amount, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS nth FROM orders o WHERE o.o_custkey = c.c_custkey ORDER BY amount DESC, order_id LIMIT 3) t")
