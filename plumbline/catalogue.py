@@ -2,6 +2,6 @@
 
 from .functions import queries as functions  # noqa: F401
 from .operators import diff, dml, relational  # noqa: F401
-from .plans import reports  # noqa: F401
+from .plans import reports, sqltext  # noqa: F401
 from .sources import queries as sources  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
