@@ -72,3 +72,25 @@ def count_words(text: Column) -> Column:
 def uniform(*cols: Column) -> Column:
     """A number in [0, 1) that depends on the given values only."""
     return F.shiftrightunsigned(F.xxhash64(*cols), 11) * F.lit(2.0**-53)
+
+
+def as_row(df: DataFrame) -> DataFrame:
+    """df as one struct column ``_row``: working columns beside it can't clash with its own."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"))
+
+
+def from_row(df: DataFrame, like: DataFrame, text: Column | None = None) -> DataFrame:
+    """The columns of like out of ``_row``; with text in place of the column text, n_chars, if there is one, follows it."""
+
+    def value(name: str) -> Column:
+        if text is not None and name == "text":
+            return text
+        if text is not None and name == "n_chars":
+            return F.char_length(text).cast(like.schema[name].dataType)
+        return F.col("_row").getField(name)
+
+    return df.select(*[value(c).alias(c) for c in like.columns])
+
+
+def field(name: str) -> Column:
+    return F.col("_row").getField(name)

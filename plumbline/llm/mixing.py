@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import count_words, read, saved, uniform
+from .common import as_row, count_words, field, from_row, read, saved, uniform
 
 EPS = 1e-9
 
@@ -133,14 +133,13 @@ def mix(
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs as often as the mix takes them. Needs doc_id, text and source; keeps every column."""
-    chosen = mix(docs, **options).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("source", "size", "copies"))).alias("_chosen"))
+    chosen = mix(docs, **options).groupBy(F.col("doc_id").alias("_id")).agg(F.sort_array(F.collect_list(F.struct("source", "size", "copies"))).alias("_chosen"))
     # row by row within an id, so that repeated ids keep their own copies
-    w = Window.partitionBy("doc_id").orderBy(F.col("source"), F.col("_size"))
-    rows = docs.withColumn("_size", count_words(F.col("text"))).withColumn("_nth", F.row_number().over(w))
-    joined = rows.join(chosen.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "inner")
-    copies = F.element_at("_chosen", F.col("_nth"))["copies"]
-    repeated = joined.withColumn("_copies", copies).where("_copies > 0")
-    return repeated.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    rows = as_row(docs).withColumn("_doc", field("doc_id").cast("long")).withColumn("_size", count_words(field("text").cast("string")))
+    rows = rows.withColumn("_nth", F.row_number().over(Window.partitionBy("_doc").orderBy(field("source").cast("string"), F.col("_size"))))
+    joined = rows.join(chosen, F.col("_doc").eqNullSafe(F.col("_id")), "inner").withColumn("_copies", F.element_at("_chosen", F.col("_nth"))["copies"])
+    repeated = joined.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
+    return from_row(repeated, docs)
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import boosting
-from .common import let, read
+from .common import as_row, field, from_row, let, read
 from .spans import NONE, digits, disjoint, find_spans, luhn, replaced
 
 KINDS = ("email", "ip", "card", "phone")
@@ -192,15 +192,15 @@ def scan(docs: DataFrame, model: boosting.Model | None = None) -> DataFrame:
     return docs.withColumn("spans", all_spans(F.coalesce(F.col("text").cast("string"), F.lit("")), model))
 
 
-def redacted_documents(docs: DataFrame) -> DataFrame:
+def redacted_documents(docs: DataFrame, model: boosting.Model | None = None) -> DataFrame:
     """docs with each span replaced by [EMAIL], [IP], [CARD] or [PHONE]; n_chars, if there is one, follows the text."""
+    model = model or fitted(docs.sparkSession)
     tags = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    every = F.concat(F.col("spans.base"), F.col("spans.added"))
-    new = let(F.transform(every, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.get(tags, s["kind"]).alias("tag"))), lambda a: replaced(F.col("text"), a))
-    out = scan(docs.withColumn("text", F.col("text").cast("string"))).withColumn("text", F.when(F.size("spans.base") + F.size("spans.added") > 0, new).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    text = field("text").cast("string")
+    found = as_row(docs).withColumn("_spans", all_spans(F.coalesce(text, F.lit("")), model))
+    every = F.transform(F.concat("_spans.base", "_spans.added"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.get(tags, s["kind"]).alias("tag")))
+    new = F.when(F.size("_every") > 0, replaced(text, F.col("_every"))).otherwise(text)
+    return from_row(found.withColumn("_every", every).withColumn("_text", new), docs, F.col("_text"))
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, WORD, let, read, saved, words
+from .common import SPACE, WORD, as_row, field, from_row, let, read, saved, words
 
 UPPER, LOWER, DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
 SYMBOLS = "#*$%&|<>"
@@ -91,17 +91,13 @@ def judge(
 
 def kept_documents(docs: DataFrame, **options) -> DataFrame:
     """docs without the rejected rows, the others without their boilerplate lines (n_chars follows the text, if there is one)."""
-    verdict = judge(docs, **options).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("text_hash").alias("_hash"), "removed", "kept").where("kept").drop("kept").dropDuplicates(["_id", "_source", "_hash"])
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.withColumn("_text_hash", F.xxhash64(text))
-    same = (F.col("_text_hash") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source"))
-    joined = rows.join(verdict, same, "inner")
+    verdict = judge(docs, **options).where("kept").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("text_hash").alias("_hash"), "removed").dropDuplicates(["_id", "_source", "_hash"])
+    text = F.coalesce(field("text").cast("string"), F.lit(""))
+    same = (F.xxhash64(text) == F.col("_hash")) & field("doc_id").eqNullSafe(F.col("_id")) & field("source").cast("string").eqNullSafe(F.col("_source"))
+    joined = as_row(docs).join(verdict, same, "inner")
     left = F.array_join(F.filter(F.split(text, "\n", -1), lambda x: ~(x.rlike(WORD) & F.array_contains(F.col("removed"), F.xxhash64(normal_line(x))))), "\n")
-    new = F.when(F.size("removed") > 0, left).otherwise(F.col("text"))
-    out = joined.withColumn("text", new)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    new = F.when(F.size("removed") > 0, left).otherwise(field("text").cast("string"))
+    return from_row(joined.withColumn("_text", new), docs, F.col("_text"))
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

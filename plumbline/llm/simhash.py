@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, saved
+from .common import as_row, field, from_row, read, saved
 from .components import components
 
 BITS = 64
@@ -188,7 +188,13 @@ def near_duplicates(docs: DataFrame, n: int = 3, bound: int = 2) -> DataFrame:
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """docs with one row of each component: that of the least doc_id, the first by text and source where rows repeat it."""
     keep = near_duplicates(docs, **options).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").dropDuplicates(["doc_id"])
+    rows = as_row(docs).withColumn("_doc", field("doc_id").cast("long")).withColumn("_order", F.struct(field("text").cast("string"), field("source").cast("string") if "source" in docs.columns else F.lit(None)))
+    kept = rows.join(keep, F.col("_doc").eqNullSafe(F.col("_id")), "left_semi")
+    repeated = kept.groupBy("_doc").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("_doc").alias("_again"))
+    # ids that occur once, nearly all, go through as they are; of the others the first row stays
+    once = kept.join(repeated, F.col("_doc").eqNullSafe(F.col("_again")), "left_anti")
+    again = kept.join(repeated, F.col("_doc").eqNullSafe(F.col("_again")), "left_semi").groupBy("_doc").agg(F.min_by("_row", "_order").alias("_row"))
+    return from_row(once.select("_row").unionByName(again.select("_row")), docs)
 
 
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
