@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import let, read, words
+from .common import let, read, saved, words
 
 PIECE = 32
 PAD = 256
@@ -225,8 +225,9 @@ def held_out() -> F.Column:
 def training_words(docs: DataFrame, per_lang: int, per_doc: int) -> list[tuple[bytes, str]]:
     """(word, lang) of a bounded sample: documents by the order of a hash of their id, up to per_lang a language."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).withColumn("_h", F.shiftrightunsigned(F.xxhash64(F.lit(3), "doc_id"), 11) * F.lit(2.0**-53))
-    n = known.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))
-    # a rate first, so that few texts are sorted: twice as many as wanted on average
+    # written first: its size is known then, and small it is broadcast, so that no text is dealt out by lang
+    n = saved(known.groupBy("lang").agg(F.count(F.lit(1)).alias("_n")), "langid-counts")
+    # a rate, so that few texts are sorted: twice as many as wanted on average
     some = known.join(n, "lang").where(F.col("_h") * F.col("_n") < 2 * per_lang + 50)
     ranked = some.withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy("_h", "doc_id", F.length("text"), "text"))).where(F.col("_r") <= per_lang)
     spaced = let(words(F.col("text")), lambda w: F.when(F.size(w) <= per_doc, w).otherwise(F.transform(F.sequence(F.lit(0), F.lit(per_doc - 1)), lambda i: F.get(w, F.floor(i * F.size(w) / per_doc).cast("int")))))
