@@ -153,7 +153,10 @@ def _parse(data: bytes | memoryview, at: int) -> tuple[dict | None, int, str]:
         k, sep, v = line.partition(b":")
         if not sep:
             return None, at, "bad header"
-        head[k.strip().lower().decode("latin-1")] = v.strip().decode("utf-8", "replace")
+        name = k.strip().lower().decode("latin-1")
+        if v.endswith(lines[0]) or (name == "warc-type" and name in head):  # a record cut off within its headers, and the next
+            return None, at, "headers cut off"
+        head[name] = v.strip().decode("utf-8", "replace")
     if not re.fullmatch("[0-9]{1,18}", head.get("content-length", "")):
         return None, at, "bad length"
     begin = at + head_end + len(END)
