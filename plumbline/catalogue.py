@@ -2,7 +2,7 @@
 
 from .functions import queries as functions  # noqa: F401
 from .operators import diff, dml, graph, relational  # noqa: F401
-from .plans import certify, reports, sqltext  # noqa: F401
+from .plans import certify, procedures, reports, sqltext, tsql_queries  # noqa: F401
 from .sources import queries as sources  # noqa: F401
 from .streaming import events  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
