@@ -57,7 +57,7 @@ q("agg_basic", "SELECT region, tier, CAST(count(*) AS BIGINT) AS n, round(avg(cr
 q("agg_count_distinct", "SELECT CAST(count(DISTINCT customer_id) AS BIGINT) AS customers, CAST(count(DISTINCT status) AS BIGINT) AS statuses, CAST(count(DISTINCT priority) AS BIGINT) AS priorities FROM ord")
 q("having_sum", "SELECT customer_id, round(sum(amount), 2) AS total_spent FROM ord WHERE status NOT IN ('P') GROUP BY customer_id HAVING sum(amount) > 1000000")
 q("having_count", "SELECT customer_id, CAST(count(order_id) AS BIGINT) AS order_count FROM ord GROUP BY customer_id HAVING count(order_id) >= 5")
-q("rollup", "SELECT coalesce(c.region, 'total') AS region, coalesce(p.category, 'subtotal') AS category, round(sum(i.quantity * i.price), 0) AS sales FROM ord o JOIN cust c ON o.customer_id = c.customer_id JOIN item i ON o.order_id = i.order_id JOIN prod p ON i.product_id = p.product_id WHERE o.status NOT IN ('P') GROUP BY ROLLUP (c.region, p.category)")
+q("rollup", "SELECT coalesce(c.region, 'total') AS region, coalesce(p.category, 'subtotal') AS category, round(sum(i.quantity * i.price), 2) AS sales FROM ord o JOIN cust c ON o.customer_id = c.customer_id JOIN item i ON o.order_id = i.order_id JOIN prod p ON i.product_id = p.product_id WHERE o.status NOT IN ('P') GROUP BY ROLLUP (c.region, p.category)")
 q("cube", "SELECT region, tier, CAST(count(*) AS BIGINT) AS n, round(sum(credit_limit), 2) AS total FROM cust GROUP BY CUBE (region, tier)")
 q("grouping_sets", "SELECT region, tier, CAST(grouping(region) AS BIGINT) AS g_region, CAST(grouping(tier) AS BIGINT) AS g_tier, CAST(count(*) AS BIGINT) AS n FROM cust GROUP BY GROUPING SETS ((region, tier), (region), (tier), ())")
 q("monthly_sales", "SELECT date_format(order_date, 'yyyy-MM') AS month, CAST(count(*) AS BIGINT) AS orders, round(sum(amount), 2) AS sales FROM ord GROUP BY date_format(order_date, 'yyyy-MM')",
@@ -106,7 +106,7 @@ q("scalar_subquery", "SELECT order_id, amount, round((SELECT avg(amount) FROM or
 q("correlated_count", "SELECT product_id, unit_price, (SELECT CAST(count(*) AS BIGINT) FROM item i JOIN ord o ON i.order_id = o.order_id WHERE i.product_id = p.product_id AND o.status NOT IN ('P')) AS order_count FROM prod p")
 q("cte_simple", "WITH spending AS (SELECT c.customer_id, c.region, coalesce(sum(o.amount), 0) AS total_spent FROM cust c LEFT JOIN ord o ON c.customer_id = o.customer_id AND o.status NOT IN ('P') GROUP BY c.customer_id, c.region) SELECT customer_id, region, round(total_spent, 2) AS total_spent FROM spending WHERE total_spent > 500000")
 q("cte_chain", """WITH stats AS (SELECT product_id, sum(quantity) AS sold, sum(quantity * price) AS revenue FROM item GROUP BY product_id),
- joined AS (SELECT p.product_id, p.category, p.min_stock, coalesce(s.sold, 0) AS sold, round(coalesce(s.revenue, 0), 0) AS revenue FROM prod p LEFT JOIN stats s ON p.product_id = s.product_id)
+ joined AS (SELECT p.product_id, p.category, p.min_stock, coalesce(s.sold, 0) AS sold, round(coalesce(s.revenue, 0), 2) AS revenue FROM prod p LEFT JOIN stats s ON p.product_id = s.product_id)
  SELECT *, CASE WHEN min_stock < 5 AND sold > 0 THEN 'short' WHEN sold = 0 THEN 'slow' ELSE 'normal' END AS sales_status FROM joined""")
 q("recursive_numbers", "WITH RECURSIVE n AS (SELECT 1 AS i UNION ALL SELECT i + 1 FROM n WHERE i < 60) SELECT CAST(i AS BIGINT) AS i, CAST(i * i AS BIGINT) AS sq FROM n")
 q("recursive_dates", "WITH RECURSIVE d AS (SELECT DATE '1998-01-01' AS day UNION ALL SELECT CAST(day + INTERVAL '1' DAY AS DATE) FROM d WHERE day < DATE '1998-01-31') SELECT d.day, CAST(count(o.order_id) AS BIGINT) AS orders FROM d LEFT JOIN ord o ON CAST(o.order_date AS DATE) = d.day GROUP BY d.day")

@@ -11,7 +11,7 @@ from ..registry import MODEL, query, run_sql, sql_query, table
 # --- reports ---
 
 
-@query("report_sales", """SELECT c.c_mktsegment AS segment, CAST(count(DISTINCT o.o_orderkey) AS BIGINT) AS order_count, sum(l.l_quantity) AS total_quantity, round(sum(l.l_quantity * l.l_extendedprice), 0) AS total_sales
+@query("report_sales", """SELECT c.c_mktsegment AS segment, CAST(count(DISTINCT o.o_orderkey) AS BIGINT) AS order_count, sum(l.l_quantity) AS total_quantity, round(sum(l.l_quantity * l.l_extendedprice), 2) AS total_sales
  FROM orders o JOIN lineitem l ON o.o_orderkey = l.l_orderkey JOIN customer c ON o.o_custkey = c.c_custkey WHERE o.o_orderstatus <> 'P' AND o.o_orderdate >= TIMESTAMP '1996-01-01 00:00:00' AND o.o_orderdate < TIMESTAMP '2000-01-01 00:00:00' GROUP BY c.c_mktsegment""")
 def report_sales(spark, sf):
     """Orders, items and sales by segment between two dates.
@@ -24,7 +24,7 @@ def report_sales(spark, sf):
     lines = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.sum("l_quantity").alias("q"), F.sum(F.col("l_quantity") * F.col("l_extendedprice")).alias("s"))
     customers = table(spark, sf, "customer").select("c_custkey", "c_mktsegment")
     joined = orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey")).join(customers, F.col("o_custkey") == F.col("c_custkey"))
-    return joined.groupBy(F.col("c_mktsegment").alias("segment")).agg(F.count(F.lit(1)).alias("order_count"), F.sum("q").alias("total_quantity"), F.round(F.sum("s"), 0).alias("total_sales"))
+    return joined.groupBy(F.col("c_mktsegment").alias("segment")).agg(F.count(F.lit(1)).alias("order_count"), F.sum("q").alias("total_quantity"), F.round(F.sum("s"), 2).alias("total_sales"))
 
 
 #: Stock of a part: what its size says less what was returned, by the brand as warehouse.
@@ -70,7 +70,7 @@ def dynamic_sql(spark, sf):
 # --- views ---
 sql_query("view_order_summary", "SELECT o.order_id, c.full_name, c.region, o.status, o.amount, coalesce(i.lines, 0) AS item_count, coalesce(i.q, 0) AS total_quantity FROM ord o JOIN cust c ON o.customer_id = c.customer_id LEFT JOIN (SELECT order_id, CAST(count(*) AS BIGINT) AS lines, sum(quantity) AS q FROM item GROUP BY order_id) i ON i.order_id = o.order_id")
 sql_query("view_sales_by_region", "SELECT c.region, CAST(count(DISTINCT c.customer_id) AS BIGINT) AS customers, CAST(count(*) AS BIGINT) AS orders, round(sum(o.amount), 2) AS sales, round(avg(o.amount), 4) AS avg_order FROM cust c JOIN ord o ON c.customer_id = o.customer_id WHERE o.status NOT IN ('P') GROUP BY c.region")
-sql_query("view_product_sales", "SELECT p.product_id, p.category, coalesce(sum(i.quantity), 0) AS sold, CAST(count(DISTINCT i.order_id) AS BIGINT) AS orders, round(coalesce(sum(i.price * (1 - i.discount)), 0), 0) AS revenue FROM prod p LEFT JOIN item i ON p.product_id = i.product_id GROUP BY p.product_id, p.category")
+sql_query("view_product_sales", "SELECT p.product_id, p.category, coalesce(sum(i.quantity), 0) AS sold, CAST(count(DISTINCT i.order_id) AS BIGINT) AS orders, round(coalesce(sum(i.price * (1 - i.discount)), 0), 5) AS revenue FROM prod p LEFT JOIN item i ON p.product_id = i.product_id GROUP BY p.product_id, p.category")
 sql_query("view_customer_summary", "SELECT c.customer_id, c.tier, CAST(count(o.order_id) AS BIGINT) AS orders, round(coalesce(sum(o.amount), 0), 2) AS spent, min(o.order_date) AS first_order, max(o.order_date) AS last_order, CASE WHEN count(o.order_id) = 0 THEN 'none' WHEN coalesce(sum(o.amount), 0) > 2500000 THEN 'vip' ELSE 'normal' END AS level FROM cust c LEFT JOIN ord o ON c.customer_id = o.customer_id AND o.status NOT IN ('P') GROUP BY c.customer_id, c.tier")
 sql_query("view_daily_sales", "SELECT CAST(order_date AS DATE) AS day, CAST(count(*) AS BIGINT) AS orders, CAST(count(DISTINCT customer_id) AS BIGINT) AS customers, round(sum(amount), 2) AS sales FROM ord WHERE status NOT IN ('P') GROUP BY CAST(order_date AS DATE)")
 sql_query("view_inventory_status", f"SELECT product_id, quantity, CASE WHEN quantity = 0 THEN 'out' WHEN quantity < min_quantity THEN 'low' WHEN quantity > 5 * min_quantity THEN 'over' ELSE 'ok' END AS stock_status FROM ({STOCK}) s")

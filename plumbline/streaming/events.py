@@ -12,7 +12,11 @@ from pyspark.sql.window import Window
 
 from ..registry import query, sql_query, table
 
-ORDER = Window.partitionBy("user_id").orderBy("ts", "event_id")
+
+def in_order():
+    return Window.partitionBy("user_id").orderBy("ts", "event_id")
+
+
 #: A session's states by event: errors pause it, a purchase completes it, whatever else happens it runs.
 STATE = "CASE event_type WHEN 'error' THEN 'FAILED' WHEN 'purchase' THEN 'COMPLETED' WHEN 'signup' THEN 'CREATED' ELSE 'RUNNING' END"
 
@@ -33,12 +37,12 @@ def event_fold(spark, sf):
     """The state after each event, the one before it, and its place in the session."""
     state = state_of(F.col("event_type"))
     e = table(spark, sf, "events")
-    return e.select("event_id", "user_id", state.alias("state"), F.lag(state).over(ORDER).alias("previous"), F.row_number().over(ORDER).cast("bigint").alias("sequence"), F.count_if(F.col("event_type") == "error").over(ORDER).alias("errors_so_far"))
+    return e.select("event_id", "user_id", state.alias("state"), F.lag(state).over(in_order()).alias("previous"), F.row_number().over(in_order()).cast("bigint").alias("sequence"), F.count_if(F.col("event_type") == "error").over(in_order()).alias("errors_so_far"))
 
 
 @query("events_since", "SELECT event_id, user_id, sequence FROM (SELECT event_id, user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS sequence FROM events) x WHERE sequence > 5")
 def events_since(spark, sf, sequence: int = 5):
-    e = table(spark, sf, "events").withColumn("sequence", F.row_number().over(ORDER).cast("bigint"))
+    e = table(spark, sf, "events").withColumn("sequence", F.row_number().over(in_order()).cast("bigint"))
     return e.where(F.col("sequence") > sequence).select("event_id", "user_id", "sequence")
 
 
