@@ -53,7 +53,7 @@ q("apply_outer_agg", "SELECT c.customer_id, coalesce(a.n, 0) AS order_count, a.l
 q("apply_chain", "SELECT o.order_id, a.band, b.discounted FROM ord o, LATERAL (SELECT CASE WHEN o.amount > 100000 THEN 'H' ELSE 'L' END AS band) a, LATERAL (SELECT round(CASE WHEN a.band = 'H' THEN o.amount * 0.9 ELSE o.amount END, 3) AS discounted) b")
 
 # --- aggregates ---
-q("agg_basic", "SELECT region, tier, CAST(count(*) AS BIGINT) AS n, round(avg(credit_limit), 4) AS avg_limit, round(sum(credit_limit), 2) AS total_limit, min(credit_limit) AS lo, max(credit_limit) AS hi FROM cust GROUP BY region, tier")
+q("agg_basic", "SELECT region, tier, CAST(count(*) AS BIGINT) AS n, round(avg(credit_limit), 6) AS avg_limit, round(sum(credit_limit), 2) AS total_limit, min(credit_limit) AS lo, max(credit_limit) AS hi FROM cust GROUP BY region, tier")
 q("agg_count_distinct", "SELECT CAST(count(DISTINCT customer_id) AS BIGINT) AS customers, CAST(count(DISTINCT status) AS BIGINT) AS statuses, CAST(count(DISTINCT priority) AS BIGINT) AS priorities FROM ord")
 q("having_sum", "SELECT customer_id, round(sum(amount), 2) AS total_spent FROM ord WHERE status NOT IN ('P') GROUP BY customer_id HAVING sum(amount) > 1000000")
 q("having_count", "SELECT customer_id, CAST(count(order_id) AS BIGINT) AS order_count FROM ord GROUP BY customer_id HAVING count(order_id) >= 5")
@@ -71,7 +71,7 @@ q("pivot_sum", "SELECT region, round(a, 2) AS a, round(b, 2) AS b, round(c, 2) A
   "SELECT region, round(sum(credit_limit) FILTER (tier = 'A'), 2) AS a, round(sum(credit_limit) FILTER (tier = 'B'), 2) AS b, round(sum(credit_limit) FILTER (tier = 'C'), 2) AS c FROM cust GROUP BY region")
 q("unpivot", "SELECT l_orderkey, l_linenumber, measure, value FROM (SELECT l_orderkey, l_linenumber, l_discount, nullif(l_tax, 0.0) AS l_tax FROM lineitem) UNPIVOT (value FOR measure IN (l_discount AS discount, l_tax AS tax))",
   "SELECT l_orderkey, l_linenumber, 'discount' AS measure, l_discount AS value FROM lineitem WHERE l_discount IS NOT NULL UNION ALL SELECT l_orderkey, l_linenumber, 'tax', nullif(l_tax, 0.0) FROM lineitem WHERE nullif(l_tax, 0.0) IS NOT NULL")
-q("agg_nested", "SELECT region, tier, round(avg(total_spent), 2) AS avg_spent FROM (SELECT c.customer_id, c.region, c.tier, coalesce(sum(o.amount), 0) AS total_spent FROM cust c JOIN ord o ON c.customer_id = o.customer_id WHERE o.status NOT IN ('P') GROUP BY c.customer_id, c.region, c.tier) s GROUP BY region, tier")
+q("agg_nested", "SELECT region, tier, round(avg(total_spent), 6) AS avg_spent FROM (SELECT c.customer_id, c.region, c.tier, coalesce(sum(o.amount), 0) AS total_spent FROM cust c JOIN ord o ON c.customer_id = o.customer_id WHERE o.status NOT IN ('P') GROUP BY c.customer_id, c.region, c.tier) s GROUP BY region, tier")
 
 # --- windows ---
 q("win_row_number", "SELECT customer_id, round(total_spent, 2) AS total_spent, CAST(row_number() OVER (PARTITION BY region ORDER BY total_spent DESC, customer_id) AS BIGINT) AS rank_no FROM (SELECT c.customer_id, c.region, sum(o.amount) AS total_spent FROM cust c JOIN ord o ON c.customer_id = o.customer_id GROUP BY c.customer_id, c.region) s")
@@ -80,9 +80,9 @@ q("win_ntile", "SELECT product_id, CAST(ntile(4) OVER (PARTITION BY category ORD
 q("win_over_agg", "SELECT customer_id, CAST(ntile(4) OVER (ORDER BY round(sum(amount), 2) DESC, customer_id) AS BIGINT) AS spend_quartile FROM ord GROUP BY customer_id")
 q("win_lag_lead", "SELECT order_id, lag(amount, 1, 0D) OVER w AS prev_amount, lead(amount, 1, 0D) OVER w AS next_amount, round(amount - lag(amount, 1, 0D) OVER w, 2) AS change FROM ord WHERE status NOT IN ('P') WINDOW w AS (PARTITION BY customer_id ORDER BY order_date, order_id)",
   "SELECT order_id, lag(amount, 1, 0.0::DOUBLE) OVER w AS prev_amount, lead(amount, 1, 0.0::DOUBLE) OVER w AS next_amount, round(amount - lag(amount, 1, 0.0::DOUBLE) OVER w, 2) AS change FROM ord WHERE status NOT IN ('P') WINDOW w AS (PARTITION BY customer_id ORDER BY order_date, order_id)")
-q("win_running_total", "SELECT order_id, round(sum(amount) OVER (PARTITION BY customer_id ORDER BY order_date, order_id), 2) AS running_total, round(avg(amount) OVER (PARTITION BY customer_id), 4) AS customer_avg, CAST(count(*) OVER (PARTITION BY customer_id) AS BIGINT) AS n FROM ord WHERE status NOT IN ('P')")
+q("win_running_total", "SELECT order_id, round(sum(amount) OVER (PARTITION BY customer_id ORDER BY order_date, order_id), 2) AS running_total, round(avg(amount) OVER (PARTITION BY customer_id), 6) AS customer_avg, CAST(count(*) OVER (PARTITION BY customer_id) AS BIGINT) AS n FROM ord WHERE status NOT IN ('P')")
 q("win_first_last", "SELECT customer_id, region, first_value(full_name) OVER (PARTITION BY region ORDER BY credit_limit DESC, customer_id) AS top_customer, last_value(full_name) OVER (PARTITION BY region ORDER BY credit_limit DESC, customer_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS bottom_customer FROM cust")
-q("win_moving_rows", "SELECT order_id, round(avg(amount) OVER (PARTITION BY customer_id ORDER BY order_date, order_id ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), 4) AS avg7, round(sum(amount) OVER (PARTITION BY customer_id ORDER BY order_date, order_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 2) AS sum5 FROM ord")
+q("win_moving_rows", "SELECT order_id, round(avg(amount) OVER (PARTITION BY customer_id ORDER BY order_date, order_id ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), 6) AS avg7, round(sum(amount) OVER (PARTITION BY customer_id ORDER BY order_date, order_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 2) AS sum5 FROM ord")
 q("win_range_interval", "SELECT order_id, round(sum(amount) OVER (PARTITION BY customer_id ORDER BY order_date RANGE BETWEEN INTERVAL '30' DAY PRECEDING AND CURRENT ROW), 2) AS sum30 FROM ord")
 q("win_cume_percent", "SELECT product_id, round(cume_dist() OVER (PARTITION BY category ORDER BY unit_price), 9) AS cume, round(percent_rank() OVER (PARTITION BY category ORDER BY unit_price), 9) AS pct FROM prod")
 
@@ -102,7 +102,7 @@ q("intersect", "SELECT customer_id FROM cust WHERE tier IN ('A', 'B') INTERSECT
 q("except", "SELECT customer_id FROM cust EXCEPT SELECT customer_id FROM ord WHERE status = 'F'")
 
 # --- subqueries, common table expressions ---
-q("scalar_subquery", "SELECT order_id, amount, round((SELECT avg(amount) FROM ord WHERE status NOT IN ('P')), 4) AS avg_amount, round(amount - (SELECT avg(amount) FROM ord WHERE status NOT IN ('P')), 4) AS diff FROM ord WHERE order_date >= TIMESTAMP '1997-06-01 00:00:00'")
+q("scalar_subquery", "SELECT order_id, amount, round((SELECT avg(amount) FROM ord WHERE status NOT IN ('P')), 6) AS avg_amount, round(amount - (SELECT avg(amount) FROM ord WHERE status NOT IN ('P')), 6) AS diff FROM ord WHERE order_date >= TIMESTAMP '1997-06-01 00:00:00'")
 q("correlated_count", "SELECT product_id, unit_price, (SELECT CAST(count(*) AS BIGINT) FROM item i JOIN ord o ON i.order_id = o.order_id WHERE i.product_id = p.product_id AND o.status NOT IN ('P')) AS order_count FROM prod p")
 q("cte_simple", "WITH spending AS (SELECT c.customer_id, c.region, coalesce(sum(o.amount), 0) AS total_spent FROM cust c LEFT JOIN ord o ON c.customer_id = o.customer_id AND o.status NOT IN ('P') GROUP BY c.customer_id, c.region) SELECT customer_id, region, round(total_spent, 2) AS total_spent FROM spending WHERE total_spent > 500000")
 q("cte_chain", """WITH stats AS (SELECT product_id, sum(quantity) AS sold, sum(quantity * price) AS revenue FROM item GROUP BY product_id),

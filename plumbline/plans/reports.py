@@ -29,13 +29,13 @@ def report_sales(spark, sf):
 
 #: Stock of a part: what its size says less what was returned, by the brand as warehouse.
 STOCK = "SELECT p.p_partkey AS product_id, p.p_name AS product_name, p.p_brand AS warehouse, CAST(p.p_size AS BIGINT) AS min_quantity, coalesce(l.q, 0) AS quantity FROM part p LEFT JOIN (SELECT l_partkey, sum(l_quantity) AS q FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_partkey) l ON p.p_partkey = l.l_partkey"
-sql_query("report_inventory", f"SELECT warehouse, CAST(count(DISTINCT product_id) AS BIGINT) AS products, sum(quantity) AS total, round(avg(quantity), 4) AS average, min(quantity) AS lo, max(quantity) AS hi FROM ({STOCK}) s GROUP BY warehouse")
+sql_query("report_inventory", f"SELECT warehouse, CAST(count(DISTINCT product_id) AS BIGINT) AS products, sum(quantity) AS total, round(avg(quantity), 6) AS average, min(quantity) AS lo, max(quantity) AS hi FROM ({STOCK}) s GROUP BY warehouse")
 sql_query("report_customer_orders", "SELECT c.customer_id, c.full_name, CAST(count(o.order_id) AS BIGINT) AS order_count, round(coalesce(sum(o.amount), 0), 2) AS total_spent, max(o.order_date) AS last_order FROM cust c LEFT JOIN ord o ON c.customer_id = o.customer_id GROUP BY c.customer_id, c.full_name")
 sql_query("customer_order_report", "SELECT c.customer_id, round(coalesce(sum(CASE WHEN o.status = 'P' THEN o.amount END), 0), 2) AS cancelled_total, coalesce(max(CASE WHEN o.status = 'P' THEN o.priority END), 'none') AS cancelled_priority FROM cust c LEFT JOIN ord o ON c.customer_id = o.customer_id GROUP BY c.customer_id")
 sql_query("report_low_stock", f"SELECT product_id, product_name, quantity, min_quantity, min_quantity - quantity AS shortage FROM ({STOCK}) s WHERE quantity < min_quantity")
 sql_query("orders_by_customer", "SELECT c.customer_id, o.order_id, o.order_date, o.status, o.amount FROM cust c JOIN ord o ON c.customer_id = o.customer_id WHERE c.tier = 'A'")
 sql_query("find_by_customer", "SELECT order_id, order_date, status FROM ord WHERE customer_id = 42 ORDER BY order_date DESC, order_id")
-sql_query("showcase_case_tier", "SELECT tier, CAST(count(*) AS BIGINT) AS n, round(avg(total), 2) AS avg_total FROM (SELECT customer_id, sum(amount) AS total, CASE WHEN sum(amount) >= 3000000 THEN 'platinum' WHEN sum(amount) >= 2000000 THEN 'gold' WHEN sum(amount) >= 1000000 THEN 'silver' ELSE 'basic' END AS tier FROM ord GROUP BY customer_id) s GROUP BY tier")
+sql_query("showcase_case_tier", "SELECT tier, CAST(count(*) AS BIGINT) AS n, round(avg(total), 6) AS avg_total FROM (SELECT customer_id, sum(amount) AS total, CASE WHEN sum(amount) >= 3000000 THEN 'platinum' WHEN sum(amount) >= 2000000 THEN 'gold' WHEN sum(amount) >= 1000000 THEN 'silver' ELSE 'basic' END AS tier FROM ord GROUP BY customer_id) s GROUP BY tier")
 
 
 def stock_query(stock: DataFrame, warehouse: str | None = None, name_part: str | None = None, low_only: bool = False, product_id: int | None = None, cap: int | None = None) -> DataFrame:
@@ -69,7 +69,7 @@ def dynamic_sql(spark, sf):
 
 # --- views ---
 sql_query("view_order_summary", "SELECT o.order_id, c.full_name, c.region, o.status, o.amount, coalesce(i.lines, 0) AS item_count, coalesce(i.q, 0) AS total_quantity FROM ord o JOIN cust c ON o.customer_id = c.customer_id LEFT JOIN (SELECT order_id, CAST(count(*) AS BIGINT) AS lines, sum(quantity) AS q FROM item GROUP BY order_id) i ON i.order_id = o.order_id")
-sql_query("view_sales_by_region", "SELECT c.region, CAST(count(DISTINCT c.customer_id) AS BIGINT) AS customers, CAST(count(*) AS BIGINT) AS orders, round(sum(o.amount), 2) AS sales, round(avg(o.amount), 4) AS avg_order FROM cust c JOIN ord o ON c.customer_id = o.customer_id WHERE o.status NOT IN ('P') GROUP BY c.region")
+sql_query("view_sales_by_region", "SELECT c.region, CAST(count(DISTINCT c.customer_id) AS BIGINT) AS customers, CAST(count(*) AS BIGINT) AS orders, round(sum(o.amount), 2) AS sales, round(avg(o.amount), 6) AS avg_order FROM cust c JOIN ord o ON c.customer_id = o.customer_id WHERE o.status NOT IN ('P') GROUP BY c.region")
 sql_query("view_product_sales", "SELECT p.product_id, p.category, coalesce(sum(i.quantity), 0) AS sold, CAST(count(DISTINCT i.order_id) AS BIGINT) AS orders, round(coalesce(sum(i.price * (1 - i.discount)), 0), 5) AS revenue FROM prod p LEFT JOIN item i ON p.product_id = i.product_id GROUP BY p.product_id, p.category")
 sql_query("view_customer_summary", "SELECT c.customer_id, c.tier, CAST(count(o.order_id) AS BIGINT) AS orders, round(coalesce(sum(o.amount), 0), 2) AS spent, min(o.order_date) AS first_order, max(o.order_date) AS last_order, CASE WHEN count(o.order_id) = 0 THEN 'none' WHEN coalesce(sum(o.amount), 0) > 2500000 THEN 'vip' ELSE 'normal' END AS level FROM cust c LEFT JOIN ord o ON c.customer_id = o.customer_id AND o.status NOT IN ('P') GROUP BY c.customer_id, c.tier")
 sql_query("view_daily_sales", "SELECT CAST(order_date AS DATE) AS day, CAST(count(*) AS BIGINT) AS orders, CAST(count(DISTINCT customer_id) AS BIGINT) AS customers, round(sum(amount), 2) AS sales FROM ord WHERE status NOT IN ('P') GROUP BY CAST(order_date AS DATE)")
