@@ -14,7 +14,7 @@ from .lexer import Group, Token, split, tokenize, tree
 CONFIDENCE = {
     "top_to_limit": 0.98, "top_percent": 0.9, "top_with_ties": 0.95, "offset_fetch": 0.98, "fetch_first": 0.95, "brackets": 0.99, "national_strings": 0.99, "hints": 0.95, "getdate": 0.95, "getutcdate": 0.9, "sysdatetime": 0.92,
     "isnull": 0.98, "len": 0.95, "newid": 0.95, "charindex": 0.95, "patindex": 0.85, "stuff": 0.95, "replicate": 0.98, "dateadd": 0.95, "datediff": 0.9, "datepart": 0.9, "datename": 0.85, "eomonth": 0.95, "datetrunc": 0.9, "format": 0.8,
-    "iif": 0.99, "choose": 0.98, "convert": 0.85, "try_convert": 0.85, "concat": 0.95, "quotename": 0.95, "plus_concat": 0.85, "apply": 0.95, "variables": 0.95, "select_into": 0.85, "isnumeric": 0.9, "schema_prefix": 0.98, "types": 0.95, "identity": 0.6,
+    "iif": 0.99, "choose": 0.98, "convert": 0.85, "try_convert": 0.85, "concat": 0.95, "quotename": 0.95, "plus_concat": 0.85, "apply": 0.95, "variables": 0.95, "select_into": 0.85, "isnumeric": 0.9, "schema_prefix": 0.98, "types": 0.95, "identity": 0.6, "update": 0.9, "update_join": 0.8, "delete": 0.95, "delete_join": 0.85, "for_json": 0.8,
 }
 TYPES = {
     "NVARCHAR": "STRING", "VARCHAR": "STRING", "NCHAR": "STRING", "CHAR": "STRING", "TEXT": "STRING", "NTEXT": "STRING", "BIT": "BOOLEAN", "DATETIME": "TIMESTAMP_NTZ", "DATETIME2": "TIMESTAMP_NTZ", "SMALLDATETIME": "TIMESTAMP_NTZ",
@@ -226,6 +226,78 @@ class Transpiler:
             return self.done("variables", f":{name}")
         return x.text
 
+    # --- statements that change rows: the query gives the table as it is afterwards ---
+    def clauses(self, items: list, names: tuple[str, ...]) -> dict[str, list]:
+        """Items by the clause words that stand at this level; what comes first has the key ''."""
+        out: dict[str, list] = {"": []}
+        now = ""
+        for x in items:
+            if isinstance(x, Token) and x.kind == "word" and x.upper in names and x.upper not in out:
+                now = x.upper
+                out[now] = []
+            else:
+                out[now].append(x)
+        return out
+
+    @staticmethod
+    def named(items: list) -> tuple[list, Token]:
+        """A table reference's name, and its alias or last part."""
+        k = 1
+        while k + 1 < len(items) and isinstance(items[k], Token) and items[k].text == ".":
+            k += 2
+        rest = [x for x in items[k:] if not (isinstance(x, Token) and x.upper == "AS")]
+        return items[:k], rest[0] if rest and isinstance(rest[0], Token) and rest[0].kind in ("word", "bracket") and rest[0].upper not in ("WITH", "ON") else items[k - 1]
+
+    def joined(self, items: list) -> tuple[tuple[list, Token], tuple[list, Token] | None, list]:
+        """Target, source and condition of FROM <target> [JOIN <source> ON <condition>]."""
+        words = [x.upper if isinstance(x, Token) else "" for x in items]
+        if "JOIN" not in words:
+            return self.named(items), None, []
+        j, on = words.index("JOIN"), words.index("ON")
+        if "JOIN" in words[j + 1 :]:
+            self.result.warnings.append("only the first join of FROM is taken")
+        head = items[: j - 1] if words[j - 1] in ("INNER", "LEFT") else items[:j]
+        end = next((k for k in range(on, len(items)) if words[k] in ("INNER", "LEFT", "JOIN")), len(items))
+        return self.named(head), self.named(items[j + 1 : on]), items[on + 1 : end]
+
+    def update(self, items: list) -> str:
+        part = self.clauses(items[1:], ("SET", "OUTPUT", "FROM", "WHERE"))
+        if "OUTPUT" in part:
+            self.result.warnings.append("OUTPUT: see operators.dml.update_output")
+        table, alias = self.named(part[""])
+        source, on = None, []
+        if "FROM" in part:
+            (table, alias), source, on = self.joined(part["FROM"])
+        sets = {}
+        for p in split(part["SET"], ","):
+            eq = next(k for k, x in enumerate(p) if isinstance(x, Token) and x.text == "=")
+            sets[self.token(p[eq - 1])] = self.expression(p[eq + 1 :])
+        a = self.token(alias)
+        hit = self.expression(part["WHERE"]) if "WHERE" in part else "true"
+        hit = f"coalesce({hit}, false)"
+        if source:
+            name, other = source
+            b = self.token(other)
+            hit = f"{b}._hit IS NOT NULL AND {hit}"
+            start = f"{self.expression(table)} {a} LEFT JOIN (SELECT *, true AS _hit FROM {self.expression(name)}) {b} ON {self.expression(on)}"
+            self.done("update_join", "")
+        else:
+            start = f"{self.expression(table)} {a}"
+            self.done("update", "")
+        columns = ", ".join(f"CASE WHEN {hit} THEN {v} ELSE {a}.{c} END AS {c}" for c, v in sets.items())
+        return f"SELECT {a}.* EXCEPT ({', '.join(sets)}), {columns} FROM {start}"
+
+    def delete(self, items: list) -> str:
+        part = self.clauses(items[1:], ("OUTPUT", "FROM", "WHERE"))
+        given = part.get("FROM") or part[""]
+        (table, alias), source, on = self.joined(given)
+        a, where = self.token(alias), self.expression(part["WHERE"]) if "WHERE" in part else "true"
+        if source:
+            self.done("delete_join", "")
+            name, other = source
+            return f"SELECT {a}.* FROM {self.expression(table)} {a} WHERE NOT EXISTS (SELECT 1 FROM {self.expression(name)} {self.token(other)} WHERE ({self.expression(on)}) AND ({where}))"
+        return self.done("delete", f"SELECT {a}.* FROM {self.expression(table)} {a} WHERE NOT coalesce({where}, false)")
+
     # --- query blocks ---
     def query(self, items: list) -> str:
         """A query: common table expressions, then blocks joined by set operators."""
@@ -297,6 +369,13 @@ class Transpiler:
             del rest[k : k + 2]
             self.done("select_into", "")
             words = [x.upper if isinstance(x, Token) else "" for x in rest]
+        document = "FOR" in words and words.index("FOR") + 1 < len(words) and words[words.index("FOR") + 1] in ("JSON", "XML")
+        if document:
+            k = words.index("FOR")
+            if words[k + 1] == "XML":
+                self.result.warnings.append("FOR XML: see sources.queries.for_xml_path")
+            del rest[k:]
+            words = words[:k]
         if top is not None and (percent or ties):
             k = max(i for i, w in enumerate(words) if w == "ORDER") if "ORDER" in words else len(rest)
             order = self.expression(rest[k:])
@@ -317,6 +396,8 @@ class Transpiler:
                 sql += f" LIMIT {limit}"
             if offset is not None and offset != "0":
                 sql += f" OFFSET {offset}"
+        if document:
+            sql = self.done("for_json", f"SELECT to_json(collect_list(struct(*))) AS json FROM ({sql})")
         if into:
             sql = f"CREATE TABLE {into} USING parquet AS {sql}"
         return sql
@@ -335,8 +416,10 @@ def transpile(sql: str) -> Result:
     if not items:
         raise ValueError("an empty statement")
     first = items[0].upper if isinstance(items[0], Token) else ""
-    if first not in ("SELECT", "WITH"):
-        t.result.warnings.append(f"{first} is kept as it is; see operators.dml for UPDATE, DELETE and MERGE")
+    if first in ("UPDATE", "DELETE"):
+        t.result.sql = t.update(items) if first == "UPDATE" else t.delete(items)
+    elif first not in ("SELECT", "WITH"):
+        t.result.warnings.append(f"{first} is kept as it is; see operators.dml for MERGE")
         t.result.sql = t.expression(items)
     else:
         t.result.sql = t.query(items)

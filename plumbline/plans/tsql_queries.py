@@ -37,3 +37,8 @@ tsql_query("rewrite_recursive", "WITH n AS (SELECT 1 AS i UNION ALL SELECT i + 1
 tsql_query("rewrite_variables", "SELECT o_orderkey FROM orders WHERE o_orderstatus = @status AND o_totalprice > @low -- [not a name] 'nor a string", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O' AND o_totalprice > 400000", status="O", low=400000)
 tsql_query("rewrite_literals", "SELECT r_regionkey, 'TOP 5 [x] GETDATE() -- no' AS text FROM region /* ISNULL(a, b) */", "SELECT r_regionkey, 'TOP 5 [x] GETDATE() -- no' AS text FROM region")
 tsql_query("rewrite_now", "SELECT r_regionkey, GETDATE() AS now_time, SYSDATETIME() AS s, GETUTCDATE() AS u, NEWID() AS id FROM region")
+tsql_query("rewrite_update", "UPDATE dbo.part SET p_retailprice = p_retailprice + 5, p_type = N'CHANGED' WHERE p_size < 10", "SELECT p_partkey, p_name, p_brand, p_size, CASE WHEN p_size < 10 THEN p_retailprice + 5 ELSE p_retailprice END AS p_retailprice, CASE WHEN p_size < 10 THEN 'CHANGED' ELSE p_type END AS p_type FROM part")
+tsql_query("rewrite_update_join", "UPDATE o SET o.o_orderstatus = 'X' FROM dbo.orders o INNER JOIN dbo.customer c ON o.o_custkey = c.c_custkey WHERE c.c_mktsegment = N'BUILDING'", "SELECT o_orderkey, o_custkey, o_totalprice, o_orderdate, o_orderpriority, CASE WHEN c_mktsegment = 'BUILDING' THEN 'X' ELSE o_orderstatus END AS o_orderstatus FROM orders LEFT JOIN customer ON o_custkey = c_custkey")
+tsql_query("rewrite_delete_join", "DELETE o FROM orders o INNER JOIN customer c ON o.o_custkey = c.c_custkey WHERE c.c_acctbal < 0", "SELECT * FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)")
+tsql_query("rewrite_delete", "DELETE FROM [part] WHERE p_size > 25", "SELECT * FROM part WHERE p_size <= 25")
+tsql_query("rewrite_for_json", "SELECT r_regionkey AS id, r_name AS name FROM region WHERE r_regionkey = 1 FOR JSON PATH", """SELECT '[{"id":' || r_regionkey || ',"name":"' || r_name || '"}]' AS json FROM region WHERE r_regionkey = 1""")
