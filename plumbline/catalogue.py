@@ -1,7 +1,7 @@
 """Imports every module that registers queries."""
 
 from .functions import queries as functions  # noqa: F401
-from .operators import diff, dml, graph, relational  # noqa: F401
+from .operators import diff, dml, graph, order, relational  # noqa: F401
 from .plans import certify, procedures, reports, sandbox, sqltext, tsql_queries  # noqa: F401
 from .sources import queries as sources  # noqa: F401
 from .streaming import events  # noqa: F401

@@ -89,11 +89,8 @@ q("win_cume_percent", "SELECT product_id, round(cume_dist() OVER (PARTITION BY c
 # --- order, limits, paging ---
 q("order_by_multi", "SELECT customer_id, region, credit_limit FROM cust ORDER BY region, credit_limit DESC, customer_id")
 q("top_n", "SELECT order_id, amount FROM ord ORDER BY amount DESC, order_id LIMIT 10")
-q("top_percent", "SELECT order_id, amount FROM (SELECT order_id, amount, row_number() OVER (ORDER BY amount DESC, order_id) AS nth, count(*) OVER () AS n FROM ord) x WHERE nth <= ceil(n * 0.05)")
 q("top_with_ties", "SELECT product_id, min_stock FROM (SELECT product_id, min_stock, rank() OVER (ORDER BY min_stock DESC) AS rk FROM prod) x WHERE rk <= 5")
 q("offset_fetch", "SELECT order_id, order_date, status FROM ord WHERE status NOT IN ('P') ORDER BY order_date DESC, order_id LIMIT 10 OFFSET 20")
-q("page_with_total", "SELECT order_id, amount, CAST(count(*) OVER () AS BIGINT) AS total_rows FROM ord ORDER BY amount DESC, order_id LIMIT 20 OFFSET 40")
-q("repo_list_page", "SELECT customer_id, full_name, CAST(count(*) OVER () AS BIGINT) AS total FROM cust ORDER BY customer_id LIMIT 25 OFFSET 50")
 
 # --- set operations ---
 q("union_all", "SELECT product_name AS name, 'product' AS source FROM prod WHERE category = 'Brand#11' UNION ALL SELECT full_name, 'customer' FROM cust WHERE region = 'ASIA'")

@@ -132,3 +132,17 @@ def test_entry_without_them(spark, tmp_path):
     shutil.copytree(root / "plumbline", tmp_path / "plumbline", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     code = "import __spark_entry__ as e; q = e.queries(); assert 'report_sales' in q and not any(n.startswith('op1_') or n == 'pipeline' for n in q); assert set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"}, check=True, timeout=120)
+
+
+@pytest.mark.parametrize("descending", [True, False])
+def test_global_rank(spark, descending):
+    from plumbline.operators.order import global_rank, top_percent
+
+    values = [(i, None if i % 17 == 0 else float(i * 7919 % 101)) for i in range(500)]
+    df = spark.createDataFrame(values, "k int, v double").repartition(5)
+    want = sorted(values, key=lambda t: (t[1] is None, (-t[1] if descending else t[1]) if t[1] is not None else 0, t[0]))
+    got = {r.k: r.rank for r in global_rank(df, "v", ["k"], descending, buckets=7).collect()}
+    assert [got[k] for k, _ in want] == list(range(1, 501))
+    if descending:
+        assert {r.k for r in top_percent(df, 3, "v", ["k"]).collect()} == {k for k, _ in want[:15]}
+    assert global_rank(df.where("false"), "v", ["k"]).isEmpty()
