@@ -172,11 +172,14 @@ def near_classes(prints: DataFrame, bound: int = 2, m: int = 5, dense: int = 128
     """doc_id, fp and component_id of every row of prints (doc_id, fp)."""
     classes = saved(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-classes")
     keys = classes.select("fp").mapInPandas(_keys(m, bound), "start int, key long, fp long")
-    edges = keys.repartition("start", "key").mapInPandas(_links(m, bound, dense), "u long, v long")
+    # a partition is held whole: a million rows or so each
+    parts = max(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-classes.count() * m // 1_000_000))
+    edges = keys.repartition(parts, "start", "key").mapInPandas(_links(m, bound, dense), "u long, v long")
     roots = components(edges, "simhash-components")
     member = roots.join(classes, roots["node"] == classes["fp"]).select("node", "root", "least")
     named = member.join(member.groupBy("root").agg(F.min("least").alias("component")), "root").select("node", "component")
-    label = classes.join(named, classes["fp"] == named["node"], "left").select("fp", F.coalesce("component", "least").alias("component_id"))
+    # written, so that the last join deals out both its sides, and one with a hot fingerprint can be split
+    label = saved(classes.join(named, classes["fp"] == named["node"], "left").select("fp", F.coalesce("component", "least").alias("component_id")), "simhash-labels")
     return prints.join(label, "fp").select("doc_id", "fp", "component_id")
 
 
