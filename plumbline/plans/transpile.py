@@ -14,7 +14,7 @@ from .lexer import Group, Token, split, tokenize, tree
 CONFIDENCE = {
     "top_to_limit": 0.98, "top_percent": 0.9, "top_with_ties": 0.95, "offset_fetch": 0.98, "fetch_first": 0.95, "brackets": 0.99, "national_strings": 0.99, "hints": 0.95, "getdate": 0.95, "getutcdate": 0.9, "sysdatetime": 0.92,
     "isnull": 0.98, "len": 0.95, "newid": 0.95, "charindex": 0.95, "patindex": 0.85, "stuff": 0.95, "replicate": 0.98, "dateadd": 0.95, "datediff": 0.9, "datepart": 0.9, "datename": 0.85, "eomonth": 0.95, "datetrunc": 0.9, "format": 0.8,
-    "iif": 0.99, "choose": 0.98, "convert": 0.85, "try_convert": 0.85, "concat": 0.95, "quotename": 0.95, "plus_concat": 0.85, "apply": 0.95, "variables": 0.95, "select_into": 0.85, "isnumeric": 0.9, "schema_prefix": 0.98, "types": 0.95, "identity": 0.6, "update": 0.9, "update_join": 0.8, "delete": 0.95, "delete_join": 0.85, "for_json": 0.8,
+    "iif": 0.99, "choose": 0.98, "convert": 0.85, "try_convert": 0.85, "concat": 0.95, "quotename": 0.95, "plus_concat": 0.85, "apply": 0.95, "variables": 0.95, "select_into": 0.85, "isnumeric": 0.9, "schema_prefix": 0.98, "types": 0.95, "identity": 0.6, "update": 0.9, "update_join": 0.8, "delete": 0.95, "delete_join": 0.85, "for_json": 0.8, "json_value": 0.95, "string_split": 0.95, "generate_series": 0.95, "ident_current": 0.6,
 }
 TYPES = {
     "NVARCHAR": "STRING", "VARCHAR": "STRING", "NCHAR": "STRING", "CHAR": "STRING", "TEXT": "STRING", "NTEXT": "STRING", "BIT": "BOOLEAN", "DATETIME": "TIMESTAMP_NTZ", "DATETIME2": "TIMESTAMP_NTZ", "SMALLDATETIME": "TIMESTAMP_NTZ",
@@ -51,7 +51,9 @@ class Transpiler:
             "IIF": self.call("iif", "if({0}, {1}, {2})"), "CHARINDEX": self.charindex, "PATINDEX": self.patindex, "STUFF": self.call("stuff", "overlay({0} PLACING {3} FROM {1} FOR {2})"), "CHOOSE": lambda a: self.done("choose", f"elt({', '.join(a)})"),
             "DATEADD": self.dateadd, "DATEDIFF": self.datediff, "DATEDIFF_BIG": self.datediff, "DATEPART": self.datepart, "DATENAME": self.datename, "DATETRUNC": self.datetrunc, "EOMONTH": self.eomonth, "FORMAT": self.format, "CONVERT": self.convert("CAST", "convert"),
             "TRY_CONVERT": self.convert("try_cast", "try_convert"), "CONCAT": lambda a: self.done("concat", "concat(" + ", ".join(f"coalesce(CAST({x} AS STRING), '')" for x in a) + ")"),
-            "QUOTENAME": self.call("quotename", "concat('[', replace({0}, ']', ']]'), ']')"), "ISNUMERIC": self.call("isnumeric", "CAST(coalesce(CAST({0} AS STRING) RLIKE '^[+-]?([0-9]+[.]?[0-9]*|[0-9]*[.]?[0-9]+)$', false) AS INT)"),
+            "JSON_VALUE": self.call("json_value", "get_json_object({0}, {1})"), "JSON_QUERY": self.call("json_value", "get_json_object({0}, {1})"),
+            "STRING_SPLIT": self.call("string_split", "(SELECT explode(split({0}, concat('\\\\Q', {1}, '\\\\E'))) AS value)"), "GENERATE_SERIES": self.series,
+            "SCOPE_IDENTITY": self.identity, "IDENT_CURRENT": self.identity, "QUOTENAME": self.call("quotename", "concat('[', replace({0}, ']', ']]'), ']')"), "ISNUMERIC": self.call("isnumeric", "CAST(coalesce(CAST({0} AS STRING) RLIKE '^[+-]?([0-9]+[.]?[0-9]*|[0-9]*[.]?[0-9]+)$', false) AS INT)"),
         }
 
     def done(self, rule: str, sql: str) -> str:
@@ -66,6 +68,13 @@ class Transpiler:
         return lambda args: self.done(rule, template.format(*args))
 
     # --- functions whose form depends on their arguments ---
+    def series(self, a: list[str]) -> str:
+        return self.done("generate_series", f"(SELECT explode(sequence({', '.join(a)})) AS value)")
+
+    def identity(self, a: list[str]) -> str:
+        self.result.warnings.append("identities are given by the writer: see surrogate_key")
+        return self.done("ident_current", "CAST(NULL AS BIGINT)")
+
     def charindex(self, a: list[str]) -> str:
         return self.done("charindex", f"locate({', '.join(a)})")
 
@@ -184,7 +193,11 @@ class Transpiler:
             elif x.kind == "word" and x.upper in ("CROSS", "OUTER") and isinstance(nxt, Token) and nxt.upper == "APPLY":
                 out.append(self.done("apply", "JOIN LATERAL" if x.upper == "CROSS" else "LEFT JOIN LATERAL"))
                 i += 2
-                out.append(self.expression([items[i]]))
+                table = [items[i]]
+                if not isinstance(items[i], Group) and i + 1 < len(items) and isinstance(items[i + 1], Group):
+                    i += 1
+                    table.append(items[i])
+                out.append(self.expression(table))
                 while i + 1 < len(items) and isinstance(items[i + 1], Token) and items[i + 1].kind in ("word", "bracket") and items[i + 1].upper not in CLAUSES | {"CROSS", "OUTER", "JOIN", "INNER", "LEFT", "RIGHT", "FULL", "ON"}:
                     i += 1
                     out.append(self.token(items[i]))

@@ -42,3 +42,6 @@ tsql_query("rewrite_update_join", "UPDATE o SET o.o_orderstatus = 'X' FROM dbo.o
 tsql_query("rewrite_delete_join", "DELETE o FROM orders o INNER JOIN customer c ON o.o_custkey = c.c_custkey WHERE c.c_acctbal < 0", "SELECT * FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)")
 tsql_query("rewrite_delete", "DELETE FROM [part] WHERE p_size > 25", "SELECT * FROM part WHERE p_size <= 25")
 tsql_query("rewrite_for_json", "SELECT r_regionkey AS id, r_name AS name FROM region WHERE r_regionkey = 1 FOR JSON PATH", """SELECT '[{"id":' || r_regionkey || ',"name":"' || r_name || '"}]' AS json FROM region WHERE r_regionkey = 1""")
+tsql_query("rewrite_string_split", "SELECT p.p_partkey, w.value FROM part p CROSS APPLY STRING_SPLIT(p.p_name, ' ') w WHERE w.value <> 'blue'", "SELECT p_partkey, value FROM (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS value FROM part) x WHERE value <> 'blue'")
+tsql_query("rewrite_json_value", "SELECT event_id, CAST(JSON_VALUE(props, '$.k') AS INT) AS k FROM events", "SELECT event_id, CAST(json_extract(props, '$.k') AS INT) AS k FROM events")
+tsql_query("rewrite_series", "SELECT s.value, COUNT(p.p_partkey) AS n FROM GENERATE_SERIES(1, 50) s LEFT JOIN part p ON p.p_size = s.value GROUP BY s.value", "SELECT CAST(range AS INT) AS value, count(p_partkey) AS n FROM range(1, 51) LEFT JOIN part ON p_size = range GROUP BY range")
