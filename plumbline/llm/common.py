@@ -48,6 +48,18 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
+def parts_for(df: DataFrame, bytes_each: int = 256 << 20) -> int:
+    """Partitions for a shuffle of what comes from df: as configured, more where its input is larger than so many bytes each."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(-(-size // bytes_each), 200_000))
+
+
+def forget(spark: SparkSession) -> None:
+    """Removes what this application has written to the shared folder, once its results are read."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{spark.sparkContext.applicationId}")
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """df written as a Parquet table in the shared folder and read again: its lineage ends there."""
     path = new_path(df.sparkSession, name)

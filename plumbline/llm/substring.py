@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, saved
+from .common import parts_for, read, saved
 
 ODD = np.uint64(0x9E3779B97F4A7C15)
 #: Most words of a symbol, and most windows of an anchor that a mask holds.
@@ -351,12 +351,13 @@ def without_repeats(docs: DataFrame, window: int = 35, texts: bool = True) -> Da
     if not 3 <= window <= 48:
         raise ValueError("a window has 3 to 48 words")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    asked = rows.mapInPandas(_ask(window), "k long, row long, code long").repartition("k")
+    parts = parts_for(docs)
+    asked = rows.mapInPandas(_ask(window), "k long, row long, code long").repartition(parts, "k")
     codes = asked.mapInPandas(_answer, "row long, code long").groupBy("row").agg(F.collect_list("code").alias("codes"))
     packed = rows.mapInPandas(_packed, "row long, doc_id long, z binary")
     met = saved(packed.join(codes, "row", "left").mapInPandas(_meet, "row long, doc_id long, n_words long, kept_sha256 string, z binary, codes array<long>"), "substring-texts")
     shared = met.where("z is not null")
-    windows = shared.select("row", "z", "codes").mapInPandas(_windows(window), "k long, row long, at long, hashes binary").repartition("k")
+    windows = shared.select("row", "z", "codes").mapInPandas(_windows(window), "k long, row long, at long, hashes binary").repartition(parts, "k")
     hits = windows.mapInPandas(_masks, "row long, hit long").groupBy("row").agg(F.collect_list("hit").alias("hits"))
     cut = shared.select("row", "doc_id", "z").join(hits, "row", "left").mapInPandas(_finish(window, texts), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
     done = met.where("z is null").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256", F.lit(None).cast("string").alias("kept"))
