@@ -80,7 +80,7 @@ def graph_reachable(spark, sf):
 KEYS = {"region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "orders": "o_orderkey"}
 
 
-@query("graph_build", "SELECT 'table' AS type, table_name AS name, CAST(NULL AS VARCHAR) AS parent FROM duckdb_tables() WHERE false UNION ALL SELECT 'column', column_name, table_name FROM duckdb_columns() WHERE table_name IN ('region', 'nation', 'customer', 'orders') UNION ALL SELECT * FROM (VALUES ('table', 'region', NULL), ('table', 'nation', NULL), ('table', 'customer', NULL), ('table', 'orders', NULL), ('constraint', 'pk_region', 'region'), ('constraint', 'pk_nation', 'nation'), ('constraint', 'pk_customer', 'customer'), ('constraint', 'pk_orders', 'orders')) v(type, name, parent)")
+@query("graph_build", " UNION ALL ".join(f"SELECT 'table' AS type, '{t}' AS name, CAST(NULL AS VARCHAR) AS parent UNION ALL SELECT 'constraint', 'pk_{t}', '{t}' UNION ALL SELECT 'column', column_name, '{t}' FROM (DESCRIBE {t})" for t in KEYS))
 def graph_build(spark, sf):
     """Nodes of a schema: tables, columns and key constraints."""
     columns = describe(spark, sf, KEYS)

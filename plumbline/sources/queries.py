@@ -36,7 +36,7 @@ def describe(spark, sf_dir: str, tables) -> DataFrame:
     return spark.createDataFrame(rows, "table_name string, column_name string, ordinal long, data_type string")
 
 
-@query("catalog_tables", "SELECT table_name, column_name, CAST(ordinal_position AS BIGINT) AS ordinal FROM (SELECT table_name, column_name, ordinal_position FROM (VALUES " + ", ".join(f"('{t}')" for t in BUSINESS) + ") v(t) JOIN (SELECT table_name, column_name, column_index AS ordinal_position FROM duckdb_columns()) c ON v.t = c.table_name) x")
+@query("catalog_tables", " UNION ALL ".join(f"SELECT '{t}' AS table_name, column_name, CAST(row_number() OVER () AS BIGINT) AS ordinal FROM (DESCRIBE {t})" for t in BUSINESS))
 def catalog_tables(spark, sf):
     return describe(spark, sf, BUSINESS).drop("data_type")
 
