@@ -1,13 +1,16 @@
 """Mixing sources to target weights by pivotal dependent rounding, in DataFrame operations only.
 
 Every document of a source has the same expected number of copies, target / source size. Its whole part is given;
-the fraction is rounded dependently: two fractional documents meet, one hands mass to the other at random until
-one of them is 0 or 1, the other goes on. That keeps each expectation and, at every moment, the sum. Documents of
-about one size meet first, so the words taken follow the target as closely as the copies do.
+the fraction is rounded dependently: two fractional documents meet, and words pass from one to the other, in a random
+direction, until one of them is taken whole or not at all; the other goes on. The direction's odds keep each
+document's expectation, and the words that both stand for stay the same. So the words taken differ from the target by
+the last document left at most. Large documents meet first, so that one is a small one.
 
 The meetings form a reduction tree. A leaf folds at most a few hundred documents of one source and size class; it
 leaves one residual document. Residuals of ``fan_in`` neighbouring leaves meet in the next round, until each size
-class, and at last each source, has one, which is rounded by its own probability. A hot source only has more
+class, and at last each source, has one, which is rounded by its own probability. About ``reserve`` documents of each
+source join only at its root, to take up what large residuals still hold. Before all that, documents with over
+1 / ``giants`` of their source's words are rounded one by one against all the others of the source together. A hot source only has more
 leaves, never larger ones.
 
 Cases. Null text: size 0. Null source: a source of its own, ordered last. Null or repeated doc_id: each row is a
@@ -20,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import as_row, count_words, field, from_row, read, saved, uniform
+from .common import as_row, count_words, field, from_row, let, read, saved, uniform
 
 EPS = 1e-9
 
@@ -55,33 +58,58 @@ def _fold(units: Column, level: int, seed: int) -> Column:
     unit = "struct<size:bigint,doc_id:bigint,row_id:bigint,p:double>"
     start = F.struct(F.lit(None).cast(unit).alias("rest"), F.expr("cast(array() as array<struct<row_id:bigint,one:int>>)").alias("done"))
 
-    def decided(u: Column, one: int) -> Column:
-        return F.array(F.struct(u["row_id"].alias("row_id"), F.lit(one).alias("one")))
-
     def with_p(u: Column, p: Column) -> Column:
         return F.struct(u["size"].alias("size"), u["doc_id"].alias("doc_id"), u["row_id"].alias("row_id"), p.alias("p"))
 
+    def meet(rest: Column, x: Column) -> Column:
+        """Both documents' fractions after some words have passed between them."""
+        a, b, m, n = rest["p"], x["p"], rest["size"], x["size"]
+        flows = F.struct(F.least((1.0 - a) * m, b * n).alias("to"), F.least(a * m, (1.0 - b) * n).alias("fro"))
+        r = uniform(rest["doc_id"], m, x["doc_id"], n, F.lit(level), F.lit(seed))
+        moved = let(flows, lambda f: F.when(r * (f["to"] + f["fro"]) < f["fro"], f["to"]).otherwise(-f["fro"]))
+        return let(moved, lambda d: F.struct((a + d / m).alias("a"), (b - d / n).alias("b")))
+
+    def is_open(p: Column) -> Column:
+        return (p > EPS) & (p < 1.0 - EPS)
+
+    def settled(u: Column, p: Column) -> Column:
+        done = F.array(F.struct(u["row_id"].alias("row_id"), F.round(p).cast("int").alias("one")))
+        return F.when(is_open(p), F.expr("cast(array() as array<struct<row_id:bigint,one:int>>)")).otherwise(done)
+
     def step(acc: Column, x: Column) -> Column:
         rest, done = acc["rest"], acc["done"]
-        a, b = rest["p"], x["p"]
-        r = uniform(rest["doc_id"], rest["size"], x["doc_id"], x["size"], F.lit(level), F.lit(seed))
-        # below 1 in sum: one loses all; above: one is completed
-        low_wins = r * (a + b) < a
-        high_wins = r * (2.0 - a - b) < 1.0 - b
-        none = F.lit(None).cast(unit)
-        outcome = (
-            F.when(rest.isNull(), F.struct(x.alias("rest"), done.alias("done")))
-            .when(F.abs(a + b - 1.0) < EPS, F.struct(none.alias("rest"), F.concat(done, F.when(low_wins, F.concat(decided(rest, 1), decided(x, 0))).otherwise(F.concat(decided(rest, 0), decided(x, 1)))).alias("done")))
-            .when(a + b < 1.0, F.when(low_wins, F.struct(with_p(rest, a + b).alias("rest"), F.concat(done, decided(x, 0)).alias("done"))).otherwise(F.struct(with_p(x, a + b).alias("rest"), F.concat(done, decided(rest, 0)).alias("done"))))
-            .otherwise(F.when(high_wins, F.struct(with_p(x, a + b - 1.0).alias("rest"), F.concat(done, decided(rest, 1)).alias("done"))).otherwise(F.struct(with_p(rest, a + b - 1.0).alias("rest"), F.concat(done, decided(x, 1)).alias("done"))))
-        )
-        return outcome
-
-    return F.aggregate(F.sort_array(units), start, step)
+        after = let(meet(rest, x), lambda q: F.struct(F.when(is_open(q["a"]), with_p(rest, q["a"])).when(is_open(q["b"]), with_p(x, q["b"])).alias("rest"), F.concat(done, settled(rest, q["a"]), settled(x, q["b"])).alias("done")))
+        return F.when(rest.isNull(), F.struct(x.alias("rest"), done.alias("done"))).otherwise(after)
+
+    return F.aggregate(F.sort_array(units, asc=False), start, step)
+
+
+def _giants(units: Column, p: Column, mass: Column, seed: int) -> Column:
+    """Rounds the largest documents of a source, each against all the others together.
+
+    units: array of (size, doc_id, row_id); p: the fraction that all documents of the source have; mass: their words.
+    All others have one fraction, so that words which pass between one document and all others change that fraction
+    alike, and each keeps its expectation. Gives (p of the others, done: array of (row_id, p)).
+    """
+    start = F.struct(p.alias("p"), mass.cast("double").alias("mass"), F.expr("cast(array() as array<struct<row_id:bigint,p:double>>)").alias("done"))
+
+    def step(acc: Column, x: Column) -> Column:
+        q, s, rest = acc["p"], x["size"], acc["mass"] - x["size"]
+        r = uniform(x["doc_id"], s, F.lit("giant"), F.lit(seed))
+        flows = F.struct(F.least((1.0 - q) * s, q * rest).alias("to"), F.least(q * s, (1.0 - q) * rest).alias("fro"))
+        moved = let(flows, lambda f: F.when(r * (f["to"] + f["fro"]) < f["fro"], f["to"]).otherwise(-f["fro"]))
+
+        def after(d: Column) -> Column:
+            others = F.least(F.lit(1.0), F.greatest(F.lit(0.0), q - F.when(rest > 0, d / rest).otherwise(F.lit(0.0))))
+            return F.struct(others.alias("p"), rest.alias("mass"), F.concat(acc["done"], F.array(F.struct(x["row_id"].alias("row_id"), (q + d / s).alias("p")))).alias("done"))
+
+        return let(moved, after)
+
+    return F.aggregate(F.sort_array(units, asc=False), start, step)
 
 
 def mix(
-    docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_repeat: int = 3, leaf: int = 128, fan_in: int = 64, seed: int = 7
+    docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_repeat: int = 3, leaf: int = 128, fan_in: int = 64, reserve: int = 384, giants: int = 200, seed: int = 7
 ) -> DataFrame:
     """doc_id, source, size, source_size, target and copies of every row of docs (doc_id, text, source)."""
     spark = docs.sparkSession
@@ -96,38 +124,57 @@ def mix(
     rows = units.join(per, units["source"].eqNullSafe(per["source"]), "inner").drop(per["source"]).withColumn("cls", cls)
     whole = F.floor(F.col("share") + EPS)
     rows = rows.withColumn("whole", whole.cast("int")).withColumn("p", F.greatest(F.lit(0.0), F.col("share") - whole))
-    open_rows = rows.where(F.col("p") > EPS)
+    open_rows = rows.where((F.col("p") > EPS) & (F.col("size") > 0))
+    # at most giants of them in a source
+    large = open_rows.where(F.col("size") * giants > F.col("source_size")).groupBy("source").agg(
+        _giants(F.collect_list(F.struct("size", "doc_id", "row_id")), F.first("p"), F.first("source_size"), seed).alias("g")
+    )
+    large = saved(large.select("source", "g.p", "g.done"), "mix-giants")
+    settled = large.select(F.explode("done").alias("d")).select("d.*")
+    closed = (F.col("p") <= EPS) | (F.col("p") >= 1.0 - EPS)
+    done = settled.where(closed).select("row_id", F.round("p").cast("int").alias("one"))
+    left_over = settled.where(~closed).withColumnRenamed("p", "_p")
+    rest = large.select(F.col("source").alias("_source"), F.col("p").alias("_p"))
+    small = open_rows.where(F.col("size") * giants <= F.col("source_size")).join(rest, F.col("source").eqNullSafe(F.col("_source")), "left")
+    small = small.withColumn("p", F.coalesce("_p", "p")).drop("_p", "_source")
+    done = done.unionByName(small.where(closed).select("row_id", F.round("p").cast("int").alias("one")))
+    still = open_rows.join(left_over, "row_id").withColumn("p", F.col("_p")).drop("_p")
+    open_rows = small.where(~closed)
+    # a few documents of each source meet the others only at the root, where what large ones leave over finds takers
+    unit = F.struct("r.size", "r.doc_id", "r.row_id", "r.p").alias("u")
+    # (drawn by size, so that the largest, which leave most, are there and sizes below them follow closely)
+    late = uniform(F.col("doc_id"), F.col("size"), F.lit(seed), F.lit("late")) * F.col("source_size") < F.col("size") * reserve
+    waiting = open_rows.where(late).unionByName(still.select(*open_rows.columns)).alias("r").select("r.source", F.lit(0).alias("cls"), F.lit(0).alias("node"), unit)
+    open_rows = open_rows.where(~late)
     n = open_rows.groupBy("source", "cls").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(leaf))).cast("int").alias("leaves"))
     keyed = (
         open_rows.alias("r").join(n.alias("n"), F.col("r.source").eqNullSafe(F.col("n.source")) & (F.col("r.cls") == F.col("n.cls")))
-        .select("r.source", "r.cls", F.pmod(F.xxhash64(F.lit(seed), "r.doc_id", "r.size"), F.col("n.leaves")).cast("int").alias("node"), F.struct("r.size", "r.doc_id", "r.row_id", "r.p").alias("u"))
+        .select("r.source", "r.cls", F.pmod(F.xxhash64(F.lit(seed), "r.doc_id", "r.size"), F.col("n.leaves")).cast("int").alias("node"), unit)
     )
     most = n.agg(F.max("leaves")).first()[0] or 0
     rounds, width = 1, most
     while width > 1:
         rounds, width = rounds + 1, -(-width // fan_in)
-    done = None
     level = 0
-    plan = ["leaf"] + ["node"] * (rounds - 1) + ["class", "source"]
-    for what in plan if most else []:
+    plan = (["leaf"] + ["node"] * (rounds - 1) + ["class"] if most else []) + ["source"]
+    for what in plan:
         if what == "node":
             keyed = keyed.withColumn("node", F.floor(F.col("node") / fan_in).cast("int"))
         elif what == "class":
             keyed = keyed.withColumn("node", F.lit(0)).withColumn("cls", F.floor(F.col("cls") / 8).cast("int"))
         elif what == "source":
-            keyed = keyed.withColumn("cls", F.lit(0))
+            keyed = keyed.withColumn("cls", F.lit(0)).unionByName(waiting)
         folded = saved(keyed.groupBy("source", "cls", "node").agg(_fold(F.collect_list("u"), level, seed).alias("f")), f"mix-level{level}")
         now = folded.select(F.explode("f.done").alias("d")).select("d.*")
-        done = now if done is None else done.unionByName(now)
+        done = done.unionByName(now)
         keyed = folded.where("f.rest is not null").select("source", "cls", "node", F.col("f.rest").alias("u"))
         level += 1
-    if done is None:
-        done = spark.createDataFrame([], "row_id long, one int")
-    else:
-        last = keyed.select(F.col("u.row_id").alias("row_id"), (uniform(F.col("u.doc_id"), F.col("u.size"), F.lit(seed)) < F.col("u.p")).cast("int").alias("one"))
-        done = done.unionByName(last)
+    last = keyed.select(F.col("u.row_id").alias("row_id"), (uniform(F.col("u.doc_id"), F.col("u.size"), F.lit(seed)) < F.col("u.p")).cast("int").alias("one"))
+    done = done.unionByName(last)
     out = rows.join(done, "row_id", "left")
-    copies = (F.col("whole") + F.coalesce("one", F.lit(0))).cast("long")
+    # documents without a word have no mass to pass on: each is rounded by itself
+    alone = ((F.col("size") == 0) & (uniform(F.col("doc_id"), F.lit(seed)) < F.col("p"))).cast("int")
+    copies = (F.col("whole") + F.coalesce("one", alone)).cast("long")
     return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"))
 
 

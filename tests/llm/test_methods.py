@@ -54,13 +54,9 @@ def test_mix(spark, seed):
         assert int(share) <= r.copies <= min(3, int(share) + 1) or r.copies == pytest.approx(share)
         taken[r.source] += r.copies * r.size
     for s, n in taken.items():
-        assert abs(n - want[s]) <= max(0.02 * want[s], max(r.size for r in got if r.source == s)), s
+        # off by one document at most, and that one of the smaller ones
+        assert abs(n - want[s]) <= max(0.002 * want[s], sorted(r.size for r in got if r.source == s)[sum(r.source == s for r in got) // 2]), s
     assert sorted(map(tuple, mixing.mix(docs, leaf=32, fan_in=4).collect()), key=str) == sorted(map(tuple, got), key=str)
-    # the copies of each source add up to their expectation, to one
-    for s in sizes:
-        mine = [r for r in got if r.source == s]
-        share = want[s] / sizes[s] if sizes[s] else 0
-        assert abs(sum(r.copies for r in mine) - share * len(mine)) < 1 + 1e-6
     assert mixing.mixed_documents(docs, leaf=32, fan_in=4).count() == sum(r.copies for r in got)
 
 
