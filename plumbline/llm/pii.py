@@ -72,7 +72,7 @@ def _features(kind: int, s: Column) -> Column:
         luhn(m).cast("int"), s["edge"].rlike("^[A-Za-z0-9]").cast("int"), low.rlike("[A-Za-z0-9]$").cast("int"),
         *[low.rlike(CONTEXT[k]).cast("int") for k in KINDS],
         count(":"), F.char_length(F.regexp_extract(m, "[A-Za-z]*$", 0)), count("[0-9]+"), F.char_length(F.regexp_extract(m, "^[^0-9]*([0-9]*)", 1)),
-        F.char_length(F.regexp_extract(m, "([0-9]*)$", 1)), count("/"),
+        F.char_length(F.regexp_extract(m, "([0-9]*)$", 1)), count("/"), count(r"\.\x20"), count("[A-Z]"),
     ]
     return F.array(*[v.cast("double") for v in values])
 
@@ -122,7 +122,7 @@ def _sentences(n: int, seed: int) -> list[tuple[str, int, int, int]]:
 
     told = {"email": ["email", "mail me:", "contact", "write to"], "ip": ["server", "ip", "host", "login from"], "card": ["card", "visa", "credit card number", "payment by"], "phone": ["call", "phone:", "tel.", "mobile", "fax"]}
     plain = [
-        lambda: f"{word()} at {word()}. {word().title()} {word()}", lambda: f"looked at {word()}. {word().title()}", lambda: f"{num(4)}-{num(4)}-{num(4)} {num(2)}",
+        lambda: f"{word()} at {word()}. {word().title()} {word()}", lambda: f"{word()} at {word()}. {word().title()}. {word().title()}. {word().title()} {word()}", lambda: f"{word()} at {word()}. {word()} . {word()}", lambda: f"looked at {word()}. {word().title()}", lambda: f"{num(4)}-{num(4)}-{num(4)} {num(2)}",
         lambda: f"20{num(2)} {num(3)} {num(3)}", lambda: f"pages {num(3)}-{num(3)} {num(3)}", lambda: f"{num(2)} {num(3)} {num(4)}", lambda: f"{num(4)} {num(4)} {num(4)} {num(4)}",
         lambda: f"{num(4)}. {num(4)}. {num(4)}. {num(4)}", lambda: f"part {num(4)}/{num(4)}/{num(4)}/{num(3)}", lambda: f"{num(1)}. {num(1)}. {num(2)}. {num(1)}", lambda: f"version {num(1)} .{num(1)} .{num(2)} .{num(3)}",
         lambda: f"{num(4)}.{num(3)}.{num(3)}", lambda: f"at {num(2)}.{num(3)} {num(4)}", lambda: f"{word()} @ {word()} . {word()}", lambda: f"{num(2)}/{num(4)}{num(3)}",
