@@ -18,12 +18,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import let, read, saved, words
+from .wordcodes import word_codes
 
 PIECE = 32
 PAD = 256
@@ -152,12 +153,12 @@ class Labels:
 
     def __init__(self, w: dict[str, np.ndarray], keep: int = 500_000):
         self.w, self.keep, self.langs = w, keep, len(w["ob"])
-        self.at: dict[bytes, int] = {}
+        self.at: dict[str, int] = {}
         self.sums = np.zeros((0, self.langs), np.float32)
 
-    def learn(self, fresh: list[bytes], batch: int = 2048) -> None:
+    def learn(self, fresh: list[str], batch: int = 2048) -> None:
         pieces, owner = [], []
-        for k, word in enumerate(fresh):
+        for k, word in enumerate(w.encode("utf-8", "replace") for w in fresh):
             for p in range(0, len(word), PIECE):
                 pieces.append(word[p : p + PIECE])
                 owner.append(k)
@@ -172,19 +173,18 @@ class Labels:
         self.at.update((word, first + k) for k, word in enumerate(fresh))
         self.sums = np.concatenate([self.sums, sums])
 
-    def documents(self, texts: list[str | None]) -> np.ndarray:
+    def documents(self, texts: pa.Array) -> np.ndarray:
         """Mean probabilities [text, langs]; zeros for a text without a byte."""
-        split = [(t or "").encode("utf-8", "replace").lower().split() for t in texts]
+        words, codes, first = word_codes(texts, lower=True)
         if len(self.at) > self.keep:
             self.at, self.sums = {}, self.sums[:0]
-        fresh = set().union(*split).difference(self.at)
-        self.learn(sorted(fresh))
+        self.learn([w for w in words if w not in self.at])
+        own = self.sums[np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))].astype(np.float64)
         out = np.zeros((len(texts), self.langs))
-        get = self.at.__getitem__
-        for k, ws in enumerate(split):
-            if ws:
-                total = self.sums[np.fromiter(map(get, ws), np.int64, len(ws))].sum(axis=0, dtype=np.float64)
-                out[k] = total / total.sum()
+        real = first[1:] > first[:-1]
+        if real.any():
+            total = np.add.reduceat(own[codes], first[:-1][real], axis=0)
+            out[real] = total / total.sum(axis=1, keepdims=True)
         return out
 
 
@@ -201,19 +201,19 @@ def _labels(w: dict[str, np.ndarray]) -> Labels:
 
 
 def _predict(w: dict[str, np.ndarray] | None, langs: list[str]):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labels = _labels(w) if w is not None else None
         for batch in batches:
-            for at in range(0, len(batch), 1000):
-                part = batch.iloc[at : at + 1000]
-                texts = part["text"].tolist()
-                some = np.array([t is not None and any(map(str.isalpha, t)) for t in texts], bool)
-                pred, score = np.full(len(part), "und", object), np.zeros(len(part))
+            for at in range(0, batch.num_rows, 2000):
+                part = batch.slice(at, 2000)
+                texts = part.column("text")
+                some = np.array([t is not None and any(map(str.isalpha, t)) for t in texts.to_pylist()], bool)
+                pred, score = np.full(len(some), "und", object), np.zeros(len(some))
                 if labels is not None and some.any():
-                    p = labels.documents([t for t, s in zip(texts, some) if s])
+                    p = labels.documents(texts.filter(pa.array(some)))
                     pred[some] = [langs[k] for k in p.argmax(axis=1)]
-                    score[some] = np.clip(p.max(axis=1), 0, 1)
-                yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "held_out": part["held_out"].astype(bool), "lang_pred": pred, "score": score})
+                    score[some] = np.clip(np.round(p.max(axis=1), 6), 0, 1)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(pred, pa.string()), pa.array(score)], ["doc_id", "held_out", "lang_pred", "score"])
 
     return run
 
@@ -246,7 +246,7 @@ def identify(docs: DataFrame, per_lang: int = 300, per_doc: int = 150, hidden: i
     sample = training_words(docs, per_lang, per_doc)
     langs = sorted({y for _, y in sample})
     w = train([(s, langs.index(y)) for s, y in sample], len(langs), hidden, steps) if langs else None
-    return docs.select("doc_id", "text", held_out().alias("held_out")).mapInPandas(_predict(w, langs), "doc_id long, held_out boolean, lang_pred string, score double")
+    return docs.select("doc_id", "text", held_out().alias("held_out")).mapInArrow(_predict(w, langs), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
