@@ -240,15 +240,18 @@ def _place(plan):
     return run
 
 
-def pack(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id: int = 1, salts: int = 64) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id: int = 1, rank_group: int = 200) -> DataFrame:
+    """PIECES, sequence_id and offset of every piece of docs (doc_id, text). rank_group: pieces ranked together, about."""
     spark = docs.sparkSession
-    pieces = saved(tokenised_pieces(docs, vocabulary, capacity, end_id).withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int")), "pack-pieces")
-    per = pieces.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
-    # at most capacity rows come to the driver
-    histogram = {int(r["length"]): int(r["n"]) for r in per.groupBy("length").agg(F.sum("n").alias("n")).collect()}
+    pieces = saved(tokenised_pieces(docs, vocabulary, capacity, end_id).withColumn("h", F.xxhash64("doc_id", "piece", "ids_crc32")), "pack-pieces")
+    # at most capacity rows come to the driver, and go back as the number of groups of each length
+    histogram = {int(r["length"]): int(r["n"]) for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     plan = spark.sparkContext.broadcast(_lookup(plan_bins(histogram, capacity)))
+    groups = spark.createDataFrame([(k, -(-n // rank_group)) for k, n in histogram.items()], "length long, groups long")
+    salted = pieces.join(F.broadcast(groups), "length").withColumn("salt", F.pmod("h", "groups")).drop("groups")
+    per = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
     before = per.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    ranked = pieces.withColumn("nth", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")))
+    ranked = salted.withColumn("nth", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")))
     ranked = ranked.join(before, ["length", "salt"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("nth") - 1).alias("rank"))
     return ranked.mapInPandas(_place(plan), PIECES + ", sequence_id long, offset long")
 
