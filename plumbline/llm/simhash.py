@@ -189,15 +189,27 @@ def near_duplicates(docs: DataFrame, n: int = 3, bound: int = 2) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """docs with one row of each component: that of the least doc_id, the first by text and source where rows repeat it."""
-    keep = near_duplicates(docs, **options).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    rows = as_row(docs).withColumn("_doc", field("doc_id").cast("long")).withColumn("_order", F.struct(field("text").cast("string"), field("source").cast("string") if "source" in docs.columns else F.lit(None)))
-    kept = rows.join(keep, F.col("_doc").eqNullSafe(F.col("_id")), "left_semi")
-    repeated = kept.groupBy("_doc").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("_doc").alias("_again"))
-    # ids that occur once, nearly all, go through as they are; of the others the first row stays
-    once = kept.join(repeated, F.col("_doc").eqNullSafe(F.col("_again")), "left_anti")
-    again = kept.join(repeated, F.col("_doc").eqNullSafe(F.col("_again")), "left_semi").groupBy("_doc").agg(F.min_by("_row", "_order").alias("_row"))
-    return from_row(once.select("_row").unionByName(again.select("_row")), docs)
+    """docs with one row of each component: that of the least doc_id, nulls last, the first by text and source where rows repeat it."""
+    rows = saved(as_row(docs).withColumn("_at", F.monotonically_increasing_id()), "simhash-rows")
+    # components over row ids of its own: doc_id may be null or stand on unrelated rows
+    label = near_duplicates(rows.select(F.col("_at").alias("doc_id"), field("text").alias("text")), **options).select(F.col("doc_id").alias("_at"), F.col("component_id").alias("_root"))
+    return first_of_each(rows, label, docs)
+
+
+def first_of_each(rows: DataFrame, label: DataFrame, docs: DataFrame) -> DataFrame:
+    """Of rows (_row, _at) the first of each _root in label (_at, _root), as rows of docs."""
+    named = rows.select("_at", field("doc_id").cast("long").alias("_doc")).join(label, "_at").select("_at", "_root", F.col("_doc").isNull().alias("_none"), "_doc")
+    named = saved(named, "dedup-named")
+    same = named.groupBy("_root", "_none", "_doc").agg(F.count(F.lit(1)).alias("n"), F.min("_at").alias("_at"))
+    least = saved(same.groupBy("_root").agg(F.min(F.struct("_none", "_doc", "n", "_at")).alias("x")).select("_root", "x.*"), "dedup-least")
+    # the least id of a component mostly stands on one row; text and source are read only where it does not
+    tied = least.where("n > 1").select(F.col("_root").alias("_r"), F.col("_doc").alias("_d"))
+    again = named.join(tied, (F.col("_root") == F.col("_r")) & F.col("_doc").eqNullSafe(F.col("_d"))).select("_at", "_root")
+    source = field("source").cast("string") if "source" in docs.columns else F.lit(None).cast("string")
+    order = F.struct(field("text").cast("string"), source, F.col("_at"))
+    chosen = rows.join(again, "_at").groupBy("_root").agg(F.min_by("_at", order).alias("_at")).select("_at")
+    keep = saved(least.where("n = 1").select("_at").unionByName(chosen), "dedup-keep")
+    return from_row(rows.join(keep, "_at", "left_semi"), docs)
 
 
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -80,3 +80,12 @@ def test_pipeline_stages_on_odd_documents(spark, odd, tmp_path):
         out.write.parquet(f"{tmp_path}/{k}")
         docs = spark.read.parquet(f"{tmp_path}/{k}")
     assert docs.count() > 0
+
+
+def test_one_row_of_each_component_whatever_its_id(spark):
+    from plumbline.llm import simhash
+
+    a, b, c, d = ("".join(f"{w}{i} " for i in range(60)) for w in "abcd")
+    docs = spark.createDataFrame([(1, a, "s"), (2, a, "s"), (2, b, "s"), (None, c, "s"), (None, d, "s"), (None, d, "s"), (None, a, "s"), (3, d, "t"), (3, d, "s")], "doc_id long, text string, source string")
+    got = sorted(((r.doc_id, r.text, r.source) for r in simhash.one_of_each(docs).collect()), key=lambda r: r[1])
+    assert got == [(1, a, "s"), (2, b, "s"), (None, c, "s"), (3, d, "s")]
