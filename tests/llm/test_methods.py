@@ -456,3 +456,72 @@ def test_word_count(spark):
     some = ["a  b\tc", None, "", " ", " x", "a\x1cb c"]
     df = spark.createDataFrame(list(enumerate(some)), "i int, t string").select("i", count_words(F.col("t")).alias("n"))
     assert {r.i: r.n for r in df.collect()} == {i: len((t or "").encode().split()) for i, t in enumerate(some)}
+
+
+def _jaccard(a, b, n=5):
+    a, b = ({tuple(ws[i : i + n]) for i in range(max(len(ws) - n + 1, 1))} for ws in (a.lower().split(), b.lower().split()))
+    return len(a & b) / len(a | b)
+
+
+def test_near_dedup_stage_finds_planted_copies(spark):
+    import corpus_pipeline
+
+    rnd, docs, want = random.Random(5), [], set()
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(5))
+    for g in range(60):
+        ws = [word() for _ in range(rnd.choice([100, 200, 400]))]
+        first = " ".join(ws)
+        want.add(len(docs))
+        docs.append((len(docs), first))
+        for changed in (1, 2):
+            copy = list(ws)
+            for k in range(changed * len(ws) // 100):
+                copy[(k * 100 + 50) % len(ws)] = word()
+            near = " ".join(copy)
+            if _jaccard(first, near) < 0.8:
+                want.add(len(docs))
+            docs.append((len(docs), near))
+        other = " ".join(ws[: len(ws) // 2] + [word() for _ in range(len(ws) // 2)])
+        assert _jaccard(first, other) < 0.8
+        want.add(len(docs))
+        docs.append((len(docs), other))
+    stage = dict(corpus_pipeline.STAGES)["simhash_near_dedup"]
+    got = {r.doc_id for r in stage(spark, spark.createDataFrame(docs, "doc_id long, text string"), SF).collect()}
+    assert len(want) < 3 * 60 and got == want
+
+
+def test_forest_links_what_pairs_connect():
+    from plumbline.llm import minhash
+
+    rnd = np.random.default_rng(6)
+    base = np.arange(100, dtype=np.uint64)
+    sets = [np.unique(np.r_[rnd.permutation(base)[: rnd.integers(85, 101)], rnd.integers(1000, 2000, 3).astype(np.uint64)]) for _ in range(40)] + [np.arange(500, 600, dtype=np.uint64)]
+    assert minhash.forest([np.arange(8, dtype=np.uint64), np.arange(10, dtype=np.uint64)]) == [(0, 1)]  # 0.8 itself
+    root = list(range(len(sets)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            both = len(np.intersect1d(a, sets[j]))
+            if both * 5 >= 4 * (len(a) + len(sets[j]) - both):
+                root = [root[j] if r == root[i] else r for r in root]
+    mine = list(range(len(sets)))
+    for i, j in minhash.forest(sets):
+        assert mine[i] != mine[j]
+        mine = [mine[i] if r == mine[j] else r for r in mine]
+    assert len({*zip(root, mine)}) == len(set(root)) == len(set(mine)) > 1
+
+
+def test_near_dedup_stage_equals_all_pairs(spark):
+    import corpus_pipeline
+
+    stages = dict(corpus_pipeline.STAGES)
+    kept = stages["quality_rules"](spark, spark.read.parquet(f"{SF}/documents.parquet"), SF).select("doc_id", "text")
+    rows = [(r.doc_id, r.text) for r in kept.collect()]
+    sets = [(d, {tuple(ws[i : i + 5]) for i in range(max(len(ws) - 4, 1))}) for d, t in rows for ws in [t.encode().lower().split()]]
+    root = {d: d for d, _ in sets}
+    for i, (d, a) in enumerate(sets):
+        for e, b in sets[:i]:
+            if 5 * len(a & b) >= 4 * len(a | b):
+                low, high = sorted((root[d], root[e]))
+                root = {k: low if v == high else v for k, v in root.items()}
+    assert len(root) == len(rows)
+    assert {r.doc_id for r in stages["simhash_near_dedup"](spark, spark.createDataFrame(rows, kept.schema), SF).collect()} == set(root.values())
