@@ -39,6 +39,8 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
 END = b"\r\n\r\n"
 GZIP = b"\x1f\x8b\x08"
+#: Every record has these headers.
+NEEDED = {b"warc-type", b"warc-record-id", b"warc-date", b"content-length"}
 START = re.compile(rb"\x1f\x8b\x08|WARC/1\.[0-9]\r\n")
 
 
@@ -142,19 +144,21 @@ def _parse(data: bytes | memoryview, at: int) -> tuple[dict | None, int, str]:
         part = bytes(data[at : at + window])
         head_end = part.find(END)
         if head_end < 0:
-            if len(part) < window or window >= 1 << 20:
+            if len(part) < window:
                 return None, at, "no end of headers"
             window *= 4
     lines = part[:head_end].split(b"\r\n")
     if not re.fullmatch(rb"WARC/1\.[0-9]", lines[0]):
         return None, at, "no version line"
     head = {}
-    for line in lines[1:]:
+    names = [line.partition(b":")[0].strip().lower() for line in lines]
+    for i, line in enumerate(lines[1:], 1):
         k, sep, v = line.partition(b":")
         if not sep:
             return None, at, "bad header"
         name = k.strip().lower().decode("latin-1")
-        if v.endswith(lines[0]) or (name == "warc-type" and name in head):  # a record cut off within its headers, and the next
+        # a record cut off within its headers, and the next, which brings all that every record has; a value may end like a version line
+        if (name == "warc-type" and name in head) or (v.endswith(lines[0]) and NEEDED.issubset(names[i + 1 :])):
             return None, at, "headers cut off"
         head[name] = v.strip().decode("utf-8", "replace")
     if not re.fullmatch("[0-9]{1,18}", head.get("content-length", "")):
@@ -260,7 +264,8 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> Dat
 def op1_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     write_archives(read(spark, sf_dir, "pages"), path)
-    return read_archives(spark, path).where("reason is null").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    sound = F.when(F.col("reason").isNull(), F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("op1: gap in an archive just written: "), "reason")).cast("boolean"))
+    return read_archives(spark, path).where(sound).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 OP1_SQL = """

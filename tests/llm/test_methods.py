@@ -525,3 +525,13 @@ def test_near_dedup_stage_equals_all_pairs(spark):
                 root = {k: low if v == high else v for k, v in root.items()}
     assert len(root) == len(rows)
     assert {r.doc_id for r in stages["simhash_near_dedup"](spark, spark.createDataFrame(rows, kept.schema), SF).collect()} == set(root.values())
+
+
+def test_long_headers_and_urls_like_version_lines_are_read():
+    urls = ["http://a/warc-specifications/WARC/1.1", "http://a/" + "é" * 400_000, "http://a/b"]
+    data = [warc.record(i, u, b"x" * 10) for i, u in enumerate(urls)]
+    for packed in (data, [warc.member(d) for d in data]):
+        got = list(warc.salvage(b"".join(packed)))
+        assert [(x.get("page_id"), x.get("uri"), x.get("reason")) for x in got] == [(i, u, None) for i, u in enumerate(urls)]
+    cut = data[2][: data[2].index(b"/b") + 2]
+    assert [(x.get("page_id"), x.get("reason")) for x in warc.salvage(cut + data[0])] == [(None, "headers cut off"), (0, None)]
