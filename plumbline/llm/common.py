@@ -48,10 +48,20 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
+def input_bytes(df: DataFrame) -> int:
+    """Bytes of the tables that df reads, each of them once; a source whose size Spark does not know counts nothing."""
+    unknown = int(df.sparkSession.conf.get("spark.sql.defaultSizeInBytes", str(2**63 - 1)))
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size())]
+    return sum(n for n in sizes if n < unknown)
+
+
 def parts_for(df: DataFrame, bytes_each: int = 256 << 20) -> int:
-    """Partitions for a shuffle of what comes from df: as configured, more where its input is larger than so many bytes each."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(-(-size // bytes_each), 200_000))
+    """Partitions for a shuffle of what comes from df: as configured, more where its input is larger than so many bytes each.
+
+    Only the sizes of sources count: Spark's estimate of a whole plan multiplies the sides of its joins.
+    """
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-input_bytes(df) // bytes_each))
 
 
 def forget(spark: SparkSession) -> None:
