@@ -11,10 +11,12 @@ leaves one residual document. Residuals of ``fan_in`` neighbouring leaves meet i
 class, and at last each source, has one, which is rounded by its own probability. About ``reserve`` documents of each
 source join only at its root, to take up what large residuals still hold. Before all that, documents with over
 1 / ``giants`` of their source's words are rounded one by one against all the others of the source together. A hot source only has more
-leaves, never larger ones.
+leaves, never larger ones; rows that repeat a doc_id, source and size are dealt out by a row number as well, so they
+spread over the leaves too.
 
 Cases. Null text: size 0. Null source: a source of its own, ordered last. Null or repeated doc_id: each row is a
-document. A source without words has target 0 and no copies. Empty table: no rows. Other columns are ignored.
+document. Very long texts are sized whole. A source without words has target 0 and no copies. Empty table: no rows.
+Other columns are ignored by ``mix`` and kept by ``mixed_documents``, whatever their names.
 """
 
 from __future__ import annotations
@@ -54,18 +56,18 @@ def targets(units: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_repeat:
 
 
 def _fold(units: Column, level: int, seed: int) -> Column:
-    """Folds an array of (size, doc_id, row_id, p) into (decided array of (row_id, one), at most one residual)."""
-    unit = "struct<size:bigint,doc_id:bigint,row_id:bigint,p:double>"
+    """Folds an array of (size, doc_id, salt, row_id, p) into (decided array of (row_id, one), at most one residual)."""
+    unit = "struct<size:bigint,doc_id:bigint,salt:bigint,row_id:bigint,p:double>"
     start = F.struct(F.lit(None).cast(unit).alias("rest"), F.expr("cast(array() as array<struct<row_id:bigint,one:int>>)").alias("done"))
 
     def with_p(u: Column, p: Column) -> Column:
-        return F.struct(u["size"].alias("size"), u["doc_id"].alias("doc_id"), u["row_id"].alias("row_id"), p.alias("p"))
+        return F.struct(*[u[c].alias(c) for c in ("size", "doc_id", "salt", "row_id")], p.alias("p"))
 
     def meet(rest: Column, x: Column) -> Column:
         """Both documents' fractions after some words have passed between them."""
         a, b, m, n = rest["p"], x["p"], rest["size"], x["size"]
         flows = F.struct(F.least((1.0 - a) * m, b * n).alias("to"), F.least(a * m, (1.0 - b) * n).alias("fro"))
-        r = uniform(rest["doc_id"], m, x["doc_id"], n, F.lit(level), F.lit(seed))
+        r = uniform(rest["doc_id"], rest["salt"], m, x["doc_id"], x["salt"], n, F.lit(level), F.lit(seed))
         moved = let(flows, lambda f: F.when(r * (f["to"] + f["fro"]) < f["fro"], f["to"]).otherwise(-f["fro"]))
         return let(moved, lambda d: F.struct((a + d / m).alias("a"), (b - d / n).alias("b")))
 
@@ -87,7 +89,7 @@ def _fold(units: Column, level: int, seed: int) -> Column:
 def _giants(units: Column, p: Column, mass: Column, seed: int) -> Column:
     """Rounds the largest documents of a source, each against all the others together.
 
-    units: array of (size, doc_id, row_id); p: the fraction that all documents of the source have; mass: their words.
+    units: array of (size, doc_id, salt, row_id); p: the fraction that all documents of the source have; mass: their words.
     All others have one fraction, so that words which pass between one document and all others change that fraction
     alike, and each keeps its expectation. Gives (p of the others, done: array of (row_id, p)).
     """
@@ -95,7 +97,7 @@ def _giants(units: Column, p: Column, mass: Column, seed: int) -> Column:
 
     def step(acc: Column, x: Column) -> Column:
         q, s, rest = acc["p"], x["size"], acc["mass"] - x["size"]
-        r = uniform(x["doc_id"], s, F.lit("giant"), F.lit(seed))
+        r = uniform(x["doc_id"], x["salt"], s, F.lit("giant"), F.lit(seed))
         flows = F.struct(F.least((1.0 - q) * s, q * rest).alias("to"), F.least(q * s, (1.0 - q) * rest).alias("fro"))
         moved = let(flows, lambda f: F.when(r * (f["to"] + f["fro"]) < f["fro"], f["to"]).otherwise(-f["fro"]))
 
@@ -108,16 +110,29 @@ def _giants(units: Column, p: Column, mass: Column, seed: int) -> Column:
     return F.aggregate(F.sort_array(units, asc=False), start, step)
 
 
-def mix(
-    docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_repeat: int = 3, leaf: int = 128, fan_in: int = 64, reserve: int = 384, giants: int = 200, seed: int = 7
+def _salted(units: DataFrame) -> DataFrame:
+    """units (row_id, doc_id, source, size) with salt: the row_id where another row has the same doc_id, source and size, else null.
+
+    Draws depend on doc_id, size and salt, so that they stay the same however the table is split, as far as its rows differ.
+    """
+    key = ["doc_id", "source", "size"]
+    again = units.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    again = saved(again.select(*[F.col(c).alias(f"_{c}") for c in key]), "mix-repeated")
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in key]
+    return units.join(again, same, "left").select("row_id", *key, F.when(F.col("_size").isNotNull(), F.col("row_id")).alias("salt"))
+
+
+def mix(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, source, size, source_size, target and copies of every row of docs (doc_id, text, source). Options: see mix_units."""
+    units = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), count_words(F.col("text").cast("string")).alias("size"))
+    return mix_units(units, **options).drop("row_id")
+
+
+def mix_units(
+    units: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_repeat: int = 3, leaf: int = 128, fan_in: int = 64, reserve: int = 384, giants: int = 200, seed: int = 7
 ) -> DataFrame:
-    """doc_id, source, size, source_size, target and copies of every row of docs (doc_id, text, source)."""
-    spark = docs.sparkSession
-    units = saved(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), count_words(F.col("text")).alias("size"))
-        .withColumn("row_id", F.monotonically_increasing_id()),
-        "mix-units",
-    )
+    """row_id, doc_id, source, size, source_size, target and copies of every row of units (row_id, doc_id, source, size)."""
+    units = _salted(saved(units, "mix-units"))
     per = saved(targets(units, weights, max_repeat).withColumn("share", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))), "mix-targets")
     # a class holds sizes within about a fifth of each other
     cls = F.floor(F.log2(F.col("size") + 1.0) * 4).cast("int")
@@ -127,7 +142,7 @@ def mix(
     open_rows = rows.where((F.col("p") > EPS) & (F.col("size") > 0))
     # at most giants of them in a source
     large = open_rows.where(F.col("size") * giants > F.col("source_size")).groupBy("source").agg(
-        _giants(F.collect_list(F.struct("size", "doc_id", "row_id")), F.first("p"), F.first("source_size"), seed).alias("g")
+        _giants(F.collect_list(F.struct("size", "doc_id", "salt", "row_id")), F.first("p"), F.first("source_size"), seed).alias("g")
     )
     large = saved(large.select("source", "g.p", "g.done"), "mix-giants")
     settled = large.select(F.explode("done").alias("d")).select("d.*")
@@ -141,15 +156,15 @@ def mix(
     still = open_rows.join(left_over, "row_id").withColumn("p", F.col("_p")).drop("_p")
     open_rows = small.where(~closed)
     # a few documents of each source meet the others only at the root, where what large ones leave over finds takers
-    unit = F.struct("r.size", "r.doc_id", "r.row_id", "r.p").alias("u")
+    unit = F.struct("r.size", "r.doc_id", "r.salt", "r.row_id", "r.p").alias("u")
     # (drawn by size, so that the largest, which leave most, are there and sizes below them follow closely)
-    late = uniform(F.col("doc_id"), F.col("size"), F.lit(seed), F.lit("late")) * F.col("source_size") < F.col("size") * reserve
+    late = uniform(F.col("doc_id"), F.col("size"), F.col("salt"), F.lit(seed), F.lit("late")) * F.col("source_size") < F.col("size") * reserve
     waiting = open_rows.where(late).unionByName(still.select(*open_rows.columns)).alias("r").select("r.source", F.lit(0).alias("cls"), F.lit(0).alias("node"), unit)
     open_rows = open_rows.where(~late)
     n = open_rows.groupBy("source", "cls").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(leaf))).cast("int").alias("leaves"))
     keyed = (
         open_rows.alias("r").join(n.alias("n"), F.col("r.source").eqNullSafe(F.col("n.source")) & (F.col("r.cls") == F.col("n.cls")))
-        .select("r.source", "r.cls", F.pmod(F.xxhash64(F.lit(seed), "r.doc_id", "r.size"), F.col("n.leaves")).cast("int").alias("node"), unit)
+        .select("r.source", "r.cls", F.pmod(F.xxhash64(F.lit(seed), "r.doc_id", "r.size", "r.salt"), F.col("n.leaves")).cast("int").alias("node"), unit)
     )
     most = n.agg(F.max("leaves")).first()[0] or 0
     rounds, width = 1, most
@@ -169,23 +184,22 @@ def mix(
         done = done.unionByName(now)
         keyed = folded.where("f.rest is not null").select("source", "cls", "node", F.col("f.rest").alias("u"))
         level += 1
-    last = keyed.select(F.col("u.row_id").alias("row_id"), (uniform(F.col("u.doc_id"), F.col("u.size"), F.lit(seed)) < F.col("u.p")).cast("int").alias("one"))
+    last = keyed.select(F.col("u.row_id").alias("row_id"), (uniform(F.col("u.doc_id"), F.col("u.size"), F.col("u.salt"), F.lit(seed)) < F.col("u.p")).cast("int").alias("one"))
     done = done.unionByName(last)
     out = rows.join(done, "row_id", "left")
     # documents without a word have no mass to pass on: each is rounded by itself
-    alone = ((F.col("size") == 0) & (uniform(F.col("doc_id"), F.lit(seed)) < F.col("p"))).cast("int")
+    alone = ((F.col("size") == 0) & (uniform(F.col("doc_id"), F.col("salt"), F.lit(seed)) < F.col("p"))).cast("int")
     copies = (F.col("whole") + F.coalesce("one", alone)).cast("long")
-    return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"))
+    return out.select("row_id", "doc_id", "source", "size", "source_size", "target", copies.alias("copies"))
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs as often as the mix takes them. Needs doc_id, text and source; keeps every column."""
-    chosen = mix(docs, **options).groupBy(F.col("doc_id").alias("_id")).agg(F.sort_array(F.collect_list(F.struct("source", "size", "copies"))).alias("_chosen"))
-    # row by row within an id, so that repeated ids keep their own copies
-    rows = as_row(docs).withColumn("_doc", field("doc_id").cast("long")).withColumn("_size", count_words(field("text").cast("string")))
-    rows = rows.withColumn("_nth", F.row_number().over(Window.partitionBy("_doc").orderBy(field("source").cast("string"), F.col("_size"))))
-    joined = rows.join(chosen, F.col("_doc").eqNullSafe(F.col("_id")), "inner").withColumn("_copies", F.element_at("_chosen", F.col("_nth"))["copies"])
-    repeated = joined.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
+    rows = saved(as_row(docs).withColumn("_at", F.monotonically_increasing_id()), "mix-rows")
+    units = rows.select(F.col("_at").alias("row_id"), field("doc_id").cast("long").alias("doc_id"), field("source").cast("string").alias("source"), count_words(field("text").cast("string")).alias("size"))
+    # row by row, so that rows of one doc_id keep their own copies and never meet in one task
+    chosen = mix_units(units, **options).where("copies > 0").select("row_id", "copies")
+    repeated = rows.join(chosen, F.col("_at") == F.col("row_id")).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     return from_row(repeated, docs)
 
 
