@@ -7,10 +7,12 @@ The packing itself works on the histogram of piece lengths, which has at most ``
 documents there are. For each bin the largest length left is fixed, then a bitset subset-sum over the lengths
 left (Python integers as bitsets) finds the fullest combination that fits, and that pattern is removed from the
 histogram as often as the counts allow. Pieces get a rank within their length, by salted counts, so one length that
-a third of all pieces share is spread; a lookup in the bounded plan then gives each its sequence and place.
+a third of all pieces share is spread, whether the rows differ or repeat; a lookup in the bounded plan then gives each
+its sequence and place.
 
 Cases. Null or empty text: the end token alone. Null or repeated doc_id: each row is a document. Empty table: no
-rows. A text over the capacity is cut into pieces, the last may be shorter; no piece is dropped.
+rows. A text over the capacity, however long, is cut into pieces, the last may be shorter; no piece is dropped. Other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -243,7 +245,7 @@ def _place(plan):
 def pack(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id: int = 1, rank_group: int = 200) -> DataFrame:
     """PIECES, sequence_id and offset of every piece of docs (doc_id, text). rank_group: pieces ranked together, about."""
     spark = docs.sparkSession
-    pieces = saved(tokenised_pieces(docs, vocabulary, capacity, end_id).withColumn("h", F.xxhash64("doc_id", "piece", "ids_crc32")), "pack-pieces")
+    pieces = saved(tokenised_pieces(docs, vocabulary, capacity, end_id).withColumn("h", F.xxhash64(F.monotonically_increasing_id())), "pack-pieces")
     # at most capacity rows come to the driver, and go back as the number of groups of each length
     histogram = {int(r["length"]): int(r["n"]) for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     plan = spark.sparkContext.broadcast(_lookup(plan_bins(histogram, capacity)))
@@ -251,7 +253,7 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id: int = 1
     salted = pieces.join(F.broadcast(groups), "length").withColumn("salt", F.pmod("h", "groups")).drop("groups")
     per = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
     before = per.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    ranked = salted.withColumn("nth", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")))
+    ranked = salted.withColumn("nth", F.row_number().over(Window.partitionBy("length", "salt").orderBy("h")))
     ranked = ranked.join(before, ["length", "salt"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("nth") - 1).alias("rank"))
     return ranked.mapInPandas(_place(plan), PIECES + ", sequence_id long, offset long")
 
