@@ -429,8 +429,7 @@ def test_pipeline(spark, tmp_path):
     kept = run("quality_rules", docs)
     assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in quality.judge(docs).where("kept").collect()}
     once = run("simhash_near_dedup", kept)
-    prints = [(r.doc_id, simhash.fingerprint(r.text)) for r in kept.collect()]
-    assert {r.doc_id for r in once.collect()} == set(brute_components(prints).values())
+    assert {r.doc_id for r in once.collect()} == brute_near(kept)
     clean = run("pii", once)
     before, model = {r.doc_id: r.text for r in once.collect()}, pii.fitted(spark)
     spans = {r.doc_id: r.spans for r in pii.scan(once, model).collect()}
@@ -510,21 +509,26 @@ def test_forest_links_what_pairs_connect():
     assert len({*zip(root, mine)}) == len(set(root)) == len(set(mine)) > 1
 
 
-def test_near_dedup_stage_equals_all_pairs(spark):
-    import corpus_pipeline
-
-    stages = dict(corpus_pipeline.STAGES)
-    kept = stages["quality_rules"](spark, spark.read.parquet(f"{SF}/documents.parquet"), SF).select("doc_id", "text")
-    rows = [(r.doc_id, r.text) for r in kept.collect()]
-    sets = [(d, {tuple(ws[i : i + 5]) for i in range(max(len(ws) - 4, 1))}) for d, t in rows for ws in [t.encode().lower().split()]]
+def brute_near(docs):
+    """The least doc_id of each component of pairs with 5-word Jaccard of 0.8 or more."""
+    sets = [(r.doc_id, {tuple(ws[i : i + 5]) for i in range(max(len(ws) - 4, 1))}) for r in docs.collect() for ws in [r.text.encode().lower().split()]]
     root = {d: d for d, _ in sets}
+    assert len(root) == len(sets)
     for i, (d, a) in enumerate(sets):
         for e, b in sets[:i]:
             if 5 * len(a & b) >= 4 * len(a | b):
                 low, high = sorted((root[d], root[e]))
                 root = {k: low if v == high else v for k, v in root.items()}
-    assert len(root) == len(rows)
-    assert {r.doc_id for r in stages["simhash_near_dedup"](spark, spark.createDataFrame(rows, kept.schema), SF).collect()} == set(root.values())
+    return set(root.values())
+
+
+def test_near_dedup_stage_equals_all_pairs(spark):
+    import corpus_pipeline
+
+    stages = dict(corpus_pipeline.STAGES)
+    rows = stages["quality_rules"](spark, spark.read.parquet(f"{SF}/documents.parquet"), SF).select("doc_id", "text")
+    kept = spark.createDataFrame([tuple(r) for r in rows.collect()], rows.schema)
+    assert {r.doc_id for r in stages["simhash_near_dedup"](spark, kept, SF).collect()} == brute_near(kept)
 
 
 def test_long_headers_and_urls_like_version_lines_are_read():
@@ -535,3 +539,38 @@ def test_long_headers_and_urls_like_version_lines_are_read():
         assert [(x.get("page_id"), x.get("uri"), x.get("reason")) for x in got] == [(i, u, None) for i, u in enumerate(urls)]
     cut = data[2][: data[2].index(b"/b") + 2]
     assert [(x.get("page_id"), x.get("reason")) for x in warc.salvage(cut + data[0])] == [(None, "headers cut off"), (0, None)]
+
+
+def test_parts_follow_the_sources_not_the_plan(spark):
+    from plumbline.llm.common import input_bytes, parts_for
+
+    some = spark.createDataFrame([(i, "x") for i in range(3)], "doc_id long, text string")
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    assert parts_for(some) == parts_for(some.join(docs, "doc_id")) == parts_for(docs.join(docs.select("doc_id"), "doc_id")) == 4
+    assert 0 < input_bytes(docs) and parts_for(docs, input_bytes(docs) // 10) >= 10
+
+
+@pytest.fixture(scope="module")
+def same_rows(spark):
+    """60,000 equal rows, half of them without an id, beside others."""
+    one = spark.range(60_000).select(F.when(F.col("id") % 2 == 0, F.lit(7)).cast("long").alias("doc_id"), F.lit("the same few words here").alias("text"), F.lit("hot").alias("source"))
+    other = spark.range(3000).select(F.col("id").alias("doc_id"), F.expr("repeat('w ', cast(id % 50 as int))").alias("text"), F.expr("concat('s', id % 3)").alias("source"))
+    return one.unionByName(other).repartition(6)
+
+
+def test_mix_spreads_equal_rows(spark, same_rows):
+    units = same_rows.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", "source", count_words(F.col("text")).alias("size"))
+    salted = mixing._salted(units)
+    assert salted.where("source = 'hot'").agg(F.count_distinct("salt")).first()[0] == 60_000
+    assert salted.where("source <> 'hot' and salt is not null").count() == 0
+    leaves = salted.where("source = 'hot'").groupBy(F.pmod(F.xxhash64(F.lit(7), "doc_id", "size", "salt"), F.lit(469))).count()
+    assert leaves.agg(F.max("count")).first()[0] < 400
+    got = mixing.mix(same_rows).groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("n"), F.first("target").alias("t"), F.count("*").alias("rows"))
+    assert sum(r.rows for r in got.collect()) == 63_000
+    assert all(abs(r.n - r.t) <= max(0.002 * r.t, 50) for r in got.collect())
+
+
+def test_packing_spreads_equal_rows(spark, same_rows):
+    rows = packing.pack(same_rows, packing.default_vocabulary()).select("length", "sequence_id", "offset")
+    used = rows.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("end"), F.count_distinct("offset").alias("places"), F.count("*").alias("k"))
+    assert rows.count() == 63_000 and used.where("n > 4096 or n <> end or places <> k").count() == 0
