@@ -56,8 +56,10 @@ def test_packing_keeps_every_token(spark, odd):
 def test_topk_on_odd_vectors(spark, odd):
     rows = sorted(map(tuple, registry.QUERIES["op6_dual_tree_topk"](spark, odd).select("query_id", "rank", "vec_id", "score").collect()))
     big = 1024 * 1024
-    assert [r for r in rows if r[0] == 0] == [(0, 1, 12, 2 * big), (0, 2, 100, big), (0, 3, 100, big), (0, 4, 7, big // 2), (0, 5, 13, big // 2)]
-    assert [r for r in rows if r[0] == 100] == [(100, 1, 12, 2 * big), (100, 2, 0, big), (100, 3, 7, big // 2), (100, 4, 13, big // 2)]
+    assert [r for r in rows if r[0] == 0] == [(0, 1, 12, 2 * big), (0, 2, 100, big), (0, 3, 100, big), (0, 4, 7, big // 2), (0, 5, 13, big // 2), (0, 6, 11, 0)]
+    # each of the two rows is a query, and a candidate of the other
+    assert [r for r in rows if r[0] == 100] == [x for x in [(100, 1, 12, 2 * big), (100, 2, 0, big), (100, 3, 100, big), (100, 4, 7, big // 2), (100, 5, 13, big // 2), (100, 6, 11, 0)] for _ in range(2)]
+    assert len(rows) == 18
 
 
 def test_quality_and_substring_equal_their_sql(spark, odd):

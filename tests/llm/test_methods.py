@@ -193,13 +193,47 @@ def test_large_components_stay_exact():
     frame = pd.DataFrame({"vec_id": [0, 5, 7], "v": [[1e9, 1.0], [1e9, 2.0], [-1e9, 3.0]]})
     got = topk.best_of(frame[frame.vec_id == 0], frame, 10)
     big = int(1024e9)
-    assert got.values.tolist() == [[0, 5, big * big + 1024 * 2048], [0, 7, -big * big + 1024 * 3072]]
+    assert got[["query_id", "vec_id", "score"]].values.tolist() == [[0, 5, big * big + 1024 * 2048], [0, 7, -big * big + 1024 * 3072]]
 
 
 def test_blocks_meet(spark):
     df = spark.read.parquet(f"{SF}/embeddings.parquet")
     key = lambda rows: sorted(map(tuple, rows))
-    assert key(topk.top_k(df, query_block=2, candidate_block=60).collect()) == key(topk.top_k(df).collect())
+    assert key(topk.top_k(df, query_block=2, candidate_block=60, cell_rows=40, sample=100).collect()) == key(topk.top_k(df).collect())
+
+
+def test_queries_of_one_id_rank_apart(spark):
+    rows = [(100, [1.0, 0.0]), (100, [0.0, 1.0]), (1, [3.0, 0.0]), (2, [0.0, 2.0])]
+    got = sorted(map(tuple, topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), k=2).collect()))
+    big = 1024 * 1024
+    assert got == [(100, 1, 1, 3 * big), (100, 1, 2, 2 * big), (100, 2, 1, 0), (100, 2, 2, 0)]
+
+
+def test_clustered_blocks_are_left_out_before_the_shuffle(spark, monkeypatch):
+    """Few block pairs are sent where vectors cluster, a third of all rows being one vector; and nothing is lost."""
+    r = np.random.default_rng(8)
+    x = (r.normal(size=(30, 12))[r.integers(0, 30, 6000)] * 4 + r.normal(size=(6000, 12)) * 0.1).astype(np.float32)
+    x[:2000] = x[0]
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(3)
+    sent, keep = [], topk.saved
+
+    def watched(frame, name):
+        out = keep(frame, name)
+        if name == "topk-asked":
+            sent.append(out.count())
+        if name in ("topk-start", "topk-others"):
+            sent.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(topk, "saved", watched)
+    got = topk.top_k(df, every=100, candidate_block=100, cell_rows=150, sample=1000).collect()
+    pairs = sum(n for _, n in (s for s in sent if isinstance(s, tuple)))
+    assert pairs < 60 * 80 / 5  # 60 queries, 60 blocks and more
+    whole = np.floor(1024 * x.astype(float)).astype(np.int64)
+    for q in range(0, 6000, 100):
+        score = whole @ whole[q]
+        want = sorted((-int(s), i) for i, s in enumerate(score) if i != q)[:10]
+        assert [(-g.score, g.vec_id) for g in sorted(got, key=lambda g: g.rank) if g.query_id == q] == want
 
 
 # --- language ---
