@@ -16,11 +16,13 @@ them with the least name is the window's anchor. Neighbouring windows mostly sha
    occurrence has the same key, the same place in the anchor and the same hash. The masks go back to the texts.
 
 A hot passage sends a row a batch, not a row an occurrence; nothing makes pairs. Work is per batch in numpy.
-Intermediate rows are written to the shared folder. Two different texts of one doc_id whose 64-bit row hashes agree,
-or two windows of one key whose hashes agree, would be taken for equal; no other approximation is made.
+Intermediate rows are written to the shared folder. Two windows count as equal by two hashes of 64 bits, that of the
+words around their anchor (key) and that of all their words; no other approximation is made: rows of one row hash only
+share their anchors' places, which propose, and each row goes on under a number of its own.
 
 Cases. Null or empty text: no words, nothing removed. Null or repeated doc_id: each row is a text of its own, so a
-repeated row repeats all its windows. Texts under a window: nothing removed. Empty table: no rows.
+repeated row repeats all its windows. Texts under a window: nothing removed. Very long texts are read whole, in blocks of
+texts of about a million words. Empty table: no rows. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -178,7 +180,7 @@ def _blocks(batch: pd.DataFrame, most: int = 1_000_000) -> Iterator[tuple[pd.Dat
 
 
 def _ask(window: int):
-    """Rows (k, row, code): a code of -1 stands for anchors known to be shared; under -1 it is such an anchor itself, under a key that spreads."""
+    """Rows (k, row, code): a code of -1 stands for anchors known to be shared; under -1 it is such an anchor itself, once a block, under a key that spreads."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = WordHashes()
@@ -188,10 +190,11 @@ def _ask(window: int):
                 row = np.array([row_hash(i, r) for i, r in zip(rows["doc_id"], raws)], np.int64)[b.doc]
                 some, first, back, count = np.unique(b.key, return_index=True, return_inverse=True, return_counts=True)
                 shared = count[back] > 1
-                spread = scatter(row[shared].view(np.uint64) + b.code[shared].astype(np.uint64))
+                sure = np.unique(np.stack([row[shared], b.code[shared]]), axis=1)  # equal rows have equal ones
+                spread = scatter(sure[0].view(np.uint64) + sure[1].astype(np.uint64) + row[:1].view(np.uint64).sum())
                 k = np.r_[b.key[~shared], some[count > 1], spread].view(np.int64)
                 stands = int((count > 1).sum())
-                yield pd.DataFrame({"k": k, "row": np.r_[row[~shared], np.zeros(stands, np.int64), row[shared]], "code": np.r_[b.code[~shared], np.full(stands, -1), -2 - b.code[shared]]})
+                yield pd.DataFrame({"k": k, "row": np.r_[row[~shared], np.zeros(stands, np.int64), sure[0]], "code": np.r_[b.code[~shared], np.full(stands, -1), -2 - sure[1]]})
 
     return run
 
@@ -283,14 +286,14 @@ def _windows(window: int):
 
 
 def _masks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows (row, hit): hit = first window's start * 2**MASK + mask of those repeated."""
+    """Rows (row, start, mask): the first window's start, and which of the windows from there on are repeated."""
     shift = 2**MASK
     got = []
     for b in batches:
         sure = b["hashes"].isna().to_numpy()
         if sure.any():
             s = b[sure]
-            yield pd.DataFrame({"row": s["row"], "hit": (s["at"] // 64) * shift + (s["k"] & (shift - 1))})
+            yield pd.DataFrame({"row": s["row"], "start": s["at"] // 64, "mask": s["k"] & (shift - 1)})
         got.append(b[~sure])
     rows = pd.concat(got, ignore_index=True) if got else None
     if rows is None or not len(rows):
@@ -312,15 +315,14 @@ def _masks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     mask = np.zeros(len(rows), np.int64)
     np.bitwise_or.at(mask, owner[hit], np.int64(1) << nth[hit])
     out = np.flatnonzero(mask)
-    yield pd.DataFrame({"row": rows["row"].to_numpy()[out], "hit": at[out] // 64 * shift + mask[out]})
+    yield pd.DataFrame({"row": rows["row"].to_numpy()[out], "start": at[out] // 64, "mask": mask[out]})
 
 
-def covered(n: int, hits, window: int) -> np.ndarray:
+def covered(n: int, starts, masks, window: int) -> np.ndarray:
     """Which of n words a repeated window covers."""
     steps = np.zeros(n + 1, np.int64)
-    if hits is not None:
-        hits = np.unique(np.asarray(hits, np.int64))
-        first, mask = hits // 2**MASK, hits % 2**MASK
+    if starts is not None:
+        first, mask = np.asarray(starts, np.int64), np.asarray(masks, np.int64)
         for k in range(MASK):
             at = first[(mask >> k & 1) == 1] + k
             np.add.at(steps, at, 1)
@@ -333,9 +335,9 @@ def _finish(window: int, texts: bool):
         unpress = zstandard.ZstdDecompressor()
         for batch in batches:
             n, gone, digest, kept = [], [], [], []
-            for z, hits in zip(batch["z"], batch["hits"]):
+            for z, starts, masks in zip(batch["z"], batch["starts"], batch["masks"]):
                 ws = unpress.decompress(z).split()
-                out = covered(len(ws), hits, window)
+                out = covered(len(ws), starts, masks, window)
                 left = [w for w, x in zip(ws, out.tolist()) if not x]
                 n.append(len(ws))
                 gone.append(int(out.sum()))
@@ -353,12 +355,14 @@ def without_repeats(docs: DataFrame, window: int = 35, texts: bool = True) -> Da
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     parts = parts_for(docs)
     asked = rows.mapInPandas(_ask(window), "k long, row long, code long").repartition(parts, "k")
-    codes = asked.mapInPandas(_answer, "row long, code long").groupBy("row").agg(F.collect_list("code").alias("codes"))
+    # equal rows have equal codes: a set holds what one text has, however often it stands
+    codes = asked.mapInPandas(_answer, "row long, code long").groupBy("row").agg(F.collect_set("code").alias("codes"))
     packed = rows.mapInPandas(_packed, "row long, doc_id long, z binary")
-    met = saved(packed.join(codes, "row", "left").mapInPandas(_meet, "row long, doc_id long, n_words long, kept_sha256 string, z binary, codes array<long>"), "substring-texts")
+    met = packed.join(codes, "row", "left").mapInPandas(_meet, "row long, doc_id long, n_words long, kept_sha256 string, z binary, codes array<long>")
+    met = saved(met.withColumn("row", F.monotonically_increasing_id()), "substring-texts")
     shared = met.where("z is not null")
     windows = shared.select("row", "z", "codes").mapInPandas(_windows(window), "k long, row long, at long, hashes binary").repartition(parts, "k")
-    hits = windows.mapInPandas(_masks, "row long, hit long").groupBy("row").agg(F.collect_list("hit").alias("hits"))
+    hits = windows.mapInPandas(_masks, "row long, start long, mask long").groupBy("row").agg(F.collect_list(F.struct("start", "mask")).alias("h")).select("row", F.col("h.start").alias("starts"), F.col("h.mask").alias("masks"))
     cut = shared.select("row", "doc_id", "z").join(hits, "row", "left").mapInPandas(_finish(window, texts), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
     done = met.where("z is null").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256", F.lit(None).cast("string").alias("kept"))
     return done.unionByName(cut)

@@ -608,3 +608,21 @@ def test_packing_spreads_equal_rows(spark, same_rows):
     rows = packing.pack(same_rows, packing.default_vocabulary()).select("length", "sequence_id", "offset")
     used = rows.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("end"), F.count_distinct("offset").alias("places"), F.count("*").alias("k"))
     assert rows.count() == 63_000 and used.where("n > 4096 or n <> end or places <> k").count() == 0
+
+
+def test_substrings_of_equal_rows(spark):
+    """A third of all rows are one text; each loses all its words, and their anchors are gathered once."""
+    hot = " ".join(f"h{i % 90}" for i in range(200))
+    rnd = random.Random(4)
+    docs = [hot] * 3000 + [" ".join(str(rnd.randrange(10**9)) for _ in range(40)) for _ in range(500)] + ["lone " * 20 + hot + " end" * 3]
+    df = spark.createDataFrame([(None if i % 2 else 5, t) for i, t in enumerate(docs)], "doc_id long, text string").repartition(6)
+    got = substring.without_repeats(df).groupBy("n_words", "n_removed").count().collect()
+    assert {(r.n_words, r.n_removed): r["count"] for r in got} == {(200, 200): 3000, (40, 0): 500, (223, 200): 1}
+
+
+def test_hits_far_into_a_text():
+    far = 2**23 + 7
+    gone = substring.covered(far + 100, np.array([far]), np.array([0b101]), 35)
+    assert np.flatnonzero(gone).tolist() == list(range(far, far + 37))
+    rows = list(substring._masks(iter([pd.DataFrame({"k": [9, 9], "row": [1, 2], "at": [far * 64 + 3, 3], "hashes": [np.array([5, 6], np.uint64).tobytes(), np.array([5, 7], np.uint64).tobytes()]})])))
+    assert pd.concat(rows).sort_values("row").values.tolist() == [[1, far, 1], [2, 0, 1]]
