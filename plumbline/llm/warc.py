@@ -1,21 +1,23 @@
 """WARC archives: a writer with revisit records, and a salvage reader.
 
 Writing. A record per page, each a gzip member of its own. Pages with equal payloads are found by an aggregation on
-the SHA-1; the one with the largest id is the response, the others are revisits that refer to it. The members are
-rows of Spark's own text writer, so any Hadoop file system works and the commit protocol keeps exactly one copy
-of each file when tasks are retried. A gzip member of under 16 MiB ends with a NUL byte (the top byte of its
-length), and an empty member follows a larger one; the row leaves that byte out and the line separator, NUL, puts it
-back.
+the SHA-1; the one with the largest id is the response, the others are revisits that refer to it. Where the table of
+equal payloads is too large to broadcast, a hot payload (the empty one, say) is one row of it, and Spark's adaptive
+skew join splits its pages. The members of an archive are one row of Spark's own text writer, a file each, so any
+Hadoop file system works and the commit protocol keeps exactly one copy of each file when tasks are retried. A gzip
+member of under 16 MiB ends with a NUL byte (the top byte of its length), and an empty member follows a larger one;
+the row leaves the last byte out and the line separator, NUL, puts it back.
 
 Reading. Archives are read as binary files and walked record by record: gzip members (CRC and length checked) or plain
 records; version line, headers, length, end mark and payload digest are checked. After a failed check the reader
 searches for the next valid member or version line and goes on there; the bytes in between are returned as a gap
 with the reason. Records that a damaged member gives before its damage are kept. An archive is held whole by the
-task that reads it; the writer ends archives after ``records_per_file`` records.
+task that reads it; the writer ends an archive once it has ``archive_bytes`` bytes or ``records_per_file`` records.
 
 Cases. Null html: an empty payload. Null url: no target header. Null page_id: sorts below all ids, a record without a
-number. Repeated page_ids with equal payloads: all of the largest id are responses. Empty table: no records. Empty
-archives: no records, no gaps.
+number. Repeated page_ids with equal payloads: all of the largest id are responses. Very long pages and urls are kept
+whole, a page over ``archive_bytes`` in an archive of its own. Empty table: no records. Empty archives: no records, no
+gaps. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ import hashlib
 import re
 import zlib
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from urllib.parse import quote, unquote
 
 import pandas as pd
@@ -79,31 +82,52 @@ def member(data: bytes, level: int = 4) -> bytes:
     return out
 
 
-def _write_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        out = []
-        for page_id, url, html, best, revisit in zip(batch["page_id"], batch["url"], batch["html"], batch["best"], batch["revisit"]):
-            payload = (html or "").encode("utf-8", "replace")
-            out.append(member(record(page_id, url, payload, best if revisit else None))[:-1])
-        yield pd.DataFrame({"value": out})
+def _archives(archive_bytes: int, records_per_file: int):
+    """A row per archive, without its last byte. Ids are strings here: as numbers, pandas would round them beside nulls."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out, size = [], 0
+        for batch in batches:
+            for page_id, url, html, best, revisit in zip(batch["page_id"], batch["url"], batch["html"], batch["best"], batch["revisit"]):
+                payload = (html or "").encode("utf-8", "replace")
+                one = member(record(page_id, url, payload, best if revisit else None))
+                if out and size + len(one) > archive_bytes:
+                    yield pd.DataFrame({"value": [b"".join(out)[:-1]]})
+                    out, size = [], 0
+                out.append(one)
+                size += len(one)
+                if len(out) >= records_per_file:
+                    yield pd.DataFrame({"value": [b"".join(out)[:-1]]})
+                    out, size = [], 0
+        if out:
+            yield pd.DataFrame({"value": [b"".join(out)[:-1]]})
+
+    return run
 
 
-def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, records_per_file: int = 5000) -> None:
+def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, records_per_file: int = 100_000, archive_bytes: int = 64 << 20) -> None:
     """Writes pages (page_id, url, html) to *.warc.gz files in path. Payloads under min_bytes are always responses."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html")).withColumn("digest", F.unhex(F.sha1("html")))
     equal = rows.where(F.octet_length("html") >= min_bytes).groupBy("digest").agg(F.max("page_id").alias("best"), F.count(F.lit(1)).alias("n"))
     # its size is known once it is written: small, it is broadcast, and the payloads aren't shuffled
     shared = saved(equal.where("n > 1 and best is not null").select("digest", "best"), "warc-shared")
     marked = rows.join(shared, "digest", "left").withColumn("revisit", F.coalesce(~F.col("best").eqNullSafe(F.col("page_id")), F.lit(True)) & F.col("best").isNotNull() & (F.octet_length("html") >= min_bytes))
-    out = marked.select("page_id", "url", "html", "best", "revisit").mapInPandas(_write_rows, "value binary")
-    out.select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\0").option("maxRecordsPerFile", records_per_file).text(path)
+    out = marked.select(F.col("page_id").cast("string").alias("page_id"), "url", "html", F.col("best").cast("string").alias("best"), "revisit").mapInPandas(_archives(archive_bytes, records_per_file), "value binary")
+    out.select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\0").option("maxRecordsPerFile", 1).text(path)
     spark = pages.sparkSession
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    for f in fs.listStatus(folder):
-        name = f.getPath().getName()
-        if name.endswith(".txt"):
-            fs.rename(f.getPath(), spark._jvm.org.apache.hadoop.fs.Path(folder, name[:-4] + ".warc.gz"))
+    # a task that had no page leaves an empty file
+    files = [(f.getPath(), f.getLen()) for f in fs.listStatus(folder) if f.getPath().getName().endswith(".txt")]
+
+    def named(file) -> None:
+        if file[1]:
+            fs.rename(file[0], spark._jvm.org.apache.hadoop.fs.Path(folder, file[0].getName()[:-4] + ".warc.gz"))
+        else:
+            fs.delete(file[0], False)
+
+    with ThreadPoolExecutor(32) as pool:  # a file system answers many at once
+        list(pool.map(named, files))
 
 
 def _before_damage(data: memoryview, at: int, step: int = 512) -> bytes:
