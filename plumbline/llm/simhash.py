@@ -14,7 +14,8 @@ mask finds every link with memory for one column. Components over the classes ar
 
 Cases. Null or empty text, or no word: fingerprint zero, linked like any other. Under n words: the whole sequence
 is the only shingle. Null doc_id: gets its fingerprint's component, or null when no id is in it. Repeated rows stay.
-Empty table: no rows. Other columns are ignored.
+Very long texts are hashed whole, in blocks of shingles. Empty table: no rows. Other columns are ignored, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -58,15 +59,16 @@ def _fingerprints(n: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             fp = np.array([fingerprint(t, n) for t in batch["text"]], np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "fp": fp})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": fp})
 
     return run
 
 
 def fingerprints(docs: DataFrame, n: int = 3) -> DataFrame:
     """doc_id and fp (the 64 bits as a long) of every row of docs (doc_id, text)."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInPandas(_fingerprints(n), "doc_id long, fp long")
+    # ids pass as strings: as numbers, pandas would round them beside nulls
+    rows = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInPandas(_fingerprints(n), "doc_id string, fp long").select(F.col("doc_id").cast("long").alias("doc_id"), "fp")
 
 
 def segments(m: int) -> list[tuple[int, int]]:
