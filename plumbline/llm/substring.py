@@ -225,7 +225,7 @@ def _packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     press = zstandard.ZstdCompressor(level=1)
     for batch in batches:
         raws = [(t or "").encode("utf-8", "replace") for t in batch["text"]]
-        yield pd.DataFrame({"row": np.array([row_hash(i, r) for i, r in zip(batch["doc_id"], raws)], np.int64), "doc_id": batch["doc_id"].astype("Int64").to_numpy(), "z": [press.compress(r) for r in raws]})
+        yield pd.DataFrame({"row": np.array([row_hash(i, r) for i, r in zip(batch["doc_id"], raws)], np.int64), "doc_id": batch["doc_id"], "z": [press.compress(r) for r in raws]})
 
 
 def _meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -243,7 +243,7 @@ def _meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 n.append(None)
                 digest.append(None)
                 z.append(data)
-        yield pd.DataFrame({"row": batch["row"], "doc_id": batch["doc_id"].astype("Int64"), "n_words": pd.array(n, "Int64"), "kept_sha256": digest, "z": z, "codes": batch["codes"]})
+        yield pd.DataFrame({"row": batch["row"], "doc_id": batch["doc_id"], "n_words": pd.array(n, "Int64"), "kept_sha256": digest, "z": z, "codes": batch["codes"]})
 
 
 def _windows(window: int):
@@ -343,7 +343,7 @@ def _finish(window: int, texts: bool):
                 gone.append(int(out.sum()))
                 digest.append(_digest(left))
                 kept.append(b" ".join(left).decode("utf-8", "replace") if texts else None)
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "n_words": n, "n_removed": gone, "kept_sha256": digest, "kept": kept})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_words": n, "n_removed": gone, "kept_sha256": digest, "kept": kept})
 
     return run
 
@@ -352,20 +352,21 @@ def without_repeats(docs: DataFrame, window: int = 35, texts: bool = True) -> Da
     """doc_id, n_words, n_removed, kept_sha256 and, for texts that lose words, kept of every row of docs (doc_id, text)."""
     if not 3 <= window <= 48:
         raise ValueError("a window has 3 to 48 words")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    # ids pass as strings: as numbers, pandas would round them beside nulls
+    rows = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"))
     parts = parts_for(docs)
     asked = rows.mapInPandas(_ask(window), "k long, row long, code long").repartition(parts, "k")
     # equal rows have equal codes: a set holds what one text has, however often it stands
     codes = asked.mapInPandas(_answer, "row long, code long").groupBy("row").agg(F.collect_set("code").alias("codes"))
-    packed = rows.mapInPandas(_packed, "row long, doc_id long, z binary")
-    met = packed.join(codes, "row", "left").mapInPandas(_meet, "row long, doc_id long, n_words long, kept_sha256 string, z binary, codes array<long>")
+    packed = rows.mapInPandas(_packed, "row long, doc_id string, z binary")
+    met = packed.join(codes, "row", "left").mapInPandas(_meet, "row long, doc_id string, n_words long, kept_sha256 string, z binary, codes array<long>")
     met = saved(met.withColumn("row", F.monotonically_increasing_id()), "substring-texts")
     shared = met.where("z is not null")
     windows = shared.select("row", "z", "codes").mapInPandas(_windows(window), "k long, row long, at long, hashes binary").repartition(parts, "k")
     hits = windows.mapInPandas(_masks, "row long, start long, mask long").groupBy("row").agg(F.collect_list(F.struct("start", "mask")).alias("h")).select("row", F.col("h.start").alias("starts"), F.col("h.mask").alias("masks"))
-    cut = shared.select("row", "doc_id", "z").join(hits, "row", "left").mapInPandas(_finish(window, texts), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+    cut = shared.select("row", "doc_id", "z").join(hits, "row", "left").mapInPandas(_finish(window, texts), "doc_id string, n_words long, n_removed long, kept_sha256 string, kept string")
     done = met.where("z is null").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256", F.lit(None).cast("string").alias("kept"))
-    return done.unionByName(cut)
+    return done.unionByName(cut).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
