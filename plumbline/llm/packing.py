@@ -235,7 +235,6 @@ def _place(plan):
                 seq[at] = first[k] + d // times[k]
                 off[at] = offset[k] + d % times[k] * one
             out = batch.drop(columns=["rank"])
-            out["doc_id"] = out["doc_id"].astype("Int64")
             out["sequence_id"], out["offset"] = seq, off
             yield out
 
@@ -254,8 +253,10 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id: int = 1
     per = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
     before = per.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
     ranked = salted.withColumn("nth", F.row_number().over(Window.partitionBy("length", "salt").orderBy("h")))
-    ranked = ranked.join(before, ["length", "salt"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("nth") - 1).alias("rank"))
-    return ranked.mapInPandas(_place(plan), PIECES + ", sequence_id long, offset long")
+    # ids pass as strings: as numbers, pandas would round them beside nulls
+    ranked = ranked.join(before, ["length", "salt"]).select(F.col("doc_id").cast("string").alias("doc_id"), "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("nth") - 1).alias("rank"))
+    placed = ranked.mapInPandas(_place(plan), PIECES.replace("doc_id long", "doc_id string") + ", sequence_id long, offset long")
+    return placed.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def default_vocabulary() -> str:
