@@ -434,6 +434,12 @@ def test_archives(spark, tmp_path):
     rows = {r.page_id: r for r in warc.read_archives(spark, f"file://{tmp_path}/w", payloads=True).collect()}
     assert {i: (r.record_type, r.refers_to) for i, r in rows.items()} == {1: ("revisit", 2), 2: ("response", None), 3: ("response", None), 9: ("response", None), 4: ("response", None)}
     assert bytes(rows[2].payload).decode() == "<p>é</p>" and rows[1].payload is None and rows[1].payload_bytes == 9
+    warc.write_archives(spark.createDataFrame([(i, "u", f"{i} " * 2000) for i in range(50)], "page_id long, url string, html string").coalesce(1), f"file://{tmp_path}/b", archive_bytes=3000)
+    sizes = [f.stat().st_size for f in tmp_path.glob("b/*.warc.gz")]
+    assert max(sizes) <= 3000 and len(sizes) > 1 and warc.read_archives(spark, f"file://{tmp_path}/b").where("reason is null").count() == 50
+    big = 2**53 + 3
+    warc.write_archives(spark.createDataFrame([(big - 2, "u", "x"), (big, "u", "x"), (1, "u", "y")], "page_id long, url string, html string"), f"file://{tmp_path}/i")
+    assert {(r.page_id, r.refers_to) for r in warc.read_archives(spark, f"file://{tmp_path}/i").collect()} == {(big - 2, big), (big, None), (1, None)}
     import gzip
 
     for f in tmp_path.glob("w/*.warc.gz"):
@@ -626,3 +632,10 @@ def test_hits_far_into_a_text():
     assert np.flatnonzero(gone).tolist() == list(range(far, far + 37))
     rows = list(substring._masks(iter([pd.DataFrame({"k": [9, 9], "row": [1, 2], "at": [far * 64 + 3, 3], "hashes": [np.array([5, 6], np.uint64).tobytes(), np.array([5, 7], np.uint64).tobytes()]})])))
     assert pd.concat(rows).sort_values("row").values.tolist() == [[1, far, 1], [2, 0, 1]]
+
+
+def test_large_ids_beside_nulls(spark):
+    big = 2**53 + 3
+    df = spark.createDataFrame([(big, "a b c"), (None, "d e f")], "doc_id long, text string").coalesce(1)
+    for frame in (simhash.fingerprints(df), substring.without_repeats(df), packing.pack(df, packing.default_vocabulary())):
+        assert {r.doc_id for r in frame.collect()} == {big, None}
