@@ -4,7 +4,7 @@ The base spans are fixed patterns (email, ip, card, phone). High-recall generato
 kind that may overlap each other: spelt-out or spaced addresses, numbers in other groupings. Features of format
 (lengths, digits, separators, Luhn) and of context (words before, characters at the edges) go through boosted
 trees, as a CASE expression; a calibrated threshold for each kind selects. A candidate that overlaps a base span is
-dropped, of overlapping selected ones the most probable stays.
+dropped; of overlapping selected ones the most probable stays, then the next that overlaps none that stays.
 
 The trees are fitted on ``TRAINING_ROWS`` sentences written from templates with a fixed seed: no corpus text is read
 for it, so the model is the same for every input.
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from . import boosting
 from .common import as_row, field, from_row, let, read
-from .spans import NONE, digits, disjoint, find_spans, luhn, replaced
+from .spans import NONE, best_apart, digits, disjoint, find_spans, luhn, replaced
 
 KINDS = ("email", "ip", "card", "phone")
 #: Base patterns. (?<!..)|\G starts a match only at the head of a run or where the last match ended: others can't match.
@@ -165,20 +165,16 @@ def fitted(spark: SparkSession, rows: int = TRAINING_ROWS, seed: int = 11) -> bo
     return _fitted(spark, rows, seed)
 
 
-def all_spans(text: Column, model: boosting.Model) -> Column:
-    """struct<base, added>: arrays of (kind, start, end), each by kind and start. text must not be null."""
+def with_spans(rows: DataFrame, text: Column, model: boosting.Model) -> DataFrame:
+    """rows with _base and _added, arrays of (kind, start, end), each by kind and start. text must not be null."""
     kinds = base_spans(text)
-    base = F.concat(*[F.transform(kinds[k], of_kind(i)) for i, k in enumerate(KINDS)])
     limit = F.array(*[F.lit(float(t)) for t in model.thresholds])
-
-    def added(b: Column) -> Column:
-        scored = F.transform(candidates(text, b), lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), model.column(c["x"]).alias("p")))
-        taken = F.filter(scored, lambda c: c["p"] >= F.get(limit, c["kind"]))
-        better = lambda o, c: (o["p"] > c["p"]) | ((o["p"] == c["p"]) & ((o["start"] < c["start"]) | ((o["start"] == c["start"]) & (o["kind"] < c["kind"]))))
-        best = let(taken, lambda t: F.filter(t, lambda c: ~F.exists(t, lambda o: (o["start"] < c["end"]) & (c["start"] < o["end"]) & better(o, c))))
-        return F.sort_array(F.transform(best, lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"))))
-
-    return let(base, lambda b: F.struct(b.alias("base"), added(b).alias("added")))
+    scored = lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), model.column(c["x"]).alias("p"))
+    rows = rows.withColumn("_base", F.concat(*[F.transform(kinds[k], of_kind(i)) for i, k in enumerate(KINDS)]))
+    rows = rows.withColumn("_taken", F.filter(F.transform(candidates(text, F.col("_base")), scored), lambda c: c["p"] >= F.get(limit, c["kind"])))
+    rows = best_apart(rows, "_taken", lambda c: F.struct((-c["p"]).alias("p"), c["start"].alias("start"), c["kind"].alias("kind")), "_best")
+    plain = F.transform("_best", lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end")))
+    return rows.withColumn("_added", F.sort_array(plain)).drop("_taken", "_best")
 
 
 def told(spans: Column, kinds: tuple[str, ...]) -> Column:
@@ -189,7 +185,8 @@ def told(spans: Column, kinds: tuple[str, ...]) -> Column:
 def scan(docs: DataFrame, model: boosting.Model | None = None) -> DataFrame:
     """docs with spans (struct of base and added)."""
     model = model or fitted(docs.sparkSession)
-    return docs.withColumn("spans", all_spans(F.coalesce(F.col("text").cast("string"), F.lit("")), model))
+    rows = with_spans(as_row(docs), F.coalesce(field("text").cast("string"), F.lit("")), model)
+    return rows.select(*[field(c).alias(c) for c in docs.columns if c != "spans"], F.struct(F.col("_base").alias("base"), F.col("_added").alias("added")).alias("spans"))
 
 
 def redacted_documents(docs: DataFrame, model: boosting.Model | None = None) -> DataFrame:
@@ -197,8 +194,8 @@ def redacted_documents(docs: DataFrame, model: boosting.Model | None = None) ->
     model = model or fitted(docs.sparkSession)
     tags = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     text = field("text").cast("string")
-    found = as_row(docs).withColumn("_spans", all_spans(F.coalesce(text, F.lit("")), model))
-    every = F.transform(F.concat("_spans.base", "_spans.added"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.get(tags, s["kind"]).alias("tag")))
+    found = with_spans(as_row(docs), F.coalesce(text, F.lit("")), model)
+    every = F.transform(F.concat("_base", "_added"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.get(tags, s["kind"]).alias("tag")))
     new = F.when(F.size("_every") > 0, replaced(text, F.col("_every"))).otherwise(text)
     return from_row(found.withColumn("_every", every).withColumn("_text", new), docs, F.col("_text"))
 
