@@ -4,8 +4,9 @@ Base spans are fixed patterns (assign, access, hex). Other candidate strings are
 class has its own alphabet, window and limit. A window slides over the run: the counts of its characters and the sum
 of c * log2(c) change by the character that enters and the one that leaves, so a step costs the same whatever the
 window. Entropy is log2(w) - sum / w. The windows at or above the limit make one span, from the first to the last.
-Candidates on the allow-list (placeholders, UUIDs, digests named as such, alphabets in order, plain words) are
-suppressed, as are those that overlap a base span.
+Runs are cut at base spans and at words with a placeholder in them (the allow-list), what stands beside is scanned by
+itself. UUIDs, digests named as such and runs without both letters and digits are suppressed. Of overlapping spans of
+several classes the widest stays, then the next that overlaps none that stays.
 
 Cases. Null text: empty, no spans. Empty or very long texts are scanned whole. Null or repeated doc_id: each row is
 scanned. Empty table: no rows. Other columns are ignored.
@@ -18,9 +19,9 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let, read
+from .common import as_row, field, let, read
 from .pii import of_kind, told
-from .spans import NONE, disjoint, find_spans
+from .spans import NONE, best_apart, blanked, find_spans, running
 
 KINDS = ("assign", "access", "hex", "entropy")
 ASSIGN = r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*+[:=]\x20*+["']?[A-Za-z0-9+/_.=-]++"""
@@ -34,9 +35,10 @@ CLASSES = {
     "upper": (UPPER + DIGITS, "A-Z0-9", 20, 3.5),
     "base64": (UPPER + LOWER + DIGITS + "+/_=-", "A-Za-z0-9+/_=-", 24, 3.9),
 }
-#: Suppressed wherever they stand in a candidate.
+#: Words (runs of letters and digits) that hold one of these are no secrets.
 ALLOWED = r"(?i)example|sample|dummy|placeholder|changeme|redacted|your[_-]|xxxx|0123456|1234567|abcdef|(.)\1{5}"
 UUID = r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
+ALLOWED_WORD = rf"(?<![A-Za-z0-9])[A-Za-z0-9]*(?:{ALLOWED})[A-Za-z0-9]*"
 #: Suppressed after these words: digests are no secrets.
 NAMED = r"(?i)(?:sha-?[0-9]{1,3}|md5|digest|checksum|commit|integrity|etag)[\"']?\x20*[:=-]?\x20*[\"']?$"
 
@@ -81,26 +83,44 @@ def _seen(alphabet: str, window: int, limit: float):
     return lambda s: F.struct(s["start"].alias("start"), windows_over(s["m"], alphabet, window, limit).alias("w"))
 
 
-def added_spans(text: Column, base: Column) -> Column:
-    """array<struct<kind, start, end>> of high entropy that overlap no base span."""
+def beside_allowed(s: Column, window: int) -> Column:
+    """The parts of a run (start, end, m) beside its allowed words, those of a window's length at least."""
+
+    def of(gaps: Column) -> Column:
+        words = F.regexp_extract_all(s["m"], F.lit(ALLOWED_WORD), F.lit(0))
+        ends = running(F.transform(gaps, lambda g, k: F.char_length(g) + F.coalesce(F.char_length(F.get(words, k)), F.lit(0))))
+        parts = let(ends, lambda e: F.transform(gaps, lambda g, k: let(s["start"] + F.coalesce(F.get(e, k - 1), F.lit(0)), lambda at: F.struct(at.alias("start"), (at + F.char_length(g)).alias("end"), g.alias("m")))))
+        return F.filter(parts, lambda p: F.char_length(p["m"]) >= window)
+
+    return F.when(s["m"].rlike(ALLOWED), let(F.split(s["m"], ALLOWED_WORD, -1), of)).otherwise(F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"), s["m"].alias("m"))))
+
+
+def _beside(window: int):
+    return lambda s: beside_allowed(s, window)
+
+
+def added_candidates(masked: Column, text: Column) -> Column:
+    """array<struct<kind, start, end>> of high entropy; masked: text with blanks in place of base spans, so that what stands beside them is looked at by itself."""
     out = []
     for alphabet, chars, window, limit in CLASSES.values():
-        runs = F.when(text.rlike(f"[{chars}]{{{window}}}"), find_spans(text, f"(?<![{chars}])[{chars}]{{{window},}}+")).otherwise(F.expr(NONE))
-        likely = F.filter(disjoint(runs, base), lambda s: s["m"].rlike("[0-9]") & s["m"].rlike("[A-Za-z]") & ~s["m"].rlike(ALLOWED) & ~s["m"].rlike(UUID))
+        runs = F.when(masked.rlike(f"[{chars}]{{{window}}}"), find_spans(masked, f"(?<![{chars}])[{chars}]{{{window},}}+")).otherwise(F.expr(NONE))
+        whole = F.filter(runs, lambda s: ~s["m"].rlike(UUID))
+        parts = F.flatten(F.transform(whole, _beside(window)))
+        likely = F.filter(parts, lambda s: s["m"].rlike("[0-9]") & s["m"].rlike("[A-Za-z]"))
         free = F.filter(likely, lambda s: ~F.substring(text, F.greatest(F.lit(1), s["start"] - 23), F.least(F.lit(24), s["start"])).rlike(NAMED))
         seen = F.transform(free, _seen(alphabet, window, limit))
         out.append(F.transform(F.filter(seen, lambda s: s["w"]["a"].isNotNull()), lambda s: F.struct(F.lit(3).alias("kind"), (s["start"] + s["w"]["a"]).alias("start"), (s["start"] + s["w"]["b"]).alias("end"))))
-    # of overlapping spans of several classes the widest stays
-    better = lambda o, c: (o["end"] - o["start"] > c["end"] - c["start"]) | ((o["end"] - o["start"] == c["end"] - c["start"]) & (o["start"] < c["start"]))
-    return let(F.array_distinct(F.concat(*out)), lambda t: F.filter(t, lambda c: ~F.exists(t, lambda o: (o["start"] < c["end"]) & (c["start"] < o["end"]) & better(o, c))))
+    return F.concat(*out)
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """docs with spans: struct<base, added>, arrays of (kind, start, end)."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    text = F.coalesce(field("text").cast("string"), F.lit(""))
     kinds = base_spans(text)
-    base = F.concat(*[F.transform(kinds[k], of_kind(i)) for i, k in enumerate(KINDS[:3])])
-    return docs.withColumn("spans", let(base, lambda b: F.struct(b.alias("base"), added_spans(text, b).alias("added"))))
+    rows = as_row(docs).withColumn("_base", F.concat(*[F.transform(kinds[k], of_kind(i)) for i, k in enumerate(KINDS[:3])]))
+    rows = blanked(rows, text, "_base", "_masked").withColumn("_found", added_candidates(F.col("_masked"), text))
+    rows = best_apart(rows, "_found", lambda c: F.struct((c["start"] - c["end"]).alias("width"), c["start"].alias("start")), "_added")
+    return rows.select(*[field(c).alias(c) for c in docs.columns if c != "spans"], F.struct(F.col("_base").alias("base"), F.col("_added").alias("added")).alias("spans"))
 
 
 def by_place(spans: Column) -> Column:
