@@ -15,6 +15,7 @@ CONFIDENCE = {
     "top_to_limit": 0.98, "top_percent": 0.9, "top_with_ties": 0.95, "offset_fetch": 0.98, "fetch_first": 0.95, "brackets": 0.99, "national_strings": 0.99, "hints": 0.95, "getdate": 0.95, "getutcdate": 0.9, "sysdatetime": 0.92,
     "isnull": 0.98, "len": 0.95, "newid": 0.95, "charindex": 0.95, "patindex": 0.85, "stuff": 0.95, "replicate": 0.98, "dateadd": 0.95, "datediff": 0.9, "datepart": 0.9, "datename": 0.85, "eomonth": 0.95, "datetrunc": 0.9, "format": 0.8,
     "iif": 0.99, "choose": 0.98, "convert": 0.85, "try_convert": 0.85, "concat": 0.95, "quotename": 0.95, "plus_concat": 0.85, "apply": 0.95, "variables": 0.95, "select_into": 0.85, "isnumeric": 0.9, "schema_prefix": 0.98, "types": 0.95, "identity": 0.6, "update": 0.9, "update_join": 0.8, "delete": 0.95, "delete_join": 0.85, "for_json": 0.8, "json_value": 0.95, "string_split": 0.95, "generate_series": 0.95, "ident_current": 0.6,
+    "for_xml": 0.8, "merge": 0.85, "output": 0.85, "concat_ws": 0.95,
 }
 TYPES = {
     "NVARCHAR": "STRING", "VARCHAR": "STRING", "NCHAR": "STRING", "CHAR": "STRING", "TEXT": "STRING", "NTEXT": "STRING", "BIT": "BOOLEAN", "DATETIME": "TIMESTAMP_NTZ", "DATETIME2": "TIMESTAMP_NTZ", "SMALLDATETIME": "TIMESTAMP_NTZ",
@@ -33,6 +34,11 @@ class Result:
     warnings: list[str] = field(default_factory=list)
     #: names of variables, which become :name parameters
     parameters: list[str] = field(default_factory=list)
+    #: the rows of an OUTPUT clause, from the table as it was before the statement; and where INTO sends them
+    output: str = ""
+    output_into: str = ""
+    #: counts the rows that an UPDATE, DELETE or MERGE hits
+    hits: str = ""
 
     @property
     def confidence(self) -> float:
@@ -47,10 +53,11 @@ class Transpiler:
         self.functions: dict[str, Callable[[list[str]], str]] = {
             "GETDATE": self.plain("getdate", "localtimestamp()"), "SYSDATETIME": self.plain("sysdatetime", "localtimestamp()"), "SYSDATETIMEOFFSET": self.plain("sysdatetime", "current_timestamp()"),
             "GETUTCDATE": self.plain("getutcdate", "CAST(to_utc_timestamp(current_timestamp(), current_timezone()) AS TIMESTAMP_NTZ)"), "SYSUTCDATETIME": self.plain("getutcdate", "CAST(to_utc_timestamp(current_timestamp(), current_timezone()) AS TIMESTAMP_NTZ)"),
-            "NEWID": self.plain("newid", "uuid()"), "ISNULL": self.call("isnull", "coalesce({0}, {1})"), "LEN": self.call("len", "length(rtrim({0}))"), "REPLICATE": self.call("replicate", "repeat({0}, {1})"),
+            "NEWID": self.plain("newid", "uuid()"), "GEN_RANDOM_UUID": self.plain("newid", "uuid()"), "ISNULL": self.call("isnull", "coalesce({0}, {1})"), "LEN": self.call("len", "length(rtrim({0}))"), "REPLICATE": self.call("replicate", "repeat({0}, {1})"),
             "IIF": self.call("iif", "if({0}, {1}, {2})"), "CHARINDEX": self.charindex, "PATINDEX": self.patindex, "STUFF": self.call("stuff", "overlay({0} PLACING {3} FROM {1} FOR {2})"), "CHOOSE": lambda a: self.done("choose", f"elt({', '.join(a)})"),
             "DATEADD": self.dateadd, "DATEDIFF": self.datediff, "DATEDIFF_BIG": self.datediff, "DATEPART": self.datepart, "DATENAME": self.datename, "DATETRUNC": self.datetrunc, "EOMONTH": self.eomonth, "FORMAT": self.format, "CONVERT": self.convert("CAST", "convert"),
             "TRY_CONVERT": self.convert("try_cast", "try_convert"), "CONCAT": lambda a: self.done("concat", "concat(" + ", ".join(f"coalesce(CAST({x} AS STRING), '')" for x in a) + ")"),
+            "CONCAT_WS": lambda a: self.done("concat_ws", f"concat_ws({', '.join(a)})"),
             "JSON_VALUE": self.call("json_value", "get_json_object({0}, {1})"), "JSON_QUERY": self.call("json_value", "get_json_object({0}, {1})"),
             "STRING_SPLIT": self.call("string_split", "(SELECT explode(split({0}, concat('\\\\Q', {1}, '\\\\E'))) AS value)"), "GENERATE_SERIES": self.series,
             "SCOPE_IDENTITY": self.identity, "IDENT_CURRENT": self.identity, "QUOTENAME": self.call("quotename", "concat('[', replace({0}, ']', ']]'), ']')"), "ISNUMERIC": self.call("isnumeric", "CAST(coalesce(CAST({0} AS STRING) RLIKE '^[+-]?([0-9]+[.]?[0-9]*|[0-9]*[.]?[0-9]+)$', false) AS INT)"),
@@ -261,55 +268,180 @@ class Transpiler:
         rest = [x for x in items[k:] if not (isinstance(x, Token) and x.upper == "AS")]
         return items[:k], rest[0] if rest and isinstance(rest[0], Token) and rest[0].kind in ("word", "bracket") and rest[0].upper not in ("WITH", "ON") else items[k - 1]
 
-    def joined(self, items: list) -> tuple[tuple[list, Token], tuple[list, Token] | None, list]:
-        """Target, source and condition of FROM <target> [JOIN <source> ON <condition>]."""
+    def joined(self, items: list) -> tuple[tuple[list, Token], list[tuple[str, list, Token, list]]]:
+        """The target of FROM <target> JOIN <source> ON <condition> JOIN ..., and each source with how it is joined and its condition."""
         words = [x.upper if isinstance(x, Token) else "" for x in items]
-        if "JOIN" not in words:
-            return self.named(items), None, []
-        j, on = words.index("JOIN"), words.index("ON")
-        if "JOIN" in words[j + 1 :]:
-            self.result.warnings.append("only the first join of FROM is taken")
-        head = items[: j - 1] if words[j - 1] in ("INNER", "LEFT") else items[:j]
-        end = next((k for k in range(on, len(items)) if words[k] in ("INNER", "LEFT", "JOIN")), len(items))
-        return self.named(head), self.named(items[j + 1 : on]), items[on + 1 : end]
+        at = [k for k, w in enumerate(words) if w == "JOIN"]
+        if any(isinstance(x, Token) and x.text == "," for x in items):
+            raise ValueError("FROM with commas cannot be rewritten; write it as JOIN")
+        starts = []
+        for k in at:
+            first = k
+            while words[first - 1] in ("INNER", "LEFT", "OUTER", "RIGHT", "FULL", "CROSS"):
+                first -= 1
+            how = " ".join(words[first : k + 1])
+            if how not in ("JOIN", "INNER JOIN", "LEFT JOIN", "LEFT OUTER JOIN"):
+                raise ValueError(f"{how} in a statement that changes rows cannot be rewritten")
+            starts.append((first, k, "LEFT JOIN" if how.startswith("LEFT") else "JOIN"))
+        head = self.named(items[: starts[0][0]] if starts else items)
+        sources = []
+        for (_, k, how), end in zip(starts, [*(first for first, _, _ in starts[1:]), len(items)]):
+            on = words.index("ON", k, end)
+            name, alias = self.named(items[k + 1 : on])
+            sources.append((how, name, alias, items[on + 1 : end]))
+        return head, sources
+
+    def met(self, sources: list[tuple[str, list, Token, list]], where: str) -> str:
+        """FROM ... WHERE of the sources for a row of the target. Conditions of inner joins stand in WHERE, where they may name it."""
+        out, conditions = "", []
+        for k, (how, name, alias, on) in enumerate(sources):
+            table = f"{self.expression(name)} {self.token(alias)}"
+            if how == "LEFT JOIN" and k:
+                out += f" LEFT JOIN {table} ON {self.expression(on)}"
+            elif how == "LEFT JOIN":
+                raise ValueError("a LEFT JOIN right after the target cannot be rewritten")
+            else:
+                out += (" CROSS JOIN " if k else "FROM ") + table
+                conditions.append(f"({self.expression(on)})")
+        return f"{out} WHERE {' AND '.join([*conditions, f'({where})'])}"
+
+    def output(self, items: list, inserted: Callable[[str], str], deleted: Callable[[str], str]) -> str:
+        """The select list of an OUTPUT clause."""
+        words = [x.upper if isinstance(x, Token) else "" for x in items]
+        if "INTO" in words:
+            k = words.index("INTO")
+            self.result.output_into = render(items[k + 1 : k + 2])
+            items = items[:k]
+        columns = []
+        for p in split(items, ","):
+            text = self.expression(p)
+            if re.search(r"(?i)\b(inserted|deleted)\.\*", text):
+                raise ValueError("OUTPUT with * cannot be rewritten; name the columns")
+            bare = re.fullmatch(r"(?i)(?:inserted|deleted)\.(`[^`]+`|\w+)", text)
+            new = re.sub(r"(?i)\binserted\.(`[^`]+`|\w+)", lambda m: f"({inserted(m[1])})", text)
+            new = re.sub(r"(?i)\bdeleted\.(`[^`]+`|\w+)", lambda m: f"({deleted(m[1])})", new)
+            columns.append(f"{new} AS {bare[1]}" if bare else new)
+        self.done("output", "")
+        return ", ".join(columns)
+
+    def assignments(self, items: list) -> dict[str, str]:
+        sets = {}
+        for p in split(items, ","):
+            eq = next(k for k, x in enumerate(p) if isinstance(x, Token) and x.text in ("=", "+=", "-="))
+            column, value = self.token(p[eq - 1]), self.expression(p[eq + 1 :])
+            sets[column] = value if p[eq].text == "=" else f"{self.expression(p[:eq])} {p[eq].text[0]} ({value})"
+        return sets
 
     def update(self, items: list) -> str:
         part = self.clauses(items[1:], ("SET", "OUTPUT", "FROM", "WHERE"))
-        if "OUTPUT" in part:
-            self.result.warnings.append("OUTPUT: see operators.dml.update_output")
         table, alias = self.named(part[""])
-        source, on = None, []
+        sources: list = []
         if "FROM" in part:
-            (table, alias), source, on = self.joined(part["FROM"])
-        sets = {}
-        for p in split(part["SET"], ","):
-            eq = next(k for k, x in enumerate(p) if isinstance(x, Token) and x.text == "=")
-            sets[self.token(p[eq - 1])] = self.expression(p[eq + 1 :])
-        a = self.token(alias)
-        hit = self.expression(part["WHERE"]) if "WHERE" in part else "true"
-        hit = f"coalesce({hit}, false)"
-        if source:
-            name, other = source
-            b = self.token(other)
-            hit = f"{b}._hit IS NOT NULL AND {hit}"
-            start = f"{self.expression(table)} {a} LEFT JOIN (SELECT *, true AS _hit FROM {self.expression(name)}) {b} ON {self.expression(on)}"
+            (table, alias), sources = self.joined(part["FROM"])
+        sets, a = self.assignments(part["SET"]), self.token(alias)
+        where = self.expression(part["WHERE"]) if "WHERE" in part else "true"
+        start = f"FROM {self.expression(table)} {a}"
+        if sources:
+            # one of the rows that meet a target row gives the values, as T-SQL has it; struct fields keep the sources' names
+            names = [self.token(x[2]) for x in sources]
+            one = ", ".join(f"struct({n}.*) AS {n}" for n in names)
+            start += f" LEFT JOIN LATERAL (SELECT any_value(struct({one})) AS _m {self.met(sources, where)}) _u ON true"
+            hit = "_u._m IS NOT NULL"
+            field_of = re.compile(r"(?<![\w.`])(" + "|".join(map(re.escape, names)) + r")\.(?=[\w`])", re.I)
+            sets = {c: field_of.sub(lambda m: f"_u._m.{m[1]}.", v) for c, v in sets.items()}
             self.done("update_join", "")
         else:
-            start = f"{self.expression(table)} {a}"
+            hit = f"coalesce({where}, false)"
             self.done("update", "")
+        lower = {c.lower(): v for c, v in sets.items()}
+        if "OUTPUT" in part:
+            self.result.output = f"SELECT {self.output(part['OUTPUT'], lambda c: lower.get(c.lower(), f'{a}.{c}'), lambda c: f'{a}.{c}')} {start} WHERE {hit}"
+        self.result.hits = f"SELECT count(*) {start} WHERE {hit}"
         columns = ", ".join(f"CASE WHEN {hit} THEN {v} ELSE {a}.{c} END AS {c}" for c, v in sets.items())
-        return f"SELECT {a}.* EXCEPT ({', '.join(sets)}), {columns} FROM {start}"
+        return f"SELECT {a}.* EXCEPT ({', '.join(sets)}), {columns} {start}"
 
     def delete(self, items: list) -> str:
         part = self.clauses(items[1:], ("OUTPUT", "FROM", "WHERE"))
-        given = part.get("FROM") or part[""]
-        (table, alias), source, on = self.joined(given)
+        rest = part.get("FROM") or part[""]
+        words = [x.upper if isinstance(x, Token) else "" for x in rest]
+        if "FROM" in words:  # DELETE FROM t OUTPUT ... FROM t JOIN ...
+            rest = rest[words.index("FROM") + 1 :]
+        (table, alias), sources = self.joined(rest)
         a, where = self.token(alias), self.expression(part["WHERE"]) if "WHERE" in part else "true"
-        if source:
+        start = f"FROM {self.expression(table)} {a}"
+        if sources:
             self.done("delete_join", "")
-            name, other = source
-            return f"SELECT {a}.* FROM {self.expression(table)} {a} WHERE NOT EXISTS (SELECT 1 FROM {self.expression(name)} {self.token(other)} WHERE ({self.expression(on)}) AND ({where}))"
-        return self.done("delete", f"SELECT {a}.* FROM {self.expression(table)} {a} WHERE NOT coalesce({where}, false)")
+            met = self.met(sources, where)
+            hit, stays = f"EXISTS (SELECT 1 {met})", f"NOT EXISTS (SELECT 1 {met})"
+        else:
+            self.done("delete", "")
+            hit, stays = f"coalesce({where}, false)", f"NOT coalesce({where}, false)"
+        if "OUTPUT" in part:
+            self.result.output = f"SELECT {self.output(part['OUTPUT'], lambda c: 'NULL', lambda c: f'{a}.{c}')} {start} WHERE {hit}"
+        self.result.hits = f"SELECT count(*) {start} WHERE {hit}"
+        return f"SELECT {a}.* {start} WHERE {stays}"
+
+    def merge(self, items: list) -> str:
+        """The target as it is after MERGE: a full join, and of each kind of row the first clause whose condition holds."""
+        words = [x.upper if isinstance(x, Token) else "" for x in items]
+        first = words.index("WHEN")
+        using, on = words.index("USING"), words.index("ON")
+        table, alias = self.named([x for x in items[1:using] if x.upper != "INTO"])
+        source, other = self.named(items[using + 1 : on])
+        a, b, condition = self.token(alias), self.token(other), self.expression(items[on + 1 : first])
+        self.done("merge", "")
+        self.result.warnings.append("MERGE fails in T-SQL where several source rows meet one target row; here the target row then stands several times")
+        tail = items[first:]
+        end = next((k for k, x in enumerate(tail) if isinstance(x, Token) and x.upper == "OUTPUT"), len(tail))
+        given, tail = tail[end + 1 :], tail[:end]
+        kinds: dict[str, list[tuple[str, str, dict[str, str]]]] = {"matched": [], "source": [], "target": []}
+        for clause in split_words(tail, "WHEN"):
+            w = [x.upper if isinstance(x, Token) else "" for x in clause]
+            then = w.index("THEN")
+            kind = "matched" if w[0] == "MATCHED" else "target" if "SOURCE" in w[:then] else "source"
+            test = self.expression(clause[w.index("AND") + 1 : then]) if "AND" in w[:then] else "true"
+            do, rest = w[then + 1], clause[then + 2 :]
+            if do == "UPDATE":
+                values = self.assignments(rest[1:])
+            elif do == "INSERT":
+                columns = [self.token(p[0]) for p in split(rest[0].items, ",")]
+                values = dict(zip(columns, self.args(rest[-1])))
+            else:
+                values = {}
+            kinds[kind].append((test, do, values))
+        rows = {"matched": f"{a}._t AND {b}._s", "source": f"{a}._t IS NULL", "target": f"{b}._s IS NULL"}
+        cases = [(f"{rows[k]} AND coalesce({test}, false)", do, values) for k, clauses in kinds.items() for test, do, values in clauses]
+        columns = list(dict.fromkeys(c for _, _, v in cases for c in v))
+        start = f"FROM (SELECT *, true AS _t FROM {self.expression(table)}) {a} FULL JOIN (SELECT *, true AS _s FROM {self.expression(source)}) {b} ON {condition}"
+
+        def after(c: str) -> str:
+            return "CASE " + " ".join(f"WHEN {test} THEN {dict((k.lower(), v) for k, v in values.items()).get(c.lower(), 'NULL' if do == 'INSERT' else f'{a}.{c}')}" for test, do, values in cases) + f" ELSE {a}.{c} END"
+
+        action = "CASE " + " ".join(f"WHEN {test} THEN '{do}'" for test, do, _ in cases) + " END"
+        if given:
+            given = [Token("word", "_action") if isinstance(x, Token) and x.text.lower() == "$action" else x for x in given]
+            text = self.output(given, after, lambda c: f"{a}.{c}")
+            self.result.output = f"SELECT {re.sub(r'^_action(?!\w)|(?<=, )_action(?!\w)', f'{action} AS action', text)} {start} WHERE {action} IS NOT NULL"
+        self.result.hits = f"SELECT count({action}) {start}"
+        changed = ", ".join(f"{after(c)} AS {c}" for c in columns)
+        stays = f"coalesce({action}, CASE WHEN {a}._t THEN 'KEEP' ELSE 'DELETE' END) <> 'DELETE'"
+        return f"SELECT {a}.* EXCEPT ({', '.join(['_t', *columns])}){', ' + changed if changed else ''} {start} WHERE {stays}"
+
+    @staticmethod
+    def xml_tags(items: list) -> tuple[str, str]:
+        """The row's and the root's tag of FOR XML PATH; other modes are refused."""
+        if not items or items[0].upper != "PATH":
+            raise ValueError("only FOR XML PATH can be rewritten")
+        row, root = "row", ""
+        for k, x in enumerate(items):
+            tag = items[k + 1].items[0].text.lstrip("nN").strip("'") if k + 1 < len(items) and isinstance(items[k + 1], Group) and items[k + 1].items else None
+            if x.upper == "PATH" and tag is not None:
+                row = tag
+            elif x.upper == "ROOT":
+                root = tag or "root"
+        if not re.fullmatch(r"[A-Za-z_][\w.-]*", row) or not re.fullmatch(r"([A-Za-z_][\w.-]*)?", root):
+            raise ValueError("FOR XML PATH needs tags that are names")
+        return row, root
 
     # --- query blocks ---
     def query(self, items: list) -> str:
@@ -383,10 +515,13 @@ class Transpiler:
             self.done("select_into", "")
             words = [x.upper if isinstance(x, Token) else "" for x in rest]
         document = "FOR" in words and words.index("FOR") + 1 < len(words) and words[words.index("FOR") + 1] in ("JSON", "XML")
+        xml = None
         if document:
             k = words.index("FOR")
             if words[k + 1] == "XML":
-                self.result.warnings.append("FOR XML: see sources.queries.for_xml_path")
+                xml = self.xml_tags(rest[k + 2 :])
+            elif "AUTO" not in words[k:] and "PATH" not in words[k:]:
+                raise ValueError("FOR JSON needs AUTO or PATH")
             del rest[k:]
             words = words[:k]
         if top is not None and (percent or ties):
@@ -396,6 +531,7 @@ class Transpiler:
             columns, source = self.expression(rest[1:f]), self.expression(rest[f:k])
             if percent:
                 self.done("top_percent", "")
+                self.result.warnings.append("TOP PERCENT ranks all rows in one task; operators.order.top_percent spreads them")
                 inner = f"SELECT {columns}, row_number() OVER ({order}) AS _nth, count(*) OVER () AS _all {source}"
                 sql = f"SELECT * EXCEPT (_nth, _all) FROM ({inner}) WHERE _nth <= ceil(_all * {top} / 100)"
             else:
@@ -409,7 +545,13 @@ class Transpiler:
                 sql += f" LIMIT {limit}"
             if offset is not None and offset != "0":
                 sql += f" OFFSET {offset}"
-        if document:
+        if xml:
+            row, root = xml
+            # to_xml puts white space between elements
+            each = f"regexp_replace(to_xml(struct(*), map('rowTag', '{row}', 'attributePrefix', '@')), '>\\\\s+<', '><')"
+            body = f"array_join(collect_list({each}), '')"
+            sql = self.done("for_xml", f"SELECT {f"concat('<{root}>', {body}, '</{root}>')" if root else body} AS xml FROM ({sql})")
+        elif document:
             sql = self.done("for_json", f"SELECT to_json(collect_list(struct(*))) AS json FROM ({sql})")
         if into:
             sql = f"CREATE TABLE {into} USING parquet AS {sql}"
@@ -422,18 +564,44 @@ def tidy(parts: list[str]) -> str:
     return re.sub(r" ,", ",", text)
 
 
+def split_words(items: list, word: str) -> list[list]:
+    """What follows each occurrence of a word at this level, but within CASE."""
+    out: list[list] = []
+    cases = 0
+    for x in items:
+        w = x.upper if isinstance(x, Token) and x.kind == "word" else ""
+        cases += (w == "CASE") - (w == "END")
+        if w == word and not cases:
+            out.append([])
+        elif out:
+            out[-1].append(x)
+    return out
+
+
+def render(items: list) -> str:
+    """Items as T-SQL again."""
+    out = " ".join("(" + render(x.items) + ")" if isinstance(x, Group) else x.text for x in items)
+    return re.sub(r"(?<=[\w\]]) \. (?=[\w\[*])", ".", out).replace(" ,", ",")
+
+
+def statement(t: Transpiler, items: list) -> str:
+    """A query, or for UPDATE, DELETE and MERGE the query that gives the table as it is afterwards."""
+    first = items[0].upper if isinstance(items[0], Token) else ""
+    change = {"UPDATE": t.update, "DELETE": t.delete, "MERGE": t.merge}.get(first)
+    return change(items) if change else t.query(items) if first in ("SELECT", "WITH") else t.expression(items)
+
+
 def transpile(sql: str) -> Result:
-    """The statement in Spark SQL with the rules applied, warnings, parameters and confidence."""
+    """The statement in Spark SQL with the rules applied, warnings, parameters and confidence.
+
+    What has no equal plan raises a ValueError; a warning never stands for a wrong one.
+    """
     t = Transpiler()
     items = tree(tokenize(sql.strip().rstrip(";")))
     if not items:
         raise ValueError("an empty statement")
     first = items[0].upper if isinstance(items[0], Token) else ""
-    if first in ("UPDATE", "DELETE"):
-        t.result.sql = t.update(items) if first == "UPDATE" else t.delete(items)
-    elif first not in ("SELECT", "WITH"):
-        t.result.warnings.append(f"{first} is kept as it is; see operators.dml for MERGE")
-        t.result.sql = t.expression(items)
-    else:
-        t.result.sql = t.query(items)
+    if first not in ("SELECT", "WITH", "UPDATE", "DELETE", "MERGE"):
+        t.result.warnings.append(f"{first} is kept as it is")
+    t.result.sql = statement(t, items)
     return t.result

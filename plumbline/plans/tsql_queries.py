@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from ..registry import ORACLES, QUERIES, views
+import uuid
+
+from ..registry import ORACLES, QUERIES, query, views
 from .transpile import transpile
 
 
-def tsql_query(name: str, sql: str, oracle: str | None = None, **parameters) -> None:
+def tsql_query(name: str, sql: str, oracle: str | None = None, output: bool = False, **parameters) -> None:
+    """Registers a statement; output: the rows of its OUTPUT clause instead of the table afterwards."""
+
     def run(spark, sf_dir):
         made = transpile(sql)
-        views(spark, sf_dir, made.sql)
-        return spark.sql(made.sql, args={p: parameters[p] for p in made.parameters} or None)
+        text = made.output if output else made.sql
+        views(spark, sf_dir, text)
+        return spark.sql(text, args={p: parameters[p] for p in made.parameters} or None)
 
     QUERIES[name] = run
     if oracle:
@@ -45,3 +50,35 @@ tsql_query("rewrite_for_json", "SELECT r_regionkey AS id, r_name AS name FROM re
 tsql_query("rewrite_string_split", "SELECT p.p_partkey, w.value FROM part p CROSS APPLY STRING_SPLIT(p.p_name, ' ') w WHERE w.value <> 'blue'", "SELECT p_partkey, value FROM (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS value FROM part) x WHERE value <> 'blue'")
 tsql_query("rewrite_json_value", "SELECT event_id, CAST(JSON_VALUE(props, '$.k') AS INT) AS k FROM events", "SELECT event_id, CAST(json_extract(props, '$.k') AS INT) AS k FROM events")
 tsql_query("rewrite_series", "SELECT s.value, COUNT(p.p_partkey) AS n FROM GENERATE_SERIES(1, 50) s LEFT JOIN part p ON p.p_size = s.value GROUP BY s.value", "SELECT CAST(range AS INT) AS value, count(p_partkey) AS n FROM range(1, 51) LEFT JOIN part ON p_size = range GROUP BY range")
+
+_JOINS = "FROM dbo.part p INNER JOIN dbo.lineitem l ON l.l_partkey = p.p_partkey INNER JOIN dbo.supplier s ON s.s_suppkey = l.l_suppkey WHERE s.s_acctbal < 0 AND l.l_returnflag = 'R'"
+_HIT = "p_partkey IN (SELECT l_partkey FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE s_acctbal < 0 AND l_returnflag = 'R')"
+tsql_query("rewrite_update_joins", f"UPDATE p SET p.p_retailprice += 1, p.p_type = l.l_returnflag {_JOINS}", f"SELECT p_partkey, p_name, p_brand, p_size, CASE WHEN {_HIT} THEN p_retailprice + 1 ELSE p_retailprice END AS p_retailprice, CASE WHEN {_HIT} THEN 'R' ELSE p_type END AS p_type FROM part")
+tsql_query("rewrite_delete_joins", f"DELETE p {_JOINS}", f"SELECT * FROM part WHERE NOT ({_HIT})")
+tsql_query("rewrite_update_output", "UPDATE part SET p_retailprice = p_retailprice * 2 OUTPUT inserted.p_partkey, deleted.p_retailprice AS was, inserted.p_retailprice AS now_price INTO @changed WHERE p_size = 1", "SELECT p_partkey, p_retailprice AS was, p_retailprice * 2 AS now_price FROM part WHERE p_size = 1", output=True)
+tsql_query("rewrite_delete_output", f"DELETE p OUTPUT deleted.p_partkey, deleted.p_name {_JOINS}", f"SELECT p_partkey, p_name FROM part WHERE {_HIT}", output=True)
+_MERGE = "MERGE INTO dbo.supplier AS t USING (SELECT c_custkey AS k, c_name AS name, c_acctbal AS bal FROM customer WHERE c_custkey % 3 = 0) AS s ON t.s_suppkey = s.k WHEN MATCHED AND s.bal < 0 THEN DELETE WHEN MATCHED THEN UPDATE SET t.s_acctbal = t.s_acctbal + s.bal WHEN NOT MATCHED AND s.bal > 9000 THEN INSERT (s_suppkey, s_name, s_acctbal) VALUES (s.k, s.name, s.bal) WHEN NOT MATCHED BY SOURCE AND t.s_acctbal < 0 THEN DELETE"
+_MERGED = "supplier t FULL JOIN (SELECT c_custkey AS k, c_name AS name, c_acctbal AS bal FROM customer WHERE c_custkey % 3 = 0) s ON s_suppkey = k"
+tsql_query("rewrite_merge", _MERGE, f"""SELECT coalesce(s_suppkey, k) AS s_suppkey, coalesce(s_name, name) AS s_name, s_nationkey, CASE WHEN s_suppkey IS NULL THEN bal WHEN k IS NULL THEN s_acctbal ELSE s_acctbal + bal END AS s_acctbal FROM {_MERGED}
+WHERE CASE WHEN s_suppkey IS NULL THEN bal > 9000 WHEN k IS NULL THEN s_acctbal >= 0 ELSE bal >= 0 END""")
+tsql_query("rewrite_merge_output", _MERGE + " OUTPUT $action, inserted.s_suppkey AS new_key, deleted.s_suppkey AS old_key;", f"""SELECT * FROM (SELECT CASE WHEN s_suppkey IS NULL THEN CASE WHEN bal > 9000 THEN 'INSERT' END WHEN k IS NULL THEN CASE WHEN s_acctbal < 0 THEN 'DELETE' END WHEN bal < 0 THEN 'DELETE' ELSE 'UPDATE' END AS action, coalesce(s_suppkey, k) AS new_key, s_suppkey AS old_key FROM {_MERGED}) x WHERE action IS NOT NULL""", output=True)
+tsql_query("rewrite_for_xml", "SELECT r_regionkey AS [@id], r_name AS name FROM region WHERE r_regionkey = 2 FOR XML PATH('area'), ROOT('areas')", "SELECT '<areas><area id=\"2\"><name>' || r_name || '</name></area></areas>' AS xml FROM region WHERE r_regionkey = 2")
+tsql_query("rewrite_cube", "SELECT o_orderstatus AS s, o_orderpriority AS p, COUNT(*) AS n, GROUPING(o_orderstatus) AS g FROM dbo.orders GROUP BY o_orderstatus, o_orderpriority WITH CUBE", "SELECT o_orderstatus AS s, o_orderpriority AS p, count(*) AS n, CAST(grouping(o_orderstatus) AS TINYINT) AS g FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)")
+tsql_query("rewrite_try_cast", "SELECT event_id, TRY_CAST(event_type AS INT) AS bad, TRY_CONVERT(DECIMAL(10, 2), value) AS good FROM events", "SELECT event_id, try_cast(event_type AS INT) AS bad, try_cast(value AS DECIMAL(10, 2)) AS good FROM events")
+tsql_query("rewrite_concat_ws", "SELECT n_nationkey, CONCAT_WS('-', n_name, NULL, CAST(n_regionkey AS VARCHAR(5))) AS shown FROM nation", "SELECT n_nationkey, concat_ws('-', n_name, NULL, n_regionkey) AS shown FROM nation")
+
+
+@query("rewrite_select_into", "SELECT c_mktsegment, count(*) AS n FROM customer WHERE c_acctbal > 0 GROUP BY c_mktsegment")
+def rewrite_select_into(spark, sf_dir):
+    """SELECT ... INTO makes a table, which is then read."""
+    name = f"segments_{uuid.uuid4().hex[:12]}"
+    made = transpile(f"SELECT c_mktsegment, COUNT(*) AS n INTO #{name} FROM dbo.customer WHERE c_acctbal > 0 GROUP BY c_mktsegment")
+    views(spark, sf_dir, "customer")
+    spark.sql(made.sql)
+    return spark.table(name)
+
+
+# texts of the other direction are plain Spark SQL already, but for a function and quoted names
+tsql_query("reverse_limit_coalesce", 'SELECT "c_name", coalesce("c_mktsegment", \'none\') AS s, length(c_name) AS n FROM customer ORDER BY c_custkey LIMIT 7', "SELECT c_name, coalesce(c_mktsegment, 'none') AS s, CAST(length(c_name) AS INT) AS n FROM customer ORDER BY c_custkey LIMIT 7")
+tsql_query("reverse_uuid_now", "SELECT r_regionkey, gen_random_uuid() AS id, now() AS at FROM region")
+tsql_query("reverse_uuid_distinct", "SELECT COUNT(DISTINCT x.id) AS n, MIN(length(x.id)) AS len FROM (SELECT gen_random_uuid() AS id FROM customer) x", "SELECT count(*) AS n, 36 AS len FROM customer")

@@ -32,6 +32,7 @@ def test_confidence_is_a_geometric_mean():
     r = transpile("SELECT TOP 3 ISNULL(a, 0) FROM t")
     assert r.confidence == pytest.approx(0.98, abs=1e-3) and transpile("SELECT a FROM t").confidence == 1.0
     assert transpile("SELECT @@IDENTITY AS i FROM t").warnings and transpile("MERGE INTO t USING s ON t.k = s.k WHEN MATCHED THEN DELETE").warnings
+    assert transpile("MERGE INTO t USING s ON t.k = s.k WHEN MATCHED THEN DELETE").sql.startswith("SELECT t.* EXCEPT (_t) FROM")
 
 
 def test_it_is_stable():
@@ -81,3 +82,53 @@ def test_script_is_the_same_each_time():
 def test_return_leaves(spark):
     script = P.to_script(P.parse("DECLARE @x INT = 1; SELECT @x AS v; IF @x = 1 RETURN; SELECT 2 AS v"))
     assert [r.v for r in spark.sql(script).collect()] == [1]
+
+
+@pytest.mark.parametrize("bad", ["UPDATE t SET a = 1 FROM t, s WHERE t.k = s.k", "DELETE t FROM t RIGHT JOIN s ON s.k = t.k", "SELECT a FROM t FOR XML RAW", "UPDATE t SET a = 1 OUTPUT inserted.* WHERE b = 2"])
+def test_what_has_no_equal_plan_is_refused(bad):
+    with pytest.raises(ValueError):
+        transpile(bad)
+
+
+def test_a_row_that_meets_several_sources_is_updated_once(spark):
+    made = transpile("UPDATE t SET t.v = s.w + t.v FROM ta t JOIN sa s ON s.k = t.k WHERE s.w > 0")
+    spark.createDataFrame([(1, 10), (2, 20)], "k int, v int").createOrReplaceTempView("ta")
+    spark.createDataFrame([(1, 5), (1, 5), (1, -9), (2, -1)], "k int, w int").createOrReplaceTempView("sa")
+    assert sorted(map(tuple, spark.sql(made.sql).collect())) == [(1, 15), (2, 20)]
+    assert spark.sql(made.hits).first()[0] == 1
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("DECLARE @i INT = 0; BEGIN TRY SET @i = 7; END TRY BEGIN CATCH SET @i = -1; END CATCH SELECT @i AS i", (7,)),
+        ("DECLARE @i INT = 0; BEGIN TRY SET @i = 7; THROW 50001, 'too bad', 1; SET @i = 8; END TRY BEGIN CATCH SET @i = @i + 100; END CATCH SELECT @i AS i, ERROR_MESSAGE() AS m", (107, "too bad")),
+        ("DECLARE @i INT = 0; BEGIN TRY SET @i = 1 / 0; END TRY BEGIN CATCH IF @i = 0 BEGIN SELECT 'caught' AS c; RETURN; END SET @i = 5; END CATCH SELECT @i AS i", ("caught",)),
+        ("DECLARE @i INT = 0, @n INT = 0; WHILE @i < 5 BEGIN SET @i = @i + 1; BEGIN TRY IF @i = 2 THROW 50001, 'x', 1; SET @n = @n + 1; END TRY BEGIN CATCH IF @i = 2 CONTINUE; END CATCH SET @n = @n + 10; END SELECT @n AS n", (44,)),
+        ("DECLARE @i INT = 0; BEGIN TRY BEGIN TRY THROW 1, 'in', 1; END TRY BEGIN CATCH SET @i = 1; THROW; END CATCH END TRY BEGIN CATCH SET @i = @i + 10; END CATCH SELECT @i AS i, ERROR_MESSAGE() AS m", (11, "in")),
+        ("DECLARE @i INT = 0, @j INT = 0, @n INT = 0; WHILE @i < 3 BEGIN SET @i = @i + 1; SET @j = 0; WHILE 1 = 1 BEGIN SET @j = @j + 1; IF @j = @i BREAK; SET @n = @n + 1; END END SELECT @n AS n", (3,)),
+        ("RAISERROR('only a word', 10, 1); SELECT 1 AS x", (1,)),
+        ("DECLARE @r INT, @rc INT; EXEC @rc = dbo.Half @x = 10, @y = @r OUTPUT; SELECT @r AS r, @rc AS rc", (5, 0)),
+        ("DECLARE @r INT, @rc INT; EXEC @rc = Half 9, @r OUT; SELECT @r AS r, @rc AS rc", (None, 1)),
+        ("EXEC sp_executesql N'SELECT 4 AS x'", (4,)),
+    ],
+)
+def test_scripts(spark, text, want):
+    half = P.parse("CREATE PROCEDURE dbo.Half @x INT, @y INT OUTPUT AS BEGIN IF @x % 2 = 1 RETURN 1; SET @y = @x / 2; RETURN 0; END")
+    assert [tuple(r) for r in spark.sql(P.to_script(P.parse(text), None, {"Half": half})).collect()] == [want]
+
+
+def test_a_variable_is_not_taken_for_a_column(spark):
+    spark.createDataFrame([(1, 10), (2, 20)], "k int, v int").createOrReplaceTempView("tb")
+    assert [tuple(r) for r in spark.sql(P.to_script(P.parse("DECLARE @k INT = 2; SELECT v FROM tb WHERE k = @k"))).collect()] == [(20,)]
+
+
+@pytest.mark.parametrize("bad", ["GOTO a; a: SELECT 1", "EXEC nobody @x = 1", "EXEC (@text)", "SAVE TRAN a", "BREAK", "UPDATE t SET a = 1 OUTPUT inserted.a"])
+def test_what_cannot_be_compiled_is_refused(bad):
+    with pytest.raises(ValueError):
+        P.to_script(P.parse(bad))
+
+
+def test_break_and_continue_in_the_control_flow():
+    edges = set(P.control_flow(P.parse("WHILE @i < 5 BEGIN IF @i = 1 CONTINUE; IF @i = 2 BREAK; SET @i = 3; END SELECT 1")))
+    assert {(3, 1, "loop_back"), (6, 1, "loop_back"), (5, 7, "sequential"), (1, 7, "false_branch")} <= edges and (5, 6, "sequential") not in edges
