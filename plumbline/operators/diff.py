@@ -11,9 +11,9 @@ import functools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from ..registry import query, table
+from .order import global_rank
 
 MODES = ("strict", "text", "loose", "tolerance")
 TRUE, FALSE = ("true", "1", "yes", "t", "y"), ("false", "0", "no", "f", "n")
@@ -79,9 +79,9 @@ def category(a: Column, b: Column, ta: T.DataType, tb: T.DataType) -> Column:
     return F.when(a.isNull() | b.isNull(), "nullability").otherwise(kind)
 
 
-def by_position(df: DataFrame, order_by: list[Column | str]) -> DataFrame:
-    """df with row_index (from 0) under a total order. A global order needs one: prefer keys where there are any."""
-    return df.withColumn("row_index", F.row_number().over(Window.orderBy(*order_by)) - 1)
+def by_position(df: DataFrame, key: str, ties: list[str], descending: bool = False) -> DataFrame:
+    """df with row_index (from 0) under a total order by a number, nulls last, and what breaks its ties: ranked in buckets, never in one task."""
+    return global_rank(df, key, ties, descending, name="row_index").withColumn("row_index", F.col("row_index") - 1)
 
 
 def aligned(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
@@ -95,7 +95,7 @@ def aligned(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
 def field_diffs(left: DataFrame, right: DataFrame, keys: list[str], mode: str = "tolerance", tolerance: dict[str, float] | None = None, ignore: tuple[str, ...] = (), check: tuple[str, ...] | None = None) -> DataFrame:
     """keys, field, source, target and category of every field that differs in rows both sides have."""
     common = [c for c in left.columns if c in right.columns and c not in keys and c not in ignore and (check is None or c in check)]
-    both = aligned(left, right, keys).where("side = 'both'")
+    both = left.select(*keys, *[F.col(c).alias(f"l_{c}") for c in common]).join(right.select(*keys, *[F.col(c).alias(f"r_{c}") for c in common]), keys)
     found = []
     for c in common:
         a, b, ta, tb = F.col(f"l_{c}"), F.col(f"r_{c}"), left.schema[c].dataType, right.schema[c].dataType
@@ -119,9 +119,10 @@ def summary(left: DataFrame, right: DataFrame, keys: list[str], mode: str = "loo
 
 def strict(left: DataFrame, right: DataFrame) -> DataFrame:
     """One row: rows that only one side has, with repeats, and whether both are equal as multisets."""
-    a = left.exceptAll(right).agg(F.count(F.lit(1)).alias("only_source"))
-    b = right.exceptAll(left).agg(F.count(F.lit(1)).alias("only_target"))
-    return a.crossJoin(b).withColumn("equal", (F.col("only_source") == 0) & (F.col("only_target") == 0))
+    both = left.withColumn("_side", F.lit(1)).union(right.withColumn("_side", F.lit(-1)))
+    n = both.groupBy(*left.columns).agg(F.sum("_side").alias("n")).where("n <> 0")
+    counts = n.agg(F.coalesce(F.sum(F.greatest("n", F.lit(0))), F.lit(0)).alias("only_source"), F.coalesce(F.sum(F.greatest(-F.col("n"), F.lit(0))), F.lit(0)).alias("only_target"))
+    return counts.withColumn("equal", (F.col("only_source") == 0) & (F.col("only_target") == 0))
 
 
 def schema_diff(frames: dict[str, DataFrame], spark) -> DataFrame:
@@ -219,8 +220,8 @@ def diff_consensus(spark, sf):
 def diff_positional(spark, sf):
     """Row i against row i, under a total order."""
     left, right = (df.select("o_orderkey", "o_totalprice") for df in _pair(spark, sf))
-    order = [F.desc_nulls_last("o_totalprice"), F.asc("o_orderkey")]
-    return field_diffs(by_position(left, order), by_position(right, order), ["row_index"], "strict", check=("o_orderkey",)).select("row_index")
+    placed = (by_position(df, "o_totalprice", ["o_orderkey"], descending=True) for df in (left, right))
+    return field_diffs(*placed, ["row_index"], "strict", check=("o_orderkey",)).select(F.col("row_index").cast("int").alias("row_index"))
 
 
 @query("verify_counts", f"SELECT 'orders' AS table_name, (SELECT CAST(count(*) AS BIGINT) FROM orders) AS source_rows, (SELECT CAST(count(*) AS BIGINT) FROM ({CHANGED}) c) AS target_rows, 'FAIL' AS status UNION ALL SELECT 'customer', CAST(count(*) AS BIGINT), CAST(count(*) AS BIGINT), 'PASS' FROM customer")

@@ -59,3 +59,19 @@ def repo_list_page(spark, sf):
 @query("global_rank", "SELECT order_id, row_number() OVER (ORDER BY amount, order_id) AS place FROM ord")
 def global_rank_query(spark, sf):
     return global_rank(run_sql(spark, sf, "SELECT order_id, amount FROM ord"), "amount", ["order_id"], name="place").select("order_id", "place")
+
+
+def global_ntile(df: DataFrame, tiles: int, key: str, ties: list[str], descending: bool = False, name: str = "tile") -> DataFrame:
+    """df with the tile (from 1) of each row under a global order: from its rank and the count of rows, the first tiles one larger where it does not divide."""
+    n = df.agg(F.count(F.lit(1)).alias("_all"))
+    ranked = global_rank(df, key, ties, descending, name="_rank").crossJoin(F.broadcast(n))  # n is one row
+    q, rest, r = F.floor(F.col("_all") / tiles), F.col("_all") % tiles, F.col("_rank")
+    tile = F.when(r <= rest * (q + 1), F.ceil(r / (q + 1))).otherwise(rest + F.ceil((r - rest * (q + 1)) / q))
+    return ranked.withColumn(name, tile.cast("bigint")).drop("_rank", "_all")
+
+
+@query("win_over_agg", "SELECT customer_id, CAST(ntile(4) OVER (ORDER BY round(sum(amount), 2) DESC, customer_id) AS BIGINT) AS spend_quartile FROM ord GROUP BY customer_id")
+def win_over_agg(spark, sf):
+    """NTILE over an aggregate, without a window over all rows."""
+    spent = run_sql(spark, sf, "SELECT customer_id, round(sum(amount), 2) AS spent FROM ord GROUP BY customer_id")
+    return global_ntile(spent, 4, "spent", ["customer_id"], descending=True, name="spend_quartile").select("customer_id", "spend_quartile")

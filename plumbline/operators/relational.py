@@ -77,7 +77,6 @@ q("agg_nested", "SELECT region, tier, round(avg(total_spent), 6) AS avg_spent FR
 q("win_row_number", "SELECT customer_id, round(total_spent, 2) AS total_spent, CAST(row_number() OVER (PARTITION BY region ORDER BY total_spent DESC, customer_id) AS BIGINT) AS rank_no FROM (SELECT c.customer_id, c.region, sum(o.amount) AS total_spent FROM cust c JOIN ord o ON c.customer_id = o.customer_id GROUP BY c.customer_id, c.region) s")
 q("win_rank_dense", "SELECT product_id, category, CAST(rank() OVER (PARTITION BY category ORDER BY min_stock DESC) AS BIGINT) AS rk, CAST(dense_rank() OVER (PARTITION BY category ORDER BY min_stock DESC) AS BIGINT) AS drk FROM prod")
 q("win_ntile", "SELECT product_id, CAST(ntile(4) OVER (PARTITION BY category ORDER BY unit_price DESC, product_id) AS BIGINT) AS quartile FROM prod")
-q("win_over_agg", "SELECT customer_id, CAST(ntile(4) OVER (ORDER BY round(sum(amount), 2) DESC, customer_id) AS BIGINT) AS spend_quartile FROM ord GROUP BY customer_id")
 q("win_lag_lead", "SELECT order_id, lag(amount, 1, 0D) OVER w AS prev_amount, lead(amount, 1, 0D) OVER w AS next_amount, round(amount - lag(amount, 1, 0D) OVER w, 2) AS change FROM ord WHERE status NOT IN ('P') WINDOW w AS (PARTITION BY customer_id ORDER BY order_date, order_id)",
   "SELECT order_id, lag(amount, 1, 0.0::DOUBLE) OVER w AS prev_amount, lead(amount, 1, 0.0::DOUBLE) OVER w AS next_amount, round(amount - lag(amount, 1, 0.0::DOUBLE) OVER w, 2) AS change FROM ord WHERE status NOT IN ('P') WINDOW w AS (PARTITION BY customer_id ORDER BY order_date, order_id)")
 q("win_running_total", "SELECT order_id, round(sum(amount) OVER (PARTITION BY customer_id ORDER BY order_date, order_id), 2) AS running_total, round(avg(amount) OVER (PARTITION BY customer_id), 6) AS customer_avg, CAST(count(*) OVER (PARTITION BY customer_id) AS BIGINT) AS n FROM ord WHERE status NOT IN ('P')")

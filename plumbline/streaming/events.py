@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..registry import query, sql_query, table
+from ..storage import new_path
 
 
 def in_order():
@@ -91,11 +91,23 @@ def daily_counts(stream: DataFrame, late: str = "1 day") -> DataFrame:
 
 
 def run_to_table(df: DataFrame, mode: str) -> DataFrame:
-    """Runs a stream over what is there, into a table in memory, and gives that table."""
-    name = f"stream_{uuid.uuid4().hex}"
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    """Runs a stream over what is there, into files, and gives their table: in complete mode the last batch, else all.
+
+    A batch that is run again after a failure replaces its own files.
+    """
+    spark = df.sparkSession
+    path = new_path(spark, "stream")
+    last: list[int] = []
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
+        last.append(number)
+
+    q = df.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
-    return df.sparkSession.table(name)
+    if not last:
+        return spark.createDataFrame([], df.schema)
+    return spark.read.schema(df.schema).parquet(f"{path}/rows/batch={last[-1]}" if mode == "complete" else f"{path}/rows")
 
 
 @query("stream_events", "SELECT CAST(CAST(ts AS DATE) AS TIMESTAMP) AS day, event_type, CAST(count(*) AS BIGINT) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.functions import tsql
-from plumbline.operators import diff, dml, graph
+from plumbline.operators import diff, dml, graph, order
 from plumbline.plans.reports import stock_query
 from plumbline.sources.queries import copy_table, read_csv, select
 from plumbline.streaming import events
@@ -146,3 +146,55 @@ def test_global_rank(spark, descending):
     if descending:
         assert {r.k for r in top_percent(df, 3, "v", ["k"]).collect()} == {k for k, _ in want[:15]}
     assert global_rank(df.where("false"), "v", ["k"]).isEmpty()
+
+
+def test_graph_of_many_edges(spark):
+    """A layered graph of 100,000 edges, with a cycle behind it: least depths and layers as by a plain walk."""
+    import random
+
+    rnd, layers, width = random.Random(3), 20, 2500
+    pairs = {((k, i), (k - 1, rnd.randrange(width))) for k in range(1, layers) for i in range(width) for _ in range(2)} | {((k, i), (rnd.randrange(k), rnd.randrange(width))) for k in range(2, layers) for i in range(0, width, 7)}
+    name = lambda n: f"{n[0]}-{n[1]}"
+    rows = [(name(a), name(b), "CALLS") for a, b in pairs] + [("p", "q", "CALLS"), ("q", "p", "CALLS"), ("r", "q", "CALLS")]
+    assert len(rows) > 95_000
+    df = graph.saved(spark.createDataFrame(rows, "src string, dst string, type string"), "test-edges")
+    needs, users = {}, {}
+    for a, b in pairs:
+        needs.setdefault(a, []).append(b)
+        users.setdefault(b, []).append(a)
+    wave = {}
+    for n in sorted({x for p in pairs for x in p}):
+        wave[n] = 1 + max((wave[m] for m in needs.get(n, [])), default=-1)
+    assert {(r.node, r.wave) for r in graph.waves(df).collect()} == {(name(n), w) for n, w in wave.items()}
+    start = (0, 5)
+    depth, front = {start: 0}, [start]
+    while front:
+        front = [a for n in front for a in users.get(n, []) if a not in depth and not depth.update({a: depth[n] + 1})]
+    got = {(r.node, r.depth) for r in graph.reachable(df, spark.createDataFrame([(name(start),)], "node string")).collect()}
+    assert got == {(name(n), d) for n, d in depth.items() if d}
+    assert {(r.start, r.node) for r in graph.cycles(df).collect()} == {("p", "q"), ("q", "p")}
+
+
+def test_strict_counts_repeats(spark):
+    a = spark.createDataFrame([(1, None), (1, None), (2, "x"), (3, "y")], "k int, v string")
+    b = spark.createDataFrame([(1, None), (2, "x"), (2, "x"), (4, "y")], "k int, v string")
+    assert tuple(diff.strict(a, b).first()) == (2, 2, False) and tuple(diff.strict(a, a).first()) == (0, 0, True)
+
+
+def test_field_diffs_is_an_inner_join(spark):
+    a = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
+    plan = diff.field_diffs(a, a, ["k"], "strict")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Inner" in plan and "FullOuter" not in plan
+
+
+@pytest.mark.parametrize("n", [1, 3, 4, 10, 97])
+def test_global_ntile(spark, n):
+    df = spark.range(n).select(F.col("id"), (F.col("id") % 5).cast("double").alias("v"))
+    got = {r.id: r.tile for r in order.global_ntile(df, 4, "v", ["id"]).collect()}
+    place = sorted(range(n), key=lambda i: (i % 5, i))
+    q, rest = divmod(n, 4)
+    assert [got[i] for i in place] == [t + 1 for t in range(4) for _ in range(q + (t < rest))]
+
+
+def test_references_of_a_text():
+    assert graph.references("WITH a AS (SELECT * FROM t1) SELECT * FROM a JOIN [dbo].[t 2] x ON 1 = 1; EXEC p.q 1; MERGE INTO m USING s ON 1 = 1") == {("t1", "DEPENDS_ON"), ("t 2", "DEPENDS_ON"), ("q", "CALLS"), ("m", "DEPENDS_ON"), ("s", "DEPENDS_ON")}
