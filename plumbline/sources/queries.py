@@ -68,8 +68,6 @@ def builder_select(spark, sf):
     return select(table(spark, sf, "orders"), ["o_orderkey", "o_totalprice"], {"o_orderstatus": "O", "o_orderpriority": "2-HIGH"})
 
 
-sql_query("select_into", "SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_acctbal < 0 OR c_mktsegment = 'BUILDING'")
-sql_query("insert_select", "SELECT region, CAST(count(*) AS BIGINT) AS customers, round(sum(credit_limit), 2) AS credit FROM cust GROUP BY region")
 sql_query("batch_values", "SELECT id, name, coalesce(price, 9.5D) AS price, coalesce(active, true) AS active FROM VALUES (1, 'a', 1.5D, true), (2, 'b', NULL, false), (3, 'c', 2.5D, NULL) AS v(id, name, price, active)",
           "SELECT id, name, coalesce(price, 9.5)::DOUBLE AS price, coalesce(active, true) AS active FROM (VALUES (1, 'a', 1.5, true), (2, 'b', NULL, false), (3, 'c', 2.5, NULL)) v(id, name, price, active)")
 
@@ -83,18 +81,6 @@ def copy_table(source: DataFrame, path: str, mode: str = "overwrite", drop_empty
     return source.sparkSession.read.parquet(path)
 
 
-@query("migrate_copy", "SELECT 'customer' AS table_name, CAST(count(*) AS BIGINT) AS source_rows, CAST(count(*) AS BIGINT) AS target_rows, true AS ok FROM customer UNION ALL SELECT 'nation', CAST(count(*) AS BIGINT), CAST(count(*) AS BIGINT), true FROM nation")
-def migrate_copy(spark, sf):
-    """Each table through its copy's projection, verified by counts of both sides."""
-    parts = []
-    for t in ("customer", "nation"):
-        source = table(spark, sf, t)
-        target = source.select(*[F.col(c).alias(c) for c in source.columns])
-        counts = source.agg(F.count(F.lit(1)).alias("source_rows")).crossJoin(target.agg(F.count(F.lit(1)).alias("target_rows")))
-        parts.append(counts.select(F.lit(t).alias("table_name"), "source_rows", "target_rows", (F.col("source_rows") == F.col("target_rows")).alias("ok")))
-    return union(parts)
-
-
 @query("for_xml_path", "SELECT r_name, '<nations>' || string_agg('<nation><id>' || n_nationkey || '</id><name>' || n_name || '</name></nation>', '' ORDER BY n_nationkey) || '</nations>' AS xml FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")
 def for_xml_path(spark, sf):
     """FOR XML PATH('nation'), ROOT('nations'): elements by column, text escaped."""
