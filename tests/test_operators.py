@@ -198,3 +198,47 @@ def test_global_ntile(spark, n):
 
 def test_references_of_a_text():
     assert graph.references("WITH a AS (SELECT * FROM t1) SELECT * FROM a JOIN [dbo].[t 2] x ON 1 = 1; EXEC p.q 1; MERGE INTO m USING s ON 1 = 1") == {("t1", "DEPENDS_ON"), ("t 2", "DEPENDS_ON"), ("q", "CALLS"), ("m", "DEPENDS_ON"), ("s", "DEPENDS_ON")}
+
+
+def test_models_come_in_order_and_keys_are_checked(spark):
+    from plumbline.sources import tables as t
+
+    assert [m.name for m in t.in_order([t.ORDERS, t.CUSTOMERS])] == ["customers", "orders_made"]
+    loop = [t.Model("a", [], [], foreign=[("x", "b", "y")]), t.Model("b", [], [], foreign=[("x", "a", "y")])]
+    with pytest.raises(ValueError):
+        t.in_order(loop)
+    assert t.ddl(t.ORDERS) == "CREATE TABLE orders_made (id BIGINT NOT NULL, customer_id BIGINT, status STRING DEFAULT 'PENDING', total_amount DECIMAL(12,2)) USING parquet TBLPROPERTIES ('model.key' = 'id', 'model.foreign' = 'customer_id>customers.id')"
+    df = spark.createDataFrame([(1, 5), (1, None), (2, 6)], "k int, c int")
+    assert t.repeats(df, ["k"]).first().k == 1
+    assert [r.c for r in t.orphans(df, "c", spark.createDataFrame([(5,)], "id int"), "id").collect()] == [6]
+
+
+def test_machines():
+    from plumbline.streaming import machines as m
+
+    assert m.terminal(m.SESSION) == ["COMPLETED", "FAILED"] and m.terminal(m.NODE) == ["SKIPPED", "SUCCESS", "FAILED"]
+    assert m.allowed(m.SESSION, "PAUSED") == ["session_resumed", "session_completed", "session_failed"] and m.allowed(m.NODE, "SUCCESS") == []
+
+
+def test_fold_of_one_hot_key(spark):
+    """All events under one key, in many chunks, as a plain loop folds them."""
+    import random
+
+    from plumbline.streaming import machines as m
+
+    rnd = random.Random(2)
+    log = [(1, i, rnd.choice(["session_started", "session_paused", "session_resumed", "other"])) for i in range(5000)]
+    state, ok = "INIT", 0
+    for _, _, e in log:
+        if (state, e) in m.SESSION:
+            state, ok = m.SESSION[state, e], ok + 1
+    df = spark.createDataFrame(log, "k int, i int, e string").repartition(3)
+    got = m.fold(df, m.SESSION, "k", F.floor(F.col("i") / 100), ["i"], "e", "INIT").first()
+    assert (got.state, got.accepted, got.refused) == (state, ok, 5000 - ok)
+
+
+def test_diagnostics_pass_over_strings_and_comments(spark):
+    from plumbline.plans import diagnostics
+
+    df = spark.createDataFrame([(1, "SELECT 'FROM x JOIN y' AS t /* FROM z */ FROM [a b].c -- JOIN q\n"), (2, None), (3, "")], "id long, sql string")
+    assert [(r.id, r.object, r.name, r.risk) for r in diagnostics.objects(df).collect()] == [(1, "table", "[A B].C", "MEDIUM")]
