@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Callable
 from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,8 +45,13 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
 
 
+#: The paths that this process has given out, in order.
+PATHS: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    PATHS.append(f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}")
+    return PATHS[-1]
 
 
 def input_bytes(df: DataFrame) -> int:
@@ -74,7 +80,37 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     """df written as a Parquet table in the shared folder and read again: its lineage ends there."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.saved_at = path
+    return out
+
+
+def remove(spark: SparkSession, *paths: str) -> None:
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Removes tables of saved() that nothing reads any more."""
+    for t in tables:
+        remove(t.sparkSession, t.saved_at)
+
+
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """The rows of docs as _row, with a number of their own, _at, that stays the same whenever they are read.
+
+    Rows of a file have theirs from the file's path and their place in it, if no two agree. Other frames, whose rows may
+    come in another order when they are computed again, are written first.
+    """
+    if "_metadata" not in docs.columns:
+        try:
+            rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.xxhash64("_metadata.file_path", "_metadata.row_index").alias("_at"))
+            if rows.groupBy("_at").count().where("count > 1").isEmpty():
+                return rows
+        except AnalysisException:
+            pass  # no files, or several sources
+    return saved(as_row(docs).withColumn("_at", F.monotonically_increasing_id()), name)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

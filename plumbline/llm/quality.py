@@ -1,8 +1,8 @@
 """Quality rules by cross-document line frequency, in DataFrame operations only.
 
 Lines are normalised (ASCII lower case, digits to 0, white space to one blank) and hashed. Per host (the column
-``source``) a line's distinct documents are counted; exact copies of a text count as one document, so copies alone
-don't condemn their own lines. A line in more than max(least_docs, host documents * share) documents is
+``source``) a line's distinct documents are counted. With ``copies_once`` exact copies of a text count as one document, so
+that copies alone don't condemn their own lines; without it each row counts. A line in more than max(least_docs, host documents * share) documents is
 boilerplate and is removed. A document that keeps under ``min_left_percent`` of its words is depleted and
 rejected, besides those that fail the base rules (too few words, or too many words in repeated 3-word windows).
 
@@ -10,7 +10,8 @@ Counting is an aggregation over (host, line, text) and then (host, line), both w
 shuffle, so a line that stands in a third of all documents never gathers in one task.
 
 Cases. Null text: no words, fails the base rule. Null source: a host of its own. Null or repeated doc_id: each row
-is judged. Empty table: no rows. Other columns are ignored.
+is judged. Very long texts are judged whole, all their lines count. Empty table: no rows. Other columns are ignored by
+``judge`` and kept by ``kept_documents``, whatever their names.
 """
 
 from __future__ import annotations
@@ -64,8 +65,9 @@ def features(docs: DataFrame) -> DataFrame:
     )
 
 
-def frequent_lines(feats: DataFrame, least_docs: int, per_mille: int) -> DataFrame:
+def frequent_lines(feats: DataFrame, least_docs: int, per_mille: int, copies_once: bool = True) -> DataFrame:
     """source and hash of the lines above their host's limit."""
+    feats = feats.withColumn("text_hash", F.col("text_hash" if copies_once else "row_id"))
     rows = feats.select("source", "text_hash", F.explode("lines.h").alias("h"))
     n = rows.distinct().groupBy("source", "h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > least_docs)
     hosts = feats.select("source", "text_hash").distinct().groupBy("source").agg(F.count(F.lit(1)).alias("host_docs"))
@@ -74,11 +76,11 @@ def frequent_lines(feats: DataFrame, least_docs: int, per_mille: int) -> DataFra
 
 
 def judge(
-    docs: DataFrame, min_words: int = 50, max_repeat_percent: int = 50, least_docs: int = 20, per_mille: int = 10, min_left_percent: int = 30
+    docs: DataFrame, min_words: int = 50, max_repeat_percent: int = 50, least_docs: int = 20, per_mille: int = 10, min_left_percent: int = 30, copies_once: bool = True
 ) -> DataFrame:
     """Per row: the base columns, base_failed, removed_words, removed (hashes of its removed lines), kept, text_hash."""
     feats = saved(features(docs), "quality-features")
-    often = frequent_lines(feats, least_docs, per_mille)
+    often = frequent_lines(feats, least_docs, per_mille, copies_once)
     rows = feats.select("row_id", "source", F.explode("lines").alias("l")).select("row_id", "source", "l.*")
     hit = rows.alias("r").join(often.alias("o"), F.col("r.source").eqNullSafe(F.col("o.source")) & (F.col("r.h") == F.col("o.h")), "left_semi")
     lost = hit.groupBy("row_id").agg(F.sum("n").alias("removed_words"), F.collect_set("h").alias("removed"))
