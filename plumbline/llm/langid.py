@@ -6,11 +6,12 @@ anew with each word, so equal words have equal labels and are read once: a worke
 met. Words over ``PIECE`` bytes are read in pieces.
 
 It is trained in numpy by backpropagation through time with Adam, on at most ``per_lang`` documents of each language
-and ``per_doc`` words of each, evenly spaced; only documents with a lang and outside the held-out quarter are used.
-Everything else covers all rows.
+and ``per_doc`` words of each, evenly spaced, ``total`` documents in all; only documents with a lang and outside the
+held-out quarter are used. Everything else covers all rows.
 
 Cases. Null text or no letter: ``und`` with score 0. No labelled document to learn from: all ``und``. Null doc_id:
-held out (never learned from). Repeated rows: each is labelled. Empty table: no rows. Other columns are ignored.
+held out (never learned from). Repeated rows: each is labelled. Very long texts are read whole. Empty table: no rows.
+Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -222,11 +223,15 @@ def held_out() -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == HELD_OUT, F.lit(True))
 
 
-def training_words(docs: DataFrame, per_lang: int, per_doc: int) -> list[tuple[bytes, str]]:
-    """(word, lang) of a bounded sample: documents by the order of a hash of their id, up to per_lang a language."""
+def training_words(docs: DataFrame, per_lang: int, per_doc: int, total: int) -> list[tuple[bytes, str]]:
+    """(word, lang) of a bounded sample: documents by the order of a hash of their id, up to per_lang a language, total in all."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).withColumn("_h", F.shiftrightunsigned(F.xxhash64(F.lit(3), "doc_id"), 11) * F.lit(2.0**-53))
     # written first: its size is known then, and small it is broadcast, so that no text is dealt out by lang
     n = saved(known.groupBy("lang").agg(F.count(F.lit(1)).alias("_n")), "langid-counts")
+    langs = n.count()
+    if langs > total:  # the languages with most documents
+        n = n.orderBy(F.desc("_n"), "lang").limit(total)
+    per_lang = max(1, min(per_lang, total // max(1, langs)))
     # a rate, so that few texts are sorted: twice as many as wanted on average
     some = known.join(n, "lang").where(F.col("_h") * F.col("_n") < 2 * per_lang + 50)
     ranked = some.withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy("_h", "doc_id", F.length("text"), "text"))).where(F.col("_r") <= per_lang)
@@ -240,10 +245,10 @@ def training_words(docs: DataFrame, per_lang: int, per_doc: int) -> list[tuple[b
     return out
 
 
-def identify(docs: DataFrame, per_lang: int = 300, per_doc: int = 150, hidden: int = 16, steps: int = 600) -> DataFrame:
+def identify(docs: DataFrame, per_lang: int = 300, per_doc: int = 150, total: int = 30_000, hidden: int = 16, steps: int = 600) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every row of docs (doc_id, text, lang)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    sample = training_words(docs, per_lang, per_doc)
+    sample = training_words(docs, per_lang, per_doc, total)
     langs = sorted({y for _, y in sample})
     w = train([(s, langs.index(y)) for s, y in sample], len(langs), hidden, steps) if langs else None
     return docs.select("doc_id", "text", held_out().alias("held_out")).mapInArrow(_predict(w, langs), "doc_id long, held_out boolean, lang_pred string, score double")
