@@ -12,7 +12,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..registry import ORACLES, QUERIES, query
+from ..registry import ORACLES, QUERIES, query, table
 
 #: Texts with the features that the rules below look for.
 CORPUS = [
@@ -69,19 +69,52 @@ STRIP = {
 }
 
 
+#: Per query its template and prelude.
+TEMPLATES: dict[str, tuple[str, str]] = {}
+#: A statement an order, put together from pieces by its key, for the same queries over many texts.
+PIECES = (
+    ["o.total, COUNT(*)", "TOP 10 o.name", "TOP 5 PERCENT o.name", "ISNULL(o.phone, 0), LEN(o.name)", "DATEADD(day, 7, GETDATE())", "ROW_NUMBER() OVER (ORDER BY o.total) AS rn"],
+    ["orders o", "[orders] o WITH (NOLOCK)", "users o"],
+    ["", " INNER JOIN customers c ON c.id = o.id", " FULL OUTER JOIN logs c ON c.id = o.id CROSS JOIN sessions d", " NATURAL JOIN payments c", " LEFT JOIN products c ON c.id = o.id JOIN categories d ON d.id = c.id"],
+    ["", " WHERE o.notes = NULL", " WHERE o.id IN (SELECT id FROM users) -- checked", " WHERE o.total > 5 ORDER BY o.total", " GROUP BY o.total WITH ROLLUP", " UNION SELECT CAST(a AS INT), SUM(b) FROM inventory", " /* MERGE */"],
+)
+_STATEMENT = "concat('SELECT ', " + ", ' FROM ', ".join([f"({{0}})[{{1}}o_orderkey % {len(PIECES[0])}{{2}}]", " , ".join(f"({{{3 + i}}})[{{1}}o_orderkey % {len(p)}{{2}}]" for i, p in enumerate(PIECES[1:]))]) + ")"
+
+
+def statements(engine: str) -> str:
+    """SELECT id, sql of a statement an order."""
+    lists = [("array(" if engine == "spark" else "[") + ", ".join("'" + x + "'" for x in p) + (")" if engine == "spark" else "]") for p in PIECES]
+    before, after = ("CAST(", " AS INT)") if engine == "spark" else ("CAST(", " AS INT) + 1")
+    return f"SELECT o_orderkey AS id, {_STATEMENT.format(lists[0], before, after, *lists[1:])} AS sql FROM orders"
+
+
+def full(name: str, engine: str, given: str) -> str:
+    """The query over s(id, sql, clean, u); given: common table expressions in front, ending in a comma."""
+    template, prelude = TEMPLATES[name]
+    base = f"s AS (SELECT id, sql, {STRIP[engine]} AS clean, upper({STRIP[engine]}) AS u FROM sql_corpus)"
+    return f"WITH {given}{base}{', ' + spell(prelude, engine) if prelude else ''} {spell(template, engine)}"
+
+
+def analyse(texts: DataFrame, name: str) -> DataFrame:
+    """The query of that name over any texts (id, sql)."""
+    texts.createOrReplaceTempView("sql_corpus")
+    return texts.sparkSession.sql(full(name, "spark", ""))
+
+
 def text_query(name: str, template: str, prelude: str = "") -> None:
     """Registers a query over s(id, sql, clean, u). prelude: further common table expressions, ending in a comma."""
+    TEMPLATES[name] = template, prelude
+    QUERIES[name], ORACLES[name] = lambda spark, sf_dir: analyse(corpus(spark), name), full(name, "duckdb", f"{VALUES}, ")
 
-    def full(engine: str) -> str:
-        base = f"s AS (SELECT id, sql, {STRIP[engine]} AS clean, upper({STRIP[engine]}) AS u FROM sql_corpus)"
-        rest = f", {spell(prelude, engine)}" if prelude else ""
-        return ("WITH " if engine == "spark" else f"WITH {VALUES}, ") + base + rest + " " + spell(template, engine)
+
+def rows_query(name: str) -> None:
+    """Registers the query of that name over a statement an order."""
 
     def run(spark, sf_dir):
-        corpus(spark).createOrReplaceTempView("sql_corpus")
-        return spark.sql(full("spark"))
+        table(spark, sf_dir, "orders").createOrReplaceTempView("orders")
+        return analyse(spark.sql(statements("spark")), name)
 
-    QUERIES[name], ORACLES[name] = run, full("duckdb")
+    QUERIES[f"{name}_rows"], ORACLES[f"{name}_rows"] = run, full(name, "duckdb", f"sql_corpus AS ({statements('duckdb')}), ")
 
 
 #: Deductions, weights and thresholds (fixed values).
@@ -147,11 +180,14 @@ text_query("sim_drift", "SELECT id, CASE WHEN highs > 0 THEN 'MODERATE_DRIFT' WH
 
 #: Confidence: engine weights .20/.25/.25/.30, shared out anew where an engine has no say.
 DECIDED = FOUND + f""", {SIMULATED}, k AS (SELECT m.id, m.score AS points, m.criticals, m.highs, z.score AS sim, greatest(0, 1 - 0.05 * m.highs - 0.15 * m.criticals) AS diag, CASE WHEN m.mediums > 0 THEN 0.9 ELSE NULL END AS rewrite_conf FROM m JOIN z ON m.id = z.id),
- c AS (SELECT *, round(CASE WHEN rewrite_conf IS NULL THEN (0.20 * diag + 0.25 * points / 100 + 0.30 * sim) / 0.75 ELSE 0.20 * diag + 0.25 * rewrite_conf + 0.25 * points / 100 + 0.30 * sim END, 4) AS confidence FROM k)"""
+ c AS (SELECT *, round(CASE WHEN rewrite_conf IS NULL THEN (0.20 * diag + 0.0025 * points + 0.30 * sim) / 0.75 ELSE 0.20 * diag + 0.25 * rewrite_conf + 0.0025 * points + 0.30 * sim END, 4) AS confidence FROM k)"""
 text_query("kernel_confidence", "SELECT id, CAST(confidence AS DOUBLE) AS confidence FROM c", DECIDED)
 text_query("kernel_risks", "SELECT id, CASE WHEN criticals > 0 THEN 'CRITICAL' WHEN highs > 0 THEN 'HIGH' WHEN sim < 0.95 THEN 'MEDIUM' ELSE 'LOW' END AS worst, criticals > 0 AS blocking FROM c", DECIDED)
 text_query("kernel_decision", "SELECT id, CASE WHEN criticals > 0 OR points < 70 OR confidence < 0.5 OR sim < 0.70 THEN 'BLOCK' WHEN points < 85 OR confidence < 0.8 OR highs > 0 OR sim < 0.88 THEN 'REVIEW' ELSE 'SAFE' END AS decision FROM c", DECIDED)
 
+for _name in ("sql_classify", "sql_complexity", "sql_compat_score", "sql_score_syntax", "score_risk", "sql_joins", "migration_score", "sim_failures", "sim_verdict", "kernel_confidence", "kernel_decision"):
+    rows_query(_name)
+
 # --- scores from results of runs: a row a text and database ---
 RUNS = [(1, "source", True, 10, "", 0), (1, "pg", True, 10, "", 0), (1, "oracle", True, 10, "", 3), (2, "source", True, 10, "", 0), (2, "pg", False, 0, "syntax error near TOP", 0), (2, "oracle", False, 0, "connection refused", 0), (3, "source", True, 5, "", 0), (3, "pg", True, 4, "", 120), (3, "oracle", False, 0, "function does not exist", 0)]
 _RUNS = "runs(id, db, success, n_rows, error, value_diffs) AS (SELECT CAST(a AS BIGINT), b, c, CAST(d AS BIGINT), e, CAST(f AS BIGINT) FROM (VALUES " + ", ".join(f"({a}, '{b}', {str(c).lower()}, {d}, '{e}', {f})" for a, b, c, d, e, f in RUNS) + ") v(a, b, c, d, e, f))"
