@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import dropped, saved
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -34,8 +34,9 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     now = saved(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), name)
     seen = state(now)
     while True:
-        now = saved(_small_star(_large_star(now)), name)
+        last, now = now, saved(_small_star(_large_star(now)), name)
         after = state(now)
+        dropped(last)
         if after == seen:
             break
         seen = after

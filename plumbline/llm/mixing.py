@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import as_row, count_words, field, from_row, let, read, saved, uniform
+from .common import count_words, field, from_row, let, numbered, read, saved, uniform
 
 EPS = 1e-9
 
@@ -195,11 +195,11 @@ def mix_units(
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs as often as the mix takes them. Needs doc_id, text and source; keeps every column."""
-    rows = saved(as_row(docs).withColumn("_at", F.monotonically_increasing_id()), "mix-rows")
+    rows = numbered(docs, "mix-rows")
     units = rows.select(F.col("_at").alias("row_id"), field("doc_id").cast("long").alias("doc_id"), field("source").cast("string").alias("source"), count_words(field("text").cast("string")).alias("size"))
     # row by row, so that rows of one doc_id keep their own copies and never meet in one task
     chosen = mix_units(units, **options).where("copies > 0").select("row_id", "copies")
-    repeated = rows.join(chosen, F.col("_at") == F.col("row_id")).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    repeated = rows.join(chosen.hint("merge"), F.col("_at") == F.col("row_id")).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     return from_row(repeated, docs)
 
 

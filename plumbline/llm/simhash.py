@@ -7,10 +7,11 @@ from which every chain of l consecutive segments differs in at most l * t / m bi
 chains of one and two segments must be equal, of three and four differ in at most one bit. The equal chain of two
 segments is the key under which fingerprints meet, the longer chains prune before the full Hamming check.
 
-A key's bucket never turns into all its pairs: small buckets compare in vectors, and what a bucket emits is one
-edge per fingerprint, to the least of its part. In a bucket over ``dense`` fingerprints, where that would be
-quadratic, all masks of t free bits are walked: fingerprints equal outside a mask are within t bits, so a sort a
-mask finds every link with memory for one column. Components over the classes are Spark rounds (components.py).
+A key's bucket never turns into all its pairs: buckets compare in vectors, and what a bucket emits is one edge per
+fingerprint, to the least of its part. With 25 bits as the key, 10 billion different fingerprints make buckets of
+300. Only in a bucket over ``dense`` fingerprints, a very large group of near copies, all masks of t free bits are walked
+instead: fingerprints equal outside a mask are within t bits, so a sort a mask finds every link with memory for one
+column. Components over the classes are Spark rounds (components.py).
 
 Cases. Null or empty text, or no word: fingerprint zero, linked like any other. Under n words: the whole sequence
 is the only shingle. Null doc_id: gets its fingerprint's component, or null when no id is in it. Repeated rows stay.
@@ -29,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_row, field, from_row, read, saved
+from .common import field, from_row, numbered, read, saved
 from .components import components
 
 BITS = 64
@@ -101,7 +102,7 @@ def passes_chains(diff: np.ndarray, start: np.ndarray, m: int, bound: int) -> np
     return ok
 
 
-def _merge(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def merged(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """root after joining a with b; root points at the least index of each part."""
     while len(a):
         ra, rb = root[a], root[b]
@@ -126,11 +127,11 @@ def linked(fp: np.ndarray, key: np.ndarray, start: np.ndarray, m: int, bound: in
     small = np.flatnonzero(np.isin(bucket, np.flatnonzero((size > 1) & (size <= dense))))
     for d in range(1, int(size[size <= dense].max(initial=1))):
         a = small[small + d < len(fp)]
-        a = a[bucket[a + d] == bucket[a]]
+        a = small = a[bucket[a + d] == bucket[a]]  # who has no partner at this distance has none further on
         if not len(a):
             break
         hit = a[passes_chains(fp[a] ^ fp[a + d], start[a], m, bound)]
-        root = _merge(root, hit, hit + d)
+        root = merged(root, hit, hit + d)
     for k in np.flatnonzero(size > dense):
         lo, hi = first[k], first[k] + size[k]
         some = fp[lo:hi]
@@ -143,7 +144,7 @@ def linked(fp: np.ndarray, key: np.ndarray, start: np.ndarray, m: int, bound: in
             masked = some & np.uint64(~sum(1 << x for x in bits) & (2**64 - 1))
             o = np.argsort(masked, kind="stable")
             same = np.flatnonzero(masked[o][1:] == masked[o][:-1])
-            part = _merge(part, o[same], o[same + 1])
+            part = merged(part, o[same], o[same + 1])
         root[lo:hi] = part + lo
     out = np.flatnonzero(root != np.arange(len(fp)))
     return fp[out], fp[root[out]]
@@ -170,7 +171,7 @@ def _keys(m: int, bound: int):
     return run
 
 
-def near_classes(prints: DataFrame, bound: int = 2, m: int = 5, dense: int = 128) -> DataFrame:
+def near_classes(prints: DataFrame, bound: int = 2, m: int = 5, dense: int = 1024) -> DataFrame:
     """doc_id, fp and component_id of every row of prints (doc_id, fp)."""
     classes = saved(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-classes")
     keys = classes.select("fp").mapInPandas(_keys(m, bound), "start int, key long, fp long")
@@ -192,7 +193,7 @@ def near_duplicates(docs: DataFrame, n: int = 3, bound: int = 2) -> DataFrame:
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """docs with one row of each component: that of the least doc_id, nulls last, the first by text and source where rows repeat it."""
-    rows = saved(as_row(docs).withColumn("_at", F.monotonically_increasing_id()), "simhash-rows")
+    rows = numbered(docs, "simhash-rows")
     # components over row ids of its own: doc_id may be null or stand on unrelated rows
     label = near_duplicates(rows.select(F.col("_at").alias("doc_id"), field("text").alias("text")), **options).select(F.col("doc_id").alias("_at"), F.col("component_id").alias("_root"))
     return first_of_each(rows, label, docs)
@@ -204,14 +205,17 @@ def first_of_each(rows: DataFrame, label: DataFrame, docs: DataFrame) -> DataFra
     named = saved(named, "dedup-named")
     same = named.groupBy("_root", "_none", "_doc").agg(F.count(F.lit(1)).alias("n"), F.min("_at").alias("_at"))
     least = saved(same.groupBy("_root").agg(F.min(F.struct("_none", "_doc", "n", "_at")).alias("x")).select("_root", "x.*"), "dedup-least")
+    keep = least.where("n = 1").select("_at")
     # the least id of a component mostly stands on one row; text and source are read only where it does not
     tied = least.where("n > 1").select(F.col("_root").alias("_r"), F.col("_doc").alias("_d"))
-    again = named.join(tied, (F.col("_root") == F.col("_r")) & F.col("_doc").eqNullSafe(F.col("_d"))).select("_at", "_root")
-    source = field("source").cast("string") if "source" in docs.columns else F.lit(None).cast("string")
-    order = F.struct(field("text").cast("string"), source, F.col("_at"))
-    chosen = rows.join(again, "_at").groupBy("_root").agg(F.min_by("_at", order).alias("_at")).select("_at")
-    keep = saved(least.where("n = 1").select("_at").unionByName(chosen), "dedup-keep")
-    return from_row(rows.join(keep, "_at", "left_semi"), docs)
+    if not tied.isEmpty():
+        again = named.join(tied, (F.col("_root") == F.col("_r")) & F.col("_doc").eqNullSafe(F.col("_d"))).select("_at", "_root")
+        source = field("source").cast("string") if "source" in docs.columns else F.lit(None).cast("string")
+        order = F.struct(field("text").cast("string"), source, F.col("_at"))
+        chosen = rows.join(again, "_at").groupBy("_root").agg(F.min_by("_at", order).alias("_at")).select("_at")
+        keep = saved(keep.unionByName(chosen), "dedup-keep")
+    # keep grows with the documents: the same join at every size
+    return from_row(rows.join(keep.hint("merge"), "_at", "left_semi"), docs)
 
 
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

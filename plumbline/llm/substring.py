@@ -127,7 +127,7 @@ class Spans:
 
 
 class WordHashes(dict):
-    keep = 1_000_000
+    keep = 300_000
 
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh64_intdigest(word, 35)
