@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 from pyspark.errors import AnalysisException
@@ -113,6 +114,18 @@ def numbered(docs: DataFrame, name: str) -> DataFrame:
     return saved(as_row(docs).withColumn("_at", F.monotonically_increasing_id()), name)
 
 
+@contextlib.contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """What runs within hands Python so many rows at a time, at most: whole texts are long, and a batch is held on both sides."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value computed once a row, also where body uses it inside lambdas."""
     return F.element_at(F.transform(F.array(value), body), 1)
