@@ -639,3 +639,69 @@ def test_large_ids_beside_nulls(spark):
     df = spark.createDataFrame([(big, "a b c"), (None, "d e f")], "doc_id long, text string").coalesce(1)
     for frame in (simhash.fingerprints(df), substring.without_repeats(df), packing.pack(df, packing.default_vocabulary())):
         assert {r.doc_id for r in frame.collect()} == {big, None}
+
+
+def test_sketches_leave_out_what_is_apart():
+    from plumbline.llm import minhash
+
+    rnd, lost, kept = np.random.default_rng(3), 0, 0
+    for _ in range(400):
+        base = rnd.integers(0, 2**63, 900, dtype=np.uint64)
+        a, near, far = base[:500], base[50:550], base[250:750]  # similarities 0.82 and 0.33
+        s = [minhash.sketch_of(minhash.least_hashes(x)) for x in (a, near, far)]
+        lost += minhash.differing(s[0], s[1]) > minhash.APART
+        kept += minhash.differing(s[0], s[2]) <= minhash.APART
+    assert lost == 0 and kept < 40
+    key = np.repeat(np.arange(3), [70, 5, 1])
+    sketch = np.stack([minhash.sketch_of(minhash.least_hashes(np.arange(k % 2 * 1000, k % 2 * 1000 + 300 + k % 7, dtype=np.uint64))) for k in range(76)])
+    assert minhash.near_sketches(key, sketch).tolist() == [*[0, 1] * 35, *[70, 71] * 2, 70, 75]
+
+
+def test_large_groups_in_parts(spark):
+    """Two hundred near copies of each other in chains, dealt into parts of 20: as many components as without parts."""
+    from plumbline.llm import minhash
+
+    rnd, docs = random.Random(9), []
+    for g in range(3):
+        ws = [f"{g}x{rnd.randrange(10**6)}" for _ in range(300)]
+        for _ in range(70):
+            ws = list(ws)
+            for _ in range(4):
+                ws[rnd.randrange(300)] = f"y{rnd.randrange(10**6)}"
+            docs.append((len(docs), " ".join(ws)))
+    df = spark.createDataFrame(docs, "_at long, text string")
+    want = {(r._at, r._root) for r in minhash.near_labels(df).collect()}
+    assert len({r for _, r in want}) == 3
+    assert {(r._at, r._root) for r in minhash.near_labels(df, chunk=20).collect()} == want
+
+
+@pytest.mark.parametrize("once", [True, False])
+def test_lines_of_copies(spark, once):
+    """A line of 30 copies of one text and one of 30 different texts; only the latter is frequent if copies count once."""
+    from plumbline.llm import quality
+
+    word = " ".join(f"w{k}" for k in range(60))
+    rows = [(i, f"the same line here\n{word}", "h") for i in range(30)] + [(100 + i, f"shared words of a footer\nown text {i} x{i} {word} {'abcdefghijklmnopqrstuvwxyz0123456789'[i]}", "h") for i in range(30)]
+    got = quality.judge(spark.createDataFrame(rows, "doc_id long, text string, source string"), copies_once=once).collect()
+    assert {r.removed_words for r in got if r.doc_id >= 100} == {5}
+    assert {r.removed_words for r in got if r.doc_id < 100} == ({0} if once else {64})
+    assert all(r.kept == (once or r.doc_id >= 100) for r in got)
+
+
+def test_pipeline_leaves_only_its_result(spark):
+    import corpus_pipeline
+    from plumbline.llm import common
+
+    mark = len(common.PATHS)
+    out = corpus_pipeline.run(spark, SF)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    left = [p for p in common.PATHS[mark:] if hadoop.Path(p).getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop.Path(p))]
+    assert len(left) == 1 and "best_fit_packing" in left[0] and out.count() > 0
+
+
+def test_training_sample_is_bounded_in_all(spark):
+    docs = spark.createDataFrame([(i, f"wort{i} und mehr", f"l{i % 12}") for i in range(600)], "doc_id long, text string, lang string")
+    count = lambda **k: len(langid.training_words(docs, **k)) // 3
+    assert count(per_lang=10, per_doc=150, total=1000) == 120
+    assert count(per_lang=10, per_doc=150, total=60) == 60
+    assert count(per_lang=10, per_doc=150, total=5) == 5
