@@ -240,3 +240,28 @@ def verify_structure(spark, sf):
     rows, values = F.col("source_rows") != F.col("target_rows"), F.col("rows_differ") > 0
     issues = F.concat_ws(",", F.when(~structure, "columns"), F.when(rows, "row_count"), F.when(values, "values"))
     return s.select(structure.alias("structure_match"), (~rows & ~values).alias("data_match"), issues.alias("issues"))
+
+
+def result_fields(left: DataFrame, right: DataFrame, left_ok: bool = True, right_ok: bool = True) -> DataFrame:
+    """field, source, target of what differs between two results as wholes: success, row_count, columns, data (in how many rows)."""
+    rows = left.agg(F.count(F.lit(1)).alias("a")).crossJoin(right.agg(F.count(F.lit(1)).alias("b")))
+    names = [F.lit(",".join(df.columns)) for df in (left, right)]
+    data = (F.lit(None).cast("long"),) * 2
+    if [c.lower() for c in left.columns] == [c.lower() for c in right.columns]:
+        rows = rows.crossJoin(strict(left, right))
+        data = F.col("only_source"), F.col("only_target")
+    fields = [("success", F.lit(left_ok), F.lit(right_ok)), ("row_count", F.col("a"), F.col("b")), ("columns", *names)]
+    found = [F.when(x != y, F.struct(F.lit(n).alias("field"), x.cast("string").alias("source"), y.cast("string").alias("target"))) for n, x, y in fields]
+    found.append(F.when(F.coalesce(data[0] + data[1] > 0, F.lit(True)), F.struct(F.lit("data").alias("field"), data[0].cast("string").alias("source"), data[1].cast("string").alias("target"))))
+    return rows.select(F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("d")).select("d.*")
+
+
+@query("diff_result_fields", f"""SELECT 'values' AS name, 'row_count' AS field, (SELECT CAST(count(*) AS VARCHAR) FROM orders) AS source, (SELECT CAST(count(*) AS VARCHAR) FROM ({CHANGED}) c) AS target
+ UNION ALL SELECT 'values', 'data', (SELECT CAST(count(*) AS VARCHAR) FROM (SELECT {', '.join(COLUMNS)} FROM orders EXCEPT ALL {CHANGED})), (SELECT CAST(count(*) AS VARCHAR) FROM ({CHANGED} EXCEPT ALL SELECT {', '.join(COLUMNS)} FROM orders))
+ UNION ALL SELECT 'names', 'success', 'true', 'false' UNION ALL SELECT 'names', 'columns', 'o_orderkey', 'k' UNION ALL SELECT 'names', 'data', NULL, NULL""")
+def diff_result_fields(spark, sf):
+    left, right = _pair(spark, sf)
+    one = left.select("o_orderkey")
+    names = result_fields(one, one.withColumnRenamed("o_orderkey", "k"), True, False)
+    parts = [result_fields(left, right).select(F.lit("values").alias("name"), "*"), names.select(F.lit("names").alias("name"), "*"), result_fields(left, left).select(F.lit("same").alias("name"), "*")]
+    return functools.reduce(DataFrame.unionByName, parts)

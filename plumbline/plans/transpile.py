@@ -605,3 +605,54 @@ def transpile(sql: str) -> Result:
         t.result.warnings.append(f"{first} is kept as it is")
     t.result.sql = statement(t, items)
     return t.result
+
+
+#: Function names of the other direction.
+BACK = {"NOW": "GETDATE", "COALESCE": "ISNULL", "LENGTH": "LEN", "GEN_RANDOM_UUID": "NEWID"}
+
+
+def to_tsql(sql: str) -> str:
+    """A query of the PostgreSQL kind as T-SQL: LIMIT and OFFSET, names in quotes, and functions that are called otherwise.
+
+    COALESCE of more than two values stays, since ISNULL takes two. OFFSET needs an ORDER BY in T-SQL.
+    """
+
+    def name(x: Token) -> str:
+        return "[" + x.text[1:-1].replace('""', '"').replace("]", "]]") + "]" if x.kind == "quoted" else x.text
+
+    def block(items: list) -> str:
+        words = [x.upper if isinstance(x, Token) else "" for x in items]
+        limit = offset = None
+        for w in ("LIMIT", "OFFSET"):
+            if w in words:
+                k = words.index(w)
+                value = text(items[k + 1 : k + 2])
+                limit, offset = (value, offset) if w == "LIMIT" else (limit, value)
+                del items[k : k + 2], words[k : k + 2]
+        if offset is not None and "ORDER" not in words:
+            raise ValueError("OFFSET needs an ORDER BY in T-SQL")
+        if offset is not None:
+            return text(items) + f" OFFSET {offset} ROWS" + (f" FETCH NEXT {limit} ROWS ONLY" if limit is not None else "")
+        if limit is not None:
+            at = max(k for k, w in enumerate(words) if w == "SELECT") + 1
+            at += at < len(words) and words[at] == "DISTINCT"
+            if any(w in ("UNION", "EXCEPT", "INTERSECT") for w in words):
+                return f"SELECT TOP {limit} * FROM ({text(items)}) AS limited"
+            return f"{text(items[:at])} TOP {limit} {text(items[at:])}"
+        return text(items)
+
+    def text(items: list) -> str:
+        out = []
+        for k, x in enumerate(items):
+            if isinstance(x, Group):
+                inner = list(x.items)
+                out.append("(" + (block(inner) if inner and isinstance(inner[0], Token) and inner[0].upper in ("SELECT", "WITH") else text(inner)) + ")")
+                continue
+            after = items[k + 1] if k + 1 < len(items) else None
+            if x.kind == "word" and x.upper in BACK and isinstance(after, Group) and (x.upper != "COALESCE" or len(split(after.items, ",")) == 2):
+                out.append(BACK[x.upper])
+            else:
+                out.append(name(x))
+        return re.sub(r"(?<=[\w\]]) \. (?=[\w\[*])", ".", " ".join(out)).replace(" ,", ",")
+
+    return block(tree(tokenize(sql.strip().rstrip(";"))))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 
 from ..registry import ORACLES, QUERIES, query, views
-from .transpile import transpile
+from .transpile import to_tsql, transpile
 
 
 def tsql_query(name: str, sql: str, oracle: str | None = None, output: bool = False, **parameters) -> None:
@@ -82,3 +82,20 @@ def rewrite_select_into(spark, sf_dir):
 tsql_query("reverse_limit_coalesce", 'SELECT "c_name", coalesce("c_mktsegment", \'none\') AS s, length(c_name) AS n FROM customer ORDER BY c_custkey LIMIT 7', "SELECT c_name, coalesce(c_mktsegment, 'none') AS s, CAST(length(c_name) AS INT) AS n FROM customer ORDER BY c_custkey LIMIT 7")
 tsql_query("reverse_uuid_now", "SELECT r_regionkey, gen_random_uuid() AS id, now() AS at FROM region")
 tsql_query("reverse_uuid_distinct", "SELECT COUNT(DISTINCT x.id) AS n, MIN(length(x.id)) AS len FROM (SELECT gen_random_uuid() AS id FROM customer) x", "SELECT count(*) AS n, 36 AS len FROM customer")
+
+
+def both_ways(name: str, sql: str, oracle: str) -> None:
+    """Registers a query of the PostgreSQL kind, run by way of its T-SQL."""
+
+    def run(spark, sf_dir):
+        made = transpile(to_tsql(sql)).sql
+        views(spark, sf_dir, made)
+        return spark.sql(made)
+
+    QUERIES[name], ORACLES[name] = run, oracle
+
+
+both_ways("reverse_limit_to_top", 'SELECT "c_name", c_acctbal FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 9', "SELECT c_name, c_acctbal FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 9")
+both_ways("reverse_offset_to_fetch", "SELECT o_orderkey FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 10 OFFSET 30", "SELECT o_orderkey FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 10 OFFSET 30")
+both_ways("reverse_functions", "SELECT c_custkey, COALESCE(nullif(c_mktsegment, 'BUILDING'), 'none') AS s, COALESCE(NULL, NULL, c_name) AS n, LENGTH(c_name) AS len, now() > TIMESTAMP '2020-01-01' AS later, length(gen_random_uuid()) AS u FROM customer", "SELECT c_custkey, coalesce(nullif(c_mktsegment, 'BUILDING'), 'none') AS s, c_name AS n, CAST(length(c_name) AS INT) AS len, true AS later, 36 AS u FROM customer")
+both_ways("reverse_subquery", 'SELECT n_name FROM nation WHERE "n_regionkey" IN (SELECT "r_regionkey" FROM region ORDER BY r_name DESC LIMIT 2)', "SELECT n_name FROM nation WHERE n_regionkey IN (SELECT r_regionkey FROM region ORDER BY r_name DESC LIMIT 2)")

@@ -56,6 +56,38 @@ def rate_limit_window(spark, sf, limit: int = 1, length: str = "1 hour"):
     return e.where(F.col("requests") > limit).select("user_id", F.col("w.start").alias("window_start"), "requests", (F.col("requests") - limit).alias("rejected"))
 
 
+def allowed_requests(log: DataFrame, capacity: float, per_second: float) -> DataFrame:
+    """user_id, requests and allowed of a log that is all there: a token bucket a user, filled by the time between its events. For a log that goes on, see token_buckets."""
+    second = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    rows = log.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", second.alias("at")))).alias("r"))
+    start = F.struct(F.lit(float(capacity)).alias("tokens"), F.lit(None).cast("double").alias("last"), F.lit(0).cast("bigint").alias("n"))
+
+    def step(acc, x):
+        now = F.least(F.lit(float(capacity)), acc["tokens"] + F.coalesce((x["at"] - acc["last"]) * per_second, F.lit(0.0)))
+        return F.struct(F.when(now >= 1, now - 1).otherwise(now).alias("tokens"), x["at"].alias("last"), (acc["n"] + F.when(now >= 1, 1).otherwise(0)).alias("n"))
+
+    return rows.select("user_id", F.size("r").cast("bigint").alias("requests"), F.aggregate("r", start, step)["n"].alias("allowed"))
+
+
+@query("rate_limit_tokens", """WITH RECURSIVE e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, epoch_us(ts) / 1e6 AS sec FROM events),
+ r AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS i, 2.0::DOUBLE AS tokens, NULL::DOUBLE AS last, CAST(0 AS BIGINT) AS n FROM e
+  UNION ALL SELECT user_id, i, CASE WHEN t >= 1 THEN t - 1 ELSE t END, sec, n + CASE WHEN t >= 1 THEN 1 ELSE 0 END FROM (SELECT r.user_id, e.i, e.sec, r.n, least(2.0::DOUBLE, r.tokens + coalesce((e.sec - r.last) * (1.0::DOUBLE / 172800), 0)) AS t FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1) x)
+ SELECT user_id, max(i) AS requests, max(n) AS allowed FROM r GROUP BY user_id""")
+def rate_limit_tokens(spark, sf):
+    """Two requests at once, and one more each two days."""
+    return allowed_requests(table(spark, sf, "events"), 2.0, 1.0 / 172800)
+
+
+@query("session_expiry", """WITH g AS (SELECT *, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 2 DAY OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM g)
+ SELECT user_id, min(ts) AS first_ts, max(ts) + INTERVAL 2 DAY AS expires, CAST(count(*) AS BIGINT) AS events, max(ts) + INTERVAL 2 DAY <= (SELECT max(ts) FROM events) AS expired FROM s GROUP BY user_id, k""")
+def session_expiry(spark, sf, gap: str = "2 days"):
+    """Sessions that end by a gap, and which of them have expired at the end of the log."""
+    log = table(spark, sf, "events")
+    s = log.groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count(F.lit(1)).alias("events"))
+    end = log.agg(F.max("ts").alias("end"))
+    return s.crossJoin(F.broadcast(end)).select("user_id", F.col("w.start").alias("first_ts"), F.col("w.end").alias("expires"), "events", (F.col("w.end") <= F.col("end")).alias("expired"))
+
+
 def token_buckets(stream: DataFrame, capacity: float, per_second: float) -> DataFrame:
     """event_id, user_id and allowed of a stream of events: a token bucket a user, kept as state."""
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout

@@ -132,3 +132,14 @@ def test_what_cannot_be_compiled_is_refused(bad):
 def test_break_and_continue_in_the_control_flow():
     edges = set(P.control_flow(P.parse("WHILE @i < 5 BEGIN IF @i = 1 CONTINUE; IF @i = 2 BREAK; SET @i = 3; END SELECT 1")))
     assert {(3, 1, "loop_back"), (6, 1, "loop_back"), (5, 7, "sequential"), (1, 7, "false_branch")} <= edges and (5, 6, "sequential") not in edges
+
+
+def test_to_tsql():
+    from plumbline.plans.transpile import to_tsql
+
+    assert to_tsql('SELECT DISTINCT "a b", NOW() FROM t LIMIT 5') == "SELECT DISTINCT TOP 5 [a b], GETDATE () FROM t"
+    assert to_tsql("SELECT a FROM t ORDER BY a LIMIT 5 OFFSET 10") == "SELECT a FROM t ORDER BY a OFFSET 10 ROWS FETCH NEXT 5 ROWS ONLY"
+    assert to_tsql("SELECT a FROM t UNION SELECT b FROM u LIMIT 3") == "SELECT TOP 3 * FROM (SELECT a FROM t UNION SELECT b FROM u) AS limited"
+    assert to_tsql("SELECT 'LIMIT 5' AS \"x\" -- LIMIT 3") == "SELECT 'LIMIT 5' AS [x]"
+    with pytest.raises(ValueError):
+        to_tsql("SELECT a FROM t OFFSET 10")
