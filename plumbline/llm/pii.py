@@ -32,15 +32,18 @@ EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-#: Generators of further candidates, high in recall.
+#: Generators of further candidates, high in recall; those of one kind may overlap too.
 WIDE = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}\x20?(?:@|\(at\)|\[at\]|\x20at\x20)\x20?[A-Za-z0-9-]{1,63}(?:\x20?(?:\.|\(dot\)|\[dot\]|\x20dot\x20)\x20?[A-Za-z0-9-]{1,63}){1,4}",
-    "ip": r"(?<![0-9A-Za-z:.])(?:[0-9]{1,3}(?:\x20?(?:\[\.\]|\(dot\)|\.)\x20?[0-9]{1,3}){3}|(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4})(?![0-9A-Za-z:])",
-    "card": r"(?<![0-9])[0-9]{4}(?:[\x20./_-]{1,3}[0-9]{4}){2}[\x20./_-]{1,3}[0-9]{1,7}(?![0-9])",
-    "phone": r"(?<![0-9.+])(?:00[0-9]{1,3}[\x20./-])?\(?[0-9]{2,4}\)?[\x20./-]{1,2}[0-9]{3,4}[\x20./-]?[0-9]{3,4}(?![0-9])",
+    "email": [
+        r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}\x20?(?:@|\(at\)|\[at\])\x20?[A-Za-z0-9-]{1,63}(?:\x20?(?:\.|\(dot\)|\[dot\]|\x20dot\x20)\x20?[A-Za-z0-9-]{1,63}){1,4}",
+        r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}\x20at\x20[A-Za-z0-9-]{1,63}(?:\x20?(?:\.|\(dot\)|\[dot\]|\x20dot\x20)\x20?[A-Za-z0-9-]{1,63}){1,4}",
+    ],
+    "ip": [r"(?<![0-9A-Za-z:.])(?:[0-9]{1,3}(?:\x20?(?:\[\.\]|\(dot\)|\.)\x20?[0-9]{1,3}){3}|(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4})(?![0-9A-Za-z:])"],
+    "card": [r"(?<![0-9])[0-9]{4}(?:[\x20./_-]{1,3}[0-9]{4}){2}[\x20./_-]{1,3}[0-9]{1,7}(?![0-9])"],
+    "phone": [r"(?<![0-9.+])(?:00[0-9]{1,3}[\x20./-])?\(?[0-9]{2,4}\)?[\x20./-]{1,2}[0-9]{3,4}[\x20./-]?[0-9]{3,4}(?![0-9])"],
 }
 #: A cheap test that a text may hold a match.
-HINT = {"email": r"@|\(at\)|\[at\]|\x20at\x20", "ip": r"[0-9](?:\x20?(?:\[\.\]|\(dot\)|\.)|:)\x20?[0-9A-Fa-f]", "card": r"[0-9]{4}[\x20./_-]", "phone": r"[0-9]{2}\)?[\x20./-]"}
+HINT = {"email": [r"@|\(at\)|\[at\]", r"\x20at\x20[A-Za-z0-9-]{1,63}\x20?[.\(\[d]"], "ip": [r"[0-9](?:\x20?(?:\[\.\]|\(dot\)|\.)|:)\x20?[0-9A-Fa-f]"], "card": [r"[0-9]{4}[\x20./_-]"], "phone": [r"[0-9]{2}\)?[\x20./-]"]}
 CONTEXT = {
     "email": r"(?i)mail|contact|write|reach|address",
     "ip": r"(?i)\bip\b|host|server|address|login",
@@ -89,8 +92,8 @@ def of_kind(k: int):
 def candidates(text: Column, base: Column) -> Column:
     """array<struct<kind, start, end, m, x>>: proposed spans that overlap no base span, with their features."""
     out = []
-    for k, kind in enumerate(KINDS):
-        spans = disjoint(F.when(text.rlike(HINT[kind]), find_spans(text, WIDE[kind])).otherwise(F.expr(NONE)), base)
+    for k, hint, pattern in ((k, h, p) for k, kind in enumerate(KINDS) for h, p in zip(HINT[kind], WIDE[kind])):
+        spans = disjoint(F.when(text.rlike(hint), find_spans(text, pattern)).otherwise(F.expr(NONE)), base)
         near = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["m"].alias("m"), F.substring(text, F.greatest(F.lit(1), s["start"] - BEFORE + 1), F.least(F.lit(BEFORE), s["start"])).alias("before"), F.substring(text, s["end"] + 1, F.lit(1)).alias("edge")))
         out.append(F.transform(near, _proposal(k)))
     return F.concat(*out)
@@ -118,7 +121,7 @@ def _sentences(n: int, seed: int) -> list[tuple[str, int, int, int]]:
         return rnd.choice(["[.]".join(part), "(dot)".join(part), ":".join(f"{rnd.randrange(65536):x}" for _ in range(8))])
 
     def phone() -> str:
-        return rnd.choice([f"({num(3)}) {num(3)}-{num(4)}", f"{num(3)}-{num(3)}-{num(4)}", f"00{num(2)} {num(3)} {num(3)} {num(4)}", f"{num(3)}.{num(3)}.{num(4)}"])
+        return rnd.choice([f"({num(3)}) {num(3)}-{num(4)}", f"{num(3)}-{num(3)}-{num(4)}", f"00{num(2)} {num(3)} {num(3)} {num(4)}", f"{num(3)}.{num(3)}.{num(4)}", f"({num(3)}) {num(4)} {num(4)}"])
 
     told = {"email": ["email", "mail me:", "contact", "write to"], "ip": ["server", "ip", "host", "login from"], "card": ["card", "visa", "credit card number", "payment by"], "phone": ["call", "phone:", "tel.", "mobile", "fax"]}
     plain = [
@@ -126,6 +129,7 @@ def _sentences(n: int, seed: int) -> list[tuple[str, int, int, int]]:
         lambda: f"20{num(2)} {num(3)} {num(3)}", lambda: f"pages {num(3)}-{num(3)} {num(3)}", lambda: f"{num(2)} {num(3)} {num(4)}", lambda: f"{num(4)} {num(4)} {num(4)} {num(4)}",
         lambda: f"{num(4)}. {num(4)}. {num(4)}. {num(4)}", lambda: f"part {num(4)}/{num(4)}/{num(4)}/{num(3)}", lambda: f"{num(1)}. {num(1)}. {num(2)}. {num(1)}", lambda: f"version {num(1)} .{num(1)} .{num(2)} .{num(3)}",
         lambda: f"{num(4)}.{num(3)}.{num(3)}", lambda: f"at {num(2)}.{num(3)} {num(4)}", lambda: f"{word()} @ {word()} . {word()}", lambda: f"{num(2)}/{num(4)}{num(3)}",
+        lambda: ":".join(f"{rnd.randrange(256):02x}" for _ in range(8)),
     ]
     make = {"email": email, "ip": ip, "card": card, "phone": phone}
     out = []
@@ -134,11 +138,11 @@ def _sentences(n: int, seed: int) -> list[tuple[str, int, int, int]]:
         tail = " ".join(word() for _ in range(rnd.randint(1, 4)))
         if rnd.random() < 0.5:
             k = rnd.randrange(4)
-            if KINDS[k] in ("card", "email", "ip") and rnd.random() < 0.4:
+            value = make[KINDS[k]]()
+            if (KINDS[k] != "phone" or value[0] == "(") and rnd.random() < 0.4:
                 cue = ""
             else:
                 cue = rnd.choice(told[KINDS[k]]) + " "
-            value = make[KINDS[k]]()
             out.append((f"{head} {cue}{value} {tail}", k, len(head) + 1 + len(cue), len(head) + 1 + len(cue) + len(value)))
         else:
             out.append((f"{head} {rnd.choice(plain)()} {tail}", -1, 0, 0))

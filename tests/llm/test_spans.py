@@ -170,3 +170,23 @@ def test_a_text_of_many_numbers(spark):
     assert len(row.spans.base) == 1000 and len(row.spans.added) >= 1000
     (row,) = secrets.scan(frame(spark, ["token=abcdef99 Zx9Kq2LmP0vT7yUbN4wEr8Ts5Aq1 " * 1000])).collect()
     assert len(row.spans.base) == 1000 == len(row.spans.added)
+
+
+def test_added_pii_on_handwritten_text(spark):
+    """Sentences that don't come from the templates: most of the data is found, and little else."""
+    from .handwritten import SAMPLE
+
+    rows = {r.doc_id: r.spans.added for r in pii.scan(frame(spark, [t for t, _ in SAMPLE])).collect()}
+    found = [(i, t[s.start : s.end]) for i, (t, _) in enumerate(SAMPLE) for s in rows[i]]
+    want = [(i, w) for i, (_, some) in enumerate(SAMPLE) for w in some]
+    right = len(set(found) & set(want))
+    assert right >= 0.85 * len(want) and right >= 0.85 * len(found)
+
+
+def test_proposals_of_one_kind_overlap(spark):
+    text = "You can reach Marta at marta.klein (at) posteo (dot) de until Friday."
+    df = spark.createDataFrame([(text,)], "t string").select(F.explode(pii.candidates(F.col("t"), F.expr(pii.NONE))).alias("c")).where("c.kind = 0")
+    spans = sorted((r.c.start, r.c.end) for r in df.collect())
+    assert len(spans) == 2 and spans[1][0] < spans[0][1]
+    (added,) = pii.scan(frame(spark, [text])).first().spans.added
+    assert text[added.start : added.end] == "marta.klein (at) posteo (dot) de"
