@@ -29,6 +29,11 @@ def normal_line(line: Column) -> Column:
     return F.translate(F.trim(F.regexp_replace(line, SPACE, " ")), UPPER + DIGITS, LOWER + "0" * 10)
 
 
+def words_of(normal: Column) -> Column:
+    """How many words a normalised line has, one at least: they stand a blank apart."""
+    return F.char_length(normal) - F.char_length(F.translate(normal, " ", "")) + 1
+
+
 def repeated_words(ws: Column) -> Column:
     """How many words stand in a 3-word window that the array holds twice or more. Sorts the windows' hashes with their places."""
 
@@ -53,14 +58,13 @@ def features(docs: DataFrame) -> DataFrame:
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(WORD))
     out = docs.select(
         F.col("doc_id"), F.col("source").cast("string").alias("source"),
-        let(ws, lambda w: F.struct(F.size(w).cast("long").alias("n"), repeated_words(w).cast("long").alias("rep"))).alias("w"),
-        F.char_length(F.regexp_replace(text, SPACE, "")).cast("long").alias("word_chars"),
+        let(ws, lambda w: F.struct(F.size(w).cast("long").alias("n"), F.char_length(F.array_join(w, "")).cast("long").alias("chars"), repeated_words(w).cast("long").alias("rep"))).alias("w"),
         (F.char_length(text) - F.char_length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        let(lines, lambda x: F.struct((F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup"), F.transform(x, lambda y: F.struct(F.xxhash64(normal_line(y)).alias("h"), F.regexp_count(y, F.lit(WORD)).alias("n"))).alias("all"))).alias("l"),
+        let(lines, lambda x: F.struct((F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup"), F.transform(F.transform(x, normal_line), lambda y: F.struct(F.xxhash64(y).alias("h"), words_of(y).alias("n"))).alias("all"))).alias("l"),
         F.xxhash64(text).alias("text_hash"),
     )
     return out.select(
-        F.monotonically_increasing_id().alias("row_id"), "doc_id", "source", F.col("w.n").alias("n_words"), "word_chars", "n_symbols",
+        F.monotonically_increasing_id().alias("row_id"), "doc_id", "source", F.col("w.n").alias("n_words"), F.col("w.chars").alias("word_chars"), "n_symbols",
         F.col("l.dup").alias("n_dup_lines"), F.col("w.rep").alias("n_repeat_words"), "text_hash", F.col("l.all").alias("lines"),
     )
 
