@@ -172,7 +172,12 @@ def diff_strict(spark, sf):
     return strict(*_pair(spark, sf))
 
 
-@query("diff_schema", "SELECT * FROM (VALUES ('source', CAST(5 AS BIGINT), 'price'), ('target', CAST(5 AS BIGINT), 'o_totalprice')) v(db, n_columns, missing)")
+_LEFT = f"SELECT {', '.join(COLUMNS)} FROM orders"
+_RENAMED = f"SELECT * RENAME (o_totalprice AS price) FROM ({CHANGED}) c"
+
+
+@query("diff_schema", f"""WITH a AS (SELECT column_name AS c FROM (DESCRIBE {_LEFT})), b AS (SELECT column_name AS c FROM (DESCRIBE {_RENAMED}))
+ SELECT 'source' AS db, (SELECT CAST(count(*) AS BIGINT) FROM a) AS n_columns, (SELECT string_agg(c, ',' ORDER BY c) FROM b WHERE c NOT IN (SELECT c FROM a)) AS missing UNION ALL SELECT 'target', (SELECT CAST(count(*) AS BIGINT) FROM b), (SELECT string_agg(c, ',' ORDER BY c) FROM a WHERE c NOT IN (SELECT c FROM b))""")
 def diff_schema(spark, sf):
     left, right = _pair(spark, sf)
     return schema_diff({"source": left, "target": right.withColumnRenamed("o_totalprice", "price")}, spark)
@@ -200,7 +205,11 @@ def diff_categories(spark, sf):
     return field_diffs(*_pair(spark, sf), ["o_orderkey"], "strict").groupBy("category").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("diff_shape", "SELECT * FROM (VALUES ('o_custkey', 'bigint', 'string', 'type'), ('o_orderkey', 'bigint', 'bigint', 'same'), ('o_orderpriority', 'string', 'string', 'same'), ('o_orderstatus', 'string', CAST(NULL AS VARCHAR), 'missing'), ('o_totalprice', 'double', 'double', 'same'), ('state', CAST(NULL AS VARCHAR), 'string', 'extra')) v(field, source_type, target_type, result)")
+_TYPE = "CASE column_type WHEN 'VARCHAR' THEN 'string' ELSE lower(column_type) END"
+
+
+@query("diff_shape", f"""WITH a AS (SELECT lower(column_name) AS c, {_TYPE} AS t FROM (DESCRIBE {_LEFT})), b AS (SELECT lower(column_name) AS c, {_TYPE} AS t FROM (DESCRIBE SELECT * REPLACE (CAST(o_custkey AS VARCHAR) AS o_custkey) RENAME (o_orderstatus AS state) FROM ({CHANGED}) x))
+ SELECT coalesce(a.c, b.c) AS field, a.t AS source_type, b.t AS target_type, CASE WHEN b.c IS NULL THEN 'missing' WHEN a.c IS NULL THEN 'extra' WHEN a.t <> b.t THEN 'type' ELSE 'same' END AS result FROM a FULL JOIN b ON a.c = b.c""")
 def diff_shape(spark, sf):
     left, right = _pair(spark, sf)
     return shape_diff(left, right.withColumnRenamed("o_orderstatus", "state").withColumn("o_custkey", F.col("o_custkey").cast("string")), spark)
@@ -232,7 +241,10 @@ def verify_counts(spark, sf):
     return parts[0].unionByName(parts[1]).select("table_name", "source_rows", "target_rows", F.when(F.col("source_rows") == F.col("target_rows"), "PASS").otherwise("FAIL").alias("status"))
 
 
-@query("verify_structure", "SELECT true AS structure_match, false AS data_match, 'row_count,values' AS issues")
+_VERIFIED = f"v AS (SELECT (SELECT count(*) FROM orders) <> (SELECT count(*) FROM ({CHANGED}) c) AS n, EXISTS (SELECT 1 FROM {_JOIN} WHERE l.o_orderkey = r.o_orderkey AND (" + " OR ".join(f"l.{c} IS DISTINCT FROM r.{c}" for c in COLUMNS) + ")) AS d)"
+
+
+@query("verify_structure", f"WITH a AS (SELECT list(column_name) AS x FROM (DESCRIBE {_LEFT})), b AS (SELECT list(column_name) AS x FROM (DESCRIBE {CHANGED})), {_VERIFIED} SELECT a.x = b.x AS structure_match, NOT n AND NOT d AS data_match, concat_ws(',', CASE WHEN a.x <> b.x THEN 'columns' END, CASE WHEN n THEN 'row_count' END, CASE WHEN d THEN 'values' END) AS issues FROM a, b, v")
 def verify_structure(spark, sf):
     left, right = _pair(spark, sf)
     s = summary(left, right, ["o_orderkey"], "strict")

@@ -41,7 +41,8 @@ def catalog_tables(spark, sf):
     return describe(spark, sf, BUSINESS).drop("data_type")
 
 
-@query("validate_schema", "SELECT * FROM (VALUES ('customer', true, CAST(0 AS BIGINT)), ('inventory', false, CAST(2 AS BIGINT)), ('orders', true, CAST(0 AS BIGINT))) v(table_name, present, missing_columns)")
+@query("validate_schema", "WITH want(t, c) AS (VALUES " + ", ".join(f"('{t}', '{c}')" for t, cs in EXPECTED.items() for c in cs) + "), have AS (" + " UNION ALL ".join(f"SELECT '{t}' AS t, column_name AS c FROM (DESCRIBE {t})" for t in EXPECTED if t in TABLES)
+       + ") SELECT w.t AS table_name, count(h.c) > 0 AS present, CAST(count(*) FILTER (h.c IS NULL) AS BIGINT) AS missing_columns FROM want w LEFT JOIN have h ON h.t = w.t AND h.c = w.c GROUP BY w.t")
 def validate_schema(spark, sf):
     """Which expected tables and columns are there."""
     want = spark.createDataFrame([(t, c) for t, cs in EXPECTED.items() for c in cs], "table_name string, column_name string")
