@@ -49,7 +49,7 @@ class WordTokens:
     with the merges alone, the others by the whole tokenizer. Ids are put together by index, not word by word.
     """
 
-    def __init__(self, path: str, keep: int = 200_000):
+    def __init__(self, path: str, keep: int = 500_000):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
