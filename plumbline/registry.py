@@ -10,7 +10,16 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
-QUERIES: dict[str, Query] = {}
+class Once(dict):
+    """A name is registered once."""
+
+    def __setitem__(self, name: str, value) -> None:
+        if name in self:
+            raise ValueError(f"{name} is registered twice")
+        super().__setitem__(name, value)
+
+
+QUERIES: dict[str, Query] = Once()
 ORACLES: dict[str, str] = {}
 
 #: The business model over the driver's tables, in SQL that both engines read: a tier by balance, P as the cancelled status.

@@ -242,3 +242,11 @@ def test_diagnostics_pass_over_strings_and_comments(spark):
 
     df = spark.createDataFrame([(1, "SELECT 'FROM x JOIN y' AS t /* FROM z */ FROM [a b].c -- JOIN q\n"), (2, None), (3, "")], "id long, sql string")
     assert [(r.id, r.object, r.name, r.risk) for r in diagnostics.objects(df).collect()] == [(1, "table", "[A B].C", "MEDIUM")]
+
+
+def test_a_name_is_registered_once():
+    from plumbline.registry import Once
+
+    names = Once(a=1)
+    with pytest.raises(ValueError):
+        names["a"] = 2
