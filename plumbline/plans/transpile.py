@@ -510,8 +510,11 @@ class Transpiler:
             words = [x.upper if isinstance(x, Token) else "" for x in rest]
         if "INTO" in words and "FROM" in words and words.index("INTO") < words.index("FROM"):
             k = words.index("INTO")
-            into = self.token(rest[k + 1]).lstrip("#")
-            del rest[k : k + 2]
+            end = k + 2
+            while end + 1 < len(rest) and words[end] == ".":
+                end += 2
+            into = self.expression(rest[k + 1 : end]).lstrip("#")
+            del rest[k:end]
             self.done("select_into", "")
             words = [x.upper if isinstance(x, Token) else "" for x in rest]
         document = "FOR" in words and words.index("FOR") + 1 < len(words) and words[words.index("FOR") + 1] in ("JSON", "XML")

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import uuid
-
 from ..registry import ORACLES, QUERIES, query, views
+from ..storage import table_name
 from .transpile import to_tsql, transpile
 
 
@@ -71,8 +70,8 @@ tsql_query("rewrite_concat_ws", "SELECT n_nationkey, CONCAT_WS('-', n_name, NULL
 @query("rewrite_select_into", "SELECT c_mktsegment, count(*) AS n FROM customer WHERE c_acctbal > 0 GROUP BY c_mktsegment")
 def rewrite_select_into(spark, sf_dir):
     """SELECT ... INTO makes a table, which is then read."""
-    name = f"segments_{uuid.uuid4().hex[:12]}"
-    made = transpile(f"SELECT c_mktsegment, COUNT(*) AS n INTO #{name} FROM dbo.customer WHERE c_acctbal > 0 GROUP BY c_mktsegment")
+    name = table_name(spark, "segments")
+    made = transpile(f"SELECT c_mktsegment, COUNT(*) AS n INTO {name} FROM dbo.customer WHERE c_acctbal > 0 GROUP BY c_mktsegment")
     views(spark, sf_dir, "customer")
     spark.sql(made.sql)
     return spark.table(name)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from dataclasses import dataclass, field
 
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..plans.procedures import Procedure, parse, to_script
 from ..registry import query, run_sql, table, views
-from ..storage import new_path
+from ..storage import new_path, table_name
 from .queries import copy_table, union
 
 #: A model's types in Spark.
@@ -77,9 +76,8 @@ CUSTOMERS = Model("customers", [Field("id", "bigint", False), Field("code", "var
 ORDERS = Model("orders_made", [Field("id", "bigint", False), Field("customer_id", "bigint"), Field("status", "varchar(20)", True, "'PENDING'"), Field("total_amount", "numeric(12,2)")], ["id"], [], [("customer_id", "customers", "id")])
 
 
-def seed(spark: SparkSession, rows: dict[str, DataFrame], models: list[Model], tag: str) -> dict[str, str]:
-    """Makes the tables of models anew, with rows as they are, explicit ids included; gives their names. Those that others refer to come first, and go last."""
-    names = {m.name: f"{m.name}_{tag}" for m in models}
+def seed(spark: SparkSession, rows: dict[str, DataFrame], models: list[Model], names: dict[str, str]) -> None:
+    """Makes the tables of models anew under these names, with rows as they are, explicit ids included. Those that others refer to come first, and go last."""
     ordered = in_order(models)
     for m in reversed(ordered):
         spark.sql(f"DROP TABLE IF EXISTS {names[m.name]}")
@@ -88,20 +86,20 @@ def seed(spark: SparkSession, rows: dict[str, DataFrame], models: list[Model], t
         given = rows[m.name]
         columns = [F.col(f.name) if f.name in given.columns else F.expr(f.default or "NULL").alias(f.name) for f in m.fields]
         given.select(*[c.cast(spark_type(f.kind)).alias(f.name) for c, f in zip(columns, m.fields)]).write.insertInto(names[m.name])
-    return names
 
 
-def _seeded(spark, sf: str) -> dict[str, str]:
+def _seeded(spark, sf: str, names: dict[str, str]) -> None:
     customers = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.concat(F.lit("C"), "c_custkey").alias("code"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance"))
     orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("customer_id"), F.col("o_totalprice").alias("total_amount"))
-    return seed(spark, {"customers": customers, "orders_made": orders}, [ORDERS, CUSTOMERS], uuid.uuid4().hex[:12])
+    seed(spark, {"customers": customers, "orders_made": orders}, [ORDERS, CUSTOMERS], names)
 
 
 @query("seed_reset", "SELECT CAST(o.o_custkey % 10 AS BIGINT) AS bucket, 'PENDING' AS status, true AS is_active, CAST(count(*) AS BIGINT) AS orders, CAST(count(DISTINCT c_custkey) AS BIGINT) AS customers, CAST(sum(CAST(o_totalprice AS DECIMAL(12, 2))) AS DECIMAL(22, 2)) AS total FROM orders o JOIN customer ON o_custkey = c_custkey GROUP BY 1")
 def seed_reset(spark, sf):
     """Tables from models, filled with explicit ids and defaults, emptied, and filled again."""
-    _seeded(spark, sf)
-    names = _seeded(spark, sf)
+    names = {m.name: table_name(spark, m.name) for m in (ORDERS, CUSTOMERS)}
+    _seeded(spark, sf, names)
+    _seeded(spark, sf, names)
     joined = spark.table(names["orders_made"]).alias("o").join(spark.table(names["customers"]).alias("c"), F.col("o.customer_id") == F.col("c.id"))
     return joined.groupBy((F.col("customer_id") % 10).alias("bucket"), F.col("o.status").alias("status"), "is_active").agg(F.count(F.lit(1)).alias("orders"), F.count_distinct("customer_id").alias("customers"), F.sum("total_amount").alias("total"))
 
@@ -109,7 +107,7 @@ def seed_reset(spark, sf):
 @query("table_truncate", "SELECT 'before' AS moment, CAST(count(*) AS BIGINT) AS n FROM nation UNION ALL SELECT 'after', CAST(0 AS BIGINT) UNION ALL SELECT 'refilled', CAST(count(*) AS BIGINT) FROM nation WHERE n_nationkey > 20")
 def table_truncate(spark, sf):
     """TRUNCATE, and explicit keys put in afterwards as IDENTITY_INSERT allows."""
-    name = f"nation_{uuid.uuid4().hex[:12]}"
+    name = table_name(spark, "nation")
     table(spark, sf, "nation").write.format("parquet").saveAsTable(name)
     count = lambda moment: spark.table(name).agg(F.count(F.lit(1)).alias("n")).select(F.lit(moment).alias("moment"), "n").collect()
     seen = count("before")
@@ -126,7 +124,7 @@ def insert_exec(spark: SparkSession, target: str, procedure: Procedure, values:
 
 @query("insert_exec", "SELECT o_orderstatus AS status, CAST(count(*) AS BIGINT) AS n FROM orders WHERE o_totalprice > 100000 GROUP BY o_orderstatus UNION ALL SELECT o_orderstatus, CAST(count(*) AS BIGINT) FROM orders WHERE o_totalprice > 300000 GROUP BY o_orderstatus")
 def insert_exec_query(spark, sf):
-    name = f"report_{uuid.uuid4().hex[:12]}"
+    name = table_name(spark, "report")
     spark.sql(f"CREATE TABLE {name} (status STRING, n BIGINT) USING parquet")
     report = parse("CREATE PROCEDURE StatusReport @low FLOAT AS BEGIN SELECT o_orderstatus, COUNT(*) AS n FROM dbo.orders WHERE o_totalprice > @low GROUP BY o_orderstatus; END")
     views(spark, sf, "orders")
@@ -170,7 +168,7 @@ def migrate_copy(spark, sf):
 @query("select_into", "SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_acctbal < 0 OR c_mktsegment = 'BUILDING'")
 def select_into(spark, sf):
     """SELECT ... INTO: a new table from a query."""
-    name = f"chosen_{uuid.uuid4().hex[:12]}"
+    name = table_name(spark, "chosen")
     views(spark, sf, "customer")
     spark.sql(f"CREATE TABLE {name} USING parquet AS SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_acctbal < 0 OR c_mktsegment = 'BUILDING'")
     return spark.table(name)
@@ -179,7 +177,7 @@ def select_into(spark, sf):
 @query("insert_select", "SELECT region, CAST(count(*) AS BIGINT) AS customers, round(sum(credit_limit), 2) AS credit FROM cust GROUP BY region")
 def insert_select(spark, sf):
     """INSERT ... SELECT into a summary table that is there."""
-    name = f"summary_{uuid.uuid4().hex[:12]}"
+    name = table_name(spark, "summary")
     spark.sql(f"CREATE TABLE {name} (region STRING, customers BIGINT, credit DOUBLE) USING parquet")
     run_sql(spark, sf, "SELECT region, CAST(count(*) AS BIGINT) AS customers, round(sum(credit_limit), 2) AS credit FROM cust GROUP BY region").write.insertInto(name)
     return spark.table(name)

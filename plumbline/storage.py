@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -22,3 +23,11 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def table_name(spark: SparkSession, name: str) -> str:
+    """A name for a new table of a database of this application's own, whose tables are in the shared folder."""
+    database = "plumbline_" + re.sub(r"\W", "_", spark.sparkContext.applicationId)
+    if not spark.catalog.databaseExists(database):
+        spark.sql(f"CREATE DATABASE IF NOT EXISTS {database} LOCATION '{new_path(spark, 'database')}'")
+    return f"{database}.{name}_{uuid.uuid4().hex[:12]}"
