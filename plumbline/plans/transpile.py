@@ -39,6 +39,8 @@ class Result:
     output_into: str = ""
     #: counts the rows that an UPDATE, DELETE or MERGE hits
     hits: str = ""
+    #: counts what must not be there for the plan to be right: target rows of a MERGE that meet several source rows
+    check: str = ""
 
     @property
     def confidence(self) -> float:
@@ -390,7 +392,8 @@ class Transpiler:
         source, other = self.named(items[using + 1 : on])
         a, b, condition = self.token(alias), self.token(other), self.expression(items[on + 1 : first])
         self.done("merge", "")
-        self.result.warnings.append("MERGE fails in T-SQL where several source rows meet one target row; here the target row then stands several times")
+        self.result.warnings.append("MERGE fails in T-SQL where several source rows meet one target row: run check first, which counts such rows")
+        self.result.check = f"SELECT count(*) FROM (SELECT {a}._r FROM (SELECT *, monotonically_increasing_id() AS _r FROM {self.expression(table)}) {a} JOIN {self.expression(source)} {b} ON {condition} GROUP BY {a}._r HAVING count(*) > 1)"
         tail = items[first:]
         end = next((k for k, x in enumerate(tail) if isinstance(x, Token) and x.upper == "OUTPUT"), len(tail))
         given, tail = tail[end + 1 :], tail[:end]

@@ -14,6 +14,8 @@ def tsql_query(name: str, sql: str, oracle: str | None = None, output: bool = Fa
         made = transpile(sql)
         text = made.output if output else made.sql
         views(spark, sf_dir, text)
+        if made.check and spark.sql(made.check).first()[0]:
+            raise ValueError("MERGE: a row of the target meets several source rows")
         return spark.sql(text, args={p: parameters[p] for p in made.parameters} or None)
 
     QUERIES[name] = run

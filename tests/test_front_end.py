@@ -143,3 +143,28 @@ def test_to_tsql():
     assert to_tsql("SELECT 'LIMIT 5' AS \"x\" -- LIMIT 3") == "SELECT 'LIMIT 5' AS [x]"
     with pytest.raises(ValueError):
         to_tsql("SELECT a FROM t OFFSET 10")
+
+
+def test_merge_fails_where_source_rows_repeat(spark):
+    from plumbline.storage import table_name
+
+    t, s = table_name(spark, "t"), table_name(spark, "s")
+    spark.createDataFrame([(1, 10), (2, 20)], "k int, v int").write.saveAsTable(t)
+    merge = f"MERGE INTO {t} AS a USING {s} AS b ON a.k = b.k WHEN MATCHED THEN UPDATE SET a.v = b.w WHEN NOT MATCHED THEN INSERT (k, v) VALUES (b.k, b.w);"
+    body = f"DECLARE @m NVARCHAR(80) = 'fine'; BEGIN TRY {merge} END TRY BEGIN CATCH SET @m = ERROR_MESSAGE(); END CATCH SELECT @m AS m"
+    spark.createDataFrame([(1, 5), (3, 6), (3, 7)], "k int, w int").write.saveAsTable(s)
+    assert spark.sql(P.to_script(P.parse(body))).first().m == "fine"
+    assert sorted(map(tuple, spark.table(t).collect())) == [(1, 5), (2, 20), (3, 6), (3, 7)]
+    spark.createDataFrame([(1, 8)], "k int, w int").write.insertInto(s)
+    assert spark.sql(P.to_script(P.parse(body))).first().m.startswith("MERGE: a row of the target")
+    assert sorted(map(tuple, spark.table(t).collect())) == [(1, 5), (2, 20), (3, 6), (3, 7)]
+
+
+def test_columns_keep_their_order_and_types(spark):
+    from plumbline.storage import table_name
+
+    t = table_name(spark, "t")
+    spark.createDataFrame([(1, 10, "a"), (2, 20, "b")], "k int, v int, w string").write.saveAsTable(t)
+    spark.sql(P.to_script(P.parse(f"UPDATE {t} SET v = v * 2 WHERE k = 1; INSERT INTO {t} VALUES (3, 30, 'c'); DELETE FROM {t} WHERE k = 2")))
+    assert spark.table(t).dtypes == [("k", "int"), ("v", "int"), ("w", "string")]
+    assert sorted(map(tuple, spark.table(t).collect())) == [(1, 20, "a"), (3, 30, "c")]
