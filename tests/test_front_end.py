@@ -168,3 +168,16 @@ def test_columns_keep_their_order_and_types(spark):
     spark.sql(P.to_script(P.parse(f"UPDATE {t} SET v = v * 2 WHERE k = 1; INSERT INTO {t} VALUES (3, 30, 'c'); DELETE FROM {t} WHERE k = 2")))
     assert spark.table(t).dtypes == [("k", "int"), ("v", "int"), ("w", "string")]
     assert sorted(map(tuple, spark.table(t).collect())) == [(1, 20, "a"), (3, 30, "c")]
+
+
+@pytest.mark.parametrize("sql", ["SELECT a.k, t.v FROM ap_a a CROSS APPLY (SELECT TOP 1 b.v FROM ap_b b WHERE b.k = a.k ORDER BY b.d DESC, b.v) t", "SELECT a.k, (SELECT TOP (1) v FROM ap_b b WHERE b.k = a.k ORDER BY ISNULL(d, 0) DESC, v) AS v FROM ap_a a"])
+def test_correlated_top_keeps_its_order(spark, sql):
+    """Also where ORDER BY names what is not selected: the window that stands for the limit has the order, at any size."""
+    spark.range(40).selectExpr("id AS k").createOrReplaceTempView("ap_a")
+    spark.range(0, 4000, 1, 8).selectExpr("id % 40 AS k", "id AS v", "(id * 7919) % 997 AS d").createOrReplaceTempView("ap_b")
+    df = spark.sql(transpile(sql).sql)
+    best = {k: max((v for v in range(4000) if v % 40 == k), key=lambda v: (v * 7919 % 997, -v)) for k in range(40)}
+    assert {r.k: r.v for r in df.collect()} == best and df.columns == ["k", "v"]
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    windows = [x for x in plan.splitlines() if "Window [row_number()" in x]
+    assert windows and all("DESC" in x for x in windows)
