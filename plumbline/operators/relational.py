@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ..registry import exact_sum
 from ..registry import sql_query as q
 
 # --- projections, filters, predicates ---
@@ -74,7 +75,9 @@ q("unpivot", "SELECT l_orderkey, l_linenumber, measure, value FROM (SELECT l_ord
 q("agg_nested", "SELECT region, tier, round(avg(total_spent), 6) AS avg_spent FROM (SELECT c.customer_id, c.region, c.tier, coalesce(sum(o.amount), 0) AS total_spent FROM cust c JOIN ord o ON c.customer_id = o.customer_id WHERE o.status NOT IN ('P') GROUP BY c.customer_id, c.region, c.tier) s GROUP BY region, tier")
 
 # --- windows ---
-q("win_row_number", "SELECT customer_id, round(total_spent, 2) AS total_spent, CAST(row_number() OVER (PARTITION BY region ORDER BY total_spent DESC, customer_id) AS BIGINT) AS rank_no FROM (SELECT c.customer_id, c.region, sum(o.amount) AS total_spent FROM cust c JOIN ord o ON c.customer_id = o.customer_id GROUP BY c.customer_id, c.region) s")
+# rows whose sums are equal are ranked by the next key, not by how each sum was rounded
+q("win_row_number", f"SELECT customer_id, round(total_spent, 2) AS total_spent, CAST(row_number() OVER (PARTITION BY region ORDER BY total_spent DESC, customer_id) AS BIGINT) AS rank_no FROM (SELECT c.customer_id, c.region, {exact_sum('o.amount')} AS total_spent FROM cust c JOIN ord o ON c.customer_id = o.customer_id GROUP BY c.customer_id, c.region) s",
+  "SELECT customer_id, round(total_spent, 2) AS total_spent, CAST(row_number() OVER (PARTITION BY region ORDER BY total_spent DESC, customer_id) AS BIGINT) AS rank_no FROM (SELECT c.customer_id, c.region, sum(o.amount) AS total_spent FROM cust c JOIN ord o ON c.customer_id = o.customer_id GROUP BY c.customer_id, c.region) s")
 q("win_rank_dense", "SELECT product_id, category, CAST(rank() OVER (PARTITION BY category ORDER BY min_stock DESC) AS BIGINT) AS rk, CAST(dense_rank() OVER (PARTITION BY category ORDER BY min_stock DESC) AS BIGINT) AS drk FROM prod")
 q("win_ntile", "SELECT product_id, CAST(ntile(4) OVER (PARTITION BY category ORDER BY unit_price DESC, product_id) AS BIGINT) AS quartile FROM prod")
 q("win_lag_lead", "SELECT order_id, lag(amount, 1, 0D) OVER w AS prev_amount, lead(amount, 1, 0D) OVER w AS next_amount, round(amount - lag(amount, 1, 0D) OVER w, 2) AS change FROM ord WHERE status NOT IN ('P') WINDOW w AS (PARTITION BY customer_id ORDER BY order_date, order_id)",

@@ -48,6 +48,19 @@ def with_model(sql: str) -> str:
     return f"WITH {ctes}\n{sql}"
 
 
+def exact(x: str) -> str:
+    """SQL of a double as the decimal that it is written as; null where 18 digits before the point and 10 behind it do not hold it."""
+    return f"try_cast({x} AS DECIMAL(28,10))"
+
+
+def exact_sum(x: str) -> str:
+    """SQL of the sum of doubles, rounded once at its end, so that the order of rows does not change it.
+
+    A group with a value that exact() does not hold as it is has the plain sum.
+    """
+    return f"CASE WHEN bool_and(coalesce(CAST({exact(x)} AS DOUBLE) = {x}, {x} IS NULL)) THEN CAST(sum({exact(x)}) AS DOUBLE) ELSE sum({x}) END"
+
+
 def views(spark: SparkSession, sf_dir: str, sql: str) -> None:
     """Temporary views of the tables that sql names."""
     for name in TABLES:

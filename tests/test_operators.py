@@ -5,6 +5,7 @@ import itertools
 import pytest
 from pyspark.sql import functions as F
 
+from plumbline import catalogue
 from plumbline.functions import tsql
 from plumbline.operators import diff, dml, graph, order
 from plumbline.plans.reports import stock_query
@@ -250,3 +251,28 @@ def test_a_name_is_registered_once():
     names = Once(a=1)
     with pytest.raises(ValueError):
         names["a"] = 2
+
+
+def orders_of(spark, path, rows):
+    """The tables of sf0.001 in path, with orders of these customers and prices, in this order, in one file."""
+    import shutil
+
+    shutil.copytree("/root/testdata/sf0.001", path, dirs_exist_ok=True)
+    path.chmod(0o755)
+    (path / "orders.parquet").unlink()
+    spark.createDataFrame([(k, c, "O", p) for k, (c, p) in enumerate(rows)], "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double").selectExpr(
+        "*", "TIMESTAMP '1996-01-01 00:00:00' AS o_orderdate", "'5-LOW' AS o_orderpriority").coalesce(1).write.parquet(str(path / "orders.parquet"))
+    return str(path)
+
+
+def test_equal_sums_rank_by_the_next_key(spark, tmp_path):
+    """0.1 + 0.2 + 0.3 is not 0.3 + 0.2 + 0.1 in doubles: sums that are equal must not be ranked by their order of rows."""
+    nation = {r.c_custkey: r.c_nationkey for r in spark.read.parquet("/root/testdata/sf0.001/customer.parquet").collect()}
+    a, b = next((x, y) for x in sorted(nation) for y in sorted(nation) if x < y and nation[x] == nation[y])
+    for name, up, down in (("s", a, b), ("t", b, a)):
+        sf = orders_of(spark, tmp_path / name, [(up, 0.1), (up, 0.2), (up, 0.3), (down, 0.3), (down, 0.2), (down, 0.1)])
+        ranks = {r.customer_id: (r.total_spent, r.rank_no) for r in catalogue.QUERIES["win_row_number"](spark, sf).collect()}
+        assert ranks == {a: (0.6, 1), b: (0.6, 2)}
+    big = [(a, 1e300), (a, 0.1), (b, float("nan")), (b, 0.5)]  # no decimals hold these
+    ranks = {r.customer_id: (str(r.total_spent), r.rank_no) for r in catalogue.QUERIES["win_row_number"](spark, orders_of(spark, tmp_path / "u", big)).collect()}
+    assert ranks == {b: ("nan", 1), a: ("1e+300", 2)}
