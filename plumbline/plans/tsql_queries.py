@@ -7,11 +7,11 @@ from ..storage import table_name
 from .transpile import to_tsql, transpile
 
 
-def tsql_query(name: str, sql: str, oracle: str | None = None, output: bool = False, **parameters) -> None:
-    """Registers a statement; output: the rows of its OUTPUT clause instead of the table afterwards."""
+def tsql_query(name: str, sql: str, oracle: str | None = None, output: bool = False, exact: tuple[str, ...] = (), settled: bool = False, **parameters) -> None:
+    """Registers a statement; output: the rows of its OUTPUT clause instead of the table afterwards; exact, settled: see transpile."""
 
     def run(spark, sf_dir):
-        made = transpile(sql)
+        made = transpile(sql, exact, settled)
         text = made.output if output else made.sql
         views(spark, sf_dir, text)
         if made.check and spark.sql(made.check).first()[0]:
@@ -38,7 +38,7 @@ tsql_query("rewrite_format_convert", "SELECT o_orderkey, FORMAT(o_orderdate, 'yy
 tsql_query("rewrite_concat", "SELECT n_nationkey, CONCAT(n_name, N' - ', NULLIF(n_regionkey, 0)) AS shown, n_name + '!' AS loud, QUOTENAME(n_name) AS quoted, REPLICATE('x', 3) AS xs FROM nation", "SELECT n_nationkey, concat(n_name, ' - ', nullif(n_regionkey, 0)) AS shown, n_name || '!' AS loud, '[' || n_name || ']' AS quoted, 'xxx' AS xs FROM nation")
 tsql_query("rewrite_apply", "SELECT c.c_custkey, t.o_orderkey FROM customer c CROSS APPLY (SELECT TOP 1 o.o_orderkey FROM orders o WHERE o.o_custkey = c.c_custkey ORDER BY o.o_totalprice DESC, o.o_orderkey) t", "SELECT c.c_custkey, t.o_orderkey FROM customer c, LATERAL (SELECT o_orderkey FROM orders o WHERE o.o_custkey = c.c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 1) t")
 tsql_query("rewrite_rollup", "SELECT ISNULL(o_orderstatus, 'all') AS s, COUNT(*) AS n FROM orders GROUP BY o_orderstatus WITH ROLLUP", "SELECT coalesce(o_orderstatus, 'all') AS s, count(*) AS n FROM orders GROUP BY ROLLUP (o_orderstatus)")
-tsql_query("rewrite_cte", "WITH spend AS (SELECT o_custkey, SUM(o_totalprice) AS s FROM dbo.orders GROUP BY o_custkey), big AS (SELECT * FROM spend WHERE s > 2000000) SELECT TOP 10 b.o_custkey, CAST(b.s AS DECIMAL(18, 0)) AS s FROM big b ORDER BY b.s DESC", "SELECT o_custkey, CAST(sum(o_totalprice) AS DECIMAL(18, 0)) AS s FROM orders GROUP BY o_custkey HAVING sum(o_totalprice) > 2000000 ORDER BY sum(o_totalprice) DESC LIMIT 10")
+tsql_query("rewrite_cte", "WITH spend AS (SELECT o_custkey, SUM(o_totalprice) AS s FROM dbo.orders GROUP BY o_custkey), big AS (SELECT * FROM spend WHERE s > 2000000) SELECT TOP 10 b.o_custkey, CAST(b.s AS DECIMAL(18, 0)) AS s FROM big b ORDER BY b.s DESC", "SELECT o_custkey, CAST(sum(o_totalprice) AS DECIMAL(18, 0)) AS s FROM orders GROUP BY o_custkey HAVING sum(o_totalprice) > 2000000 ORDER BY sum(o_totalprice) DESC LIMIT 10", exact=("o_totalprice",), settled=True)
 tsql_query("rewrite_recursive", "WITH n AS (SELECT 1 AS i UNION ALL SELECT i + 1 FROM n WHERE i < 20) SELECT i FROM n OPTION (MAXRECURSION 100)", "SELECT CAST(range AS INT) AS i FROM range(1, 21)")
 tsql_query("rewrite_variables", "SELECT o_orderkey FROM orders WHERE o_orderstatus = @status AND o_totalprice > @low -- [not a name] 'nor a string", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O' AND o_totalprice > 400000", status="O", low=400000)
 tsql_query("rewrite_literals", "SELECT r_regionkey, 'TOP 5 [x] GETDATE() -- no' AS text FROM region /* ISNULL(a, b) */", "SELECT r_regionkey, 'TOP 5 [x] GETDATE() -- no' AS text FROM region")

@@ -276,3 +276,11 @@ def test_equal_sums_rank_by_the_next_key(spark, tmp_path):
     big = [(a, 1e300), (a, 0.1), (b, float("nan")), (b, 0.5)]  # no decimals hold these
     ranks = {r.customer_id: (str(r.total_spent), r.rank_no) for r in catalogue.QUERIES["win_row_number"](spark, orders_of(spark, tmp_path / "u", big)).collect()}
     assert ranks == {b: ("nan", 1), a: ("1e+300", 2)}
+
+
+def test_ties_at_a_limit_go_by_the_selected_columns(spark, tmp_path):
+    """Twelve equal sums of doubles whose rows come in different orders, ten places."""
+    prices = [1000000.1, 1000000.2, 1000000.3]
+    rows = [(c, p) for c in range(40, 28, -1) for p in (prices if c % 2 else prices[::-1])]
+    got = catalogue.QUERIES["rewrite_cte"](spark, orders_of(spark, tmp_path / "t", rows)).collect()
+    assert [(r.o_custkey, int(r.s)) for r in got] == [(c, 3000001) for c in range(29, 39)]
