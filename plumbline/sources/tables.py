@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.procedures import Procedure, parse, to_script
+from ..plans.procedures import Procedure, parse, rows_of
 from ..registry import query, run_sql, table, views
 from ..storage import new_path, table_name
 from .queries import copy_table, union
@@ -119,7 +119,8 @@ def table_truncate(spark, sf):
 
 def insert_exec(spark: SparkSession, target: str, procedure: Procedure, values: dict[str, str] | None = None) -> None:
     """INSERT ... EXEC: the procedure's result, written to the table by position."""
-    spark.sql(to_script(procedure, values)).write.insertInto(target)
+    with rows_of(spark, procedure, values) as rows:
+        rows.write.insertInto(target)
 
 
 @query("insert_exec", "SELECT o_orderstatus AS status, CAST(count(*) AS BIGINT) AS n FROM orders WHERE o_totalprice > 100000 GROUP BY o_orderstatus UNION ALL SELECT o_orderstatus, CAST(count(*) AS BIGINT) FROM orders WHERE o_totalprice > 300000 GROUP BY o_orderstatus")

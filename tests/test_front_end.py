@@ -181,3 +181,26 @@ def test_correlated_top_keeps_its_order(spark, sql):
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     windows = [x for x in plan.splitlines() if "Window [row_number()" in x]
     assert windows and all("DESC" in x for x in windows)
+
+
+def test_rows_of_a_procedure_stay_off_the_driver(spark):
+    """More rows than the driver may collect; the last SELECT counts, also after EXEC, in a loop or before RETURN."""
+    spark.range(0, 200_000, 1, 4).selectExpr("id AS k", "repeat(CAST(id AS STRING), 20) AS s").createOrReplaceTempView("many")
+    base = "CREATE PROCEDURE P @low BIGINT = 0 AS BEGIN SELECT 1 AS one; %s END"
+    bodies = {
+        "SELECT k, s, NULL AS nothing, COUNT(*) OVER (PARTITION BY k) FROM dbo.many WHERE k >= @low;": 200_000,
+        "DECLARE @i INT = 0; WHILE @i < 3 BEGIN SET @i = @i + 1; SELECT k, s FROM many WHERE k % 2 = 0 OR @i < 3; END RETURN 1; SELECT 2 AS two;": 100_000,
+        "BEGIN TRY SELECT k, s FROM many; SELECT k FROM no_such_table; END TRY BEGIN CATCH PRINT 'caught'; SELECT TOP 150000 k FROM many; END CATCH": 150_000,
+        "EXEC Inner;": 199_000,
+        "SELECT k FROM many; SELECT 'last' AS v": 1,
+    }
+    inner = {"Inner": P.parse("CREATE PROCEDURE Inner AS BEGIN SELECT k, s FROM many WHERE k >= 1000; END")}
+    tables = lambda: [t.name for d in spark.catalog.listDatabases() if d.name.startswith("plumbline_") for t in spark.catalog.listTables(d.name) if t.name.startswith("rows_")]
+    for body, n in bodies.items():
+        with P.rows_of(spark, P.parse(base % body), {"low": "0L"}, inner) as rows:
+            assert rows.count() == n
+            assert ("LocalRelation" in rows._jdf.queryExecution().analyzed().toString()) == (n == 1)
+        assert not tables()
+    want = spark.sql("SELECT k, s FROM many")
+    told = [tuple(P.validate(spark, P.parse(text), want).drop("error").first()) for text in ("SELECT k, s FROM many", "SELECT k, s FROM many WHERE k > 9", "SELECT k FROM many", "SELECT x FROM many")]
+    assert told == [("MATCH", True, 0, 0), ("DIFF", True, 10, 0), ("DIFF", False, None, None), ("ERROR", None, None, None)]
