@@ -24,7 +24,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (similarity 0.8 or more over 5-word shingles) stays."""
+    """One document of each group of near copies (similarity 0.8 or more over 5-word shingles) stays.
+
+    SimHash with pigeonring chains proposes, MinHash bands add what it misses, the shingle sets decide.
+    """
     importable(spark)
     return minhash.one_of_each(docs)
 

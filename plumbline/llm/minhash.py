@@ -1,13 +1,16 @@
-"""Near-duplicates by the Jaccard similarity of 5-word shingles: MinHash bands propose, the shingle sets decide.
+"""Near-duplicates by the Jaccard similarity of 5-word shingles: SimHash fingerprints propose, and MinHash bands beside them; the shingle sets decide.
 
-Pairs of similarity 0.8 differ in about 10 of a SimHash's 64 bits, and up to 16 or so. Chains that must be equal for
-16 bits hold 4 bits at most, and as keys select next to nothing; so this stage does not look for its candidates there.
+Pairs of similarity 0.8 differ in about 15 of 100 bits of a SimHash, too many for segments that must be equal. But a bit
+in which they differ is nearly always one whose majority is close, and a text knows which these are.
 
-1. Texts of equal lower-case words are one class. A class has 120 least hashes, as 20 bands of 6: a pair of similarity
-   0.8 meets in some band with probability 0.998, one of 0.5 with 0.27.
+1. Texts of equal lower-case words are one class. It has a SimHash of 128 bits in 8 segments of 16 (simhash.wide). Each
+   segment is a key in four variants, its two least certain bits taken either way; what meets by one is compared by the
+   pigeonring chains from that segment and the Hamming distance, 33 bits at most. In simulation a pair of similarity 0.8
+   is found with probability 0.975, one of 0.85 with 0.994, one of 0.9 with 0.999. For what is missed there, a class also has
+   120 least hashes, as 20 bands of 6: a pair of 0.8 meets in some band with probability 0.998, one of 0.5 with 0.27.
 2. Where classes meet by a band's key, sketches (two bits of each least hash) leave out pairs that are surely apart: one of
-   0.8 is left out with a probability under 0.00001. Each meeting sends a forest of its pairs, and components over all of
-   them are the groups; a class is in one group at most.
+   0.8 is left out with a probability under 0.00001. Each meeting, by segment or band, sends a forest of its pairs, and
+   components over all of them are the groups; a class is in one group at most.
 3. The texts of a group's members are sent to it, once, and their shingle sets are compared in full: no estimate
    decides. A group over ``chunk`` members is dealt into parts: all of them meet the first part, and what has not joined
    the largest component then meets every part. So a task holds two parts at most, and pairs that are already joined are
@@ -31,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import batches_of, dropped, field, numbered, saved
 from .components import components
-from .simhash import first_of_each, merged
+from .simhash import first_of_each, parted, wide, wide_links
 from .substring import ODD, WordHashes, scatter
 
 WORDS, LEAST = 5, 0.8
@@ -91,14 +94,18 @@ APART = BANDS * ROWS * (1 - LEAST) * 0.75 + 4.5 * (BANDS * ROWS * (1 - LEAST) *
 def _prints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     known = WordHashes()
     for batch in batches:
-        same, keys, sketch = [], [], []
+        same, keys, sketch, bits, low = [], [], [], [], []
         for text in batch["text"]:
             ws = lower_words(text)
             same.append(xxhash.xxh3_128_digest(b" ".join(ws)))
-            least = least_hashes(shingles(ws, known)) if ws else None
+            some = shingles(ws, known)
+            least = least_hashes(some) if ws else None
+            print_of = wide(some) if ws else (b"", b"")
+            bits.append(print_of[0])
+            low.append(print_of[1])
             keys.append(band_keys(least).tobytes() if ws else b"")
             sketch.append(sketch_of(least).tobytes() if ws else b"")
-        yield pd.DataFrame({"_at": batch["_at"], "same": same, "keys": keys, "sketch": sketch})
+        yield pd.DataFrame({"_at": batch["_at"], "same": same, "keys": keys, "sketch": sketch, "bits": bits, "low": low})
 
 
 def _bands(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -109,25 +116,7 @@ def _bands(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def near_sketches(key: np.ndarray, sketch: np.ndarray, small: int = 64) -> np.ndarray:
     """For each row the first row of its part: rows of one key that pairs of sketches within APART connect. Rows are by key."""
-    first = np.flatnonzero(np.r_[np.ones(min(1, len(key)), bool), key[1:] != key[:-1]])
-    size = np.diff(np.r_[first, len(key)])
-    root = np.arange(len(key))
-    n = np.repeat(size, size)
-    some = np.flatnonzero((n > 1) & (n <= small))
-    for d in range(1, int(size[size <= small].max(initial=1))):
-        at = some[some + d < len(key)]
-        at = at[key[at + d] == key[at]]
-        at = at[differing(sketch[at], sketch[at + d]) <= APART]
-        root = merged(root, at, at + d)
-    for lo, m in zip(first[size > small].tolist(), size[size > small].tolist()):
-        mine, part = sketch[lo : lo + m], np.arange(m)
-        for i in range(m - 1):
-            todo = np.flatnonzero(part[i + 1 :] != part[i]) + i + 1
-            near = todo[differing(mine[todo], mine[i]) <= APART]
-            for r in np.unique(part[near]):
-                part[part == max(r, part[i])] = min(r, part[i])
-        root[lo : lo + m] = part + lo
-    return root
+    return parted(key, lambda i, j: differing(sketch[i], sketch[j]) <= APART, small)
 
 
 def _near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -215,12 +204,14 @@ def near_labels(rows: DataFrame, chunk: int = 1000, batch: int = 1000) -> DataFr
 def _near_labels(rows: DataFrame, chunk: int) -> DataFrame:
     spark = rows.sparkSession
     least_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    prints = saved(rows.mapInPandas(_prints, "_at long, same binary, keys binary, sketch binary"), "near-prints")
-    classes = saved(prints.groupBy("same").agg(F.min(F.struct("_at", "keys", "sketch")).alias("x")).select("same", F.col("x._at").alias("id"), "x.keys", "x.sketch"), "near-classes")
+    prints = saved(rows.mapInPandas(_prints, "_at long, same binary, keys binary, sketch binary, bits binary, low binary"), "near-prints")
+    classes = saved(prints.groupBy("same").agg(F.min(F.struct("_at", "keys", "sketch", "bits", "low")).alias("x")).select("same", F.col("x._at").alias("id"), "x.keys", "x.sketch", "x.bits", "x.low"), "near-classes")
     # a partition is held whole: a million rows or so each
-    parts = max(least_parts, -(-classes.count() * BANDS // 1_000_000))
+    n_classes = classes.count()
+    parts = max(least_parts, -(-n_classes * BANDS // 1_000_000))
     bands = classes.select("id", "keys", "sketch").mapInPandas(_bands, "key long, id long, sketch binary").repartition(parts, "key")
-    groups = components(bands.mapInPandas(_near, "u long, v long"), "near-groups").withColumnRenamed("node", "id")
+    close = wide_links(classes, n_classes).unionByName(bands.mapInPandas(_near, "u long, v long"))
+    groups = components(close, "near-groups").withColumnRenamed("node", "id")
     size = groups.groupBy(F.col("root").alias("_r")).agg(F.ceil(F.count(F.lit(1)) / F.lit(float(chunk))).cast("int").alias("n"))
     members = saved(groups.join(size, F.col("root") == F.col("_r")).select("id", "root", "n", F.pmod(F.xxhash64("id"), "n").cast("int").alias("part")), "near-members")
     every = F.sequence(F.lit(0), F.col("n") - 1)

@@ -13,6 +13,9 @@ fingerprint, to the least of its part. With 25 bits as the key, 10 billion diffe
 instead: fingerprints equal outside a mask are within t bits, so a sort a mask finds every link with memory for one
 column. Components over the classes are Spark rounds (components.py).
 
+Texts that are less alike (the pipeline's near-dedup, minhash.py) have wider fingerprints: a segment is a key in variants, its
+least certain bits taken either way, and the chains from it prune as above.
+
 Cases. Null or empty text, or no word: fingerprint zero, linked like any other. Under n words: the whole sequence
 is the only shingle. Null doc_id: gets its fingerprint's component, or null when no id is in it. Repeated rows stay.
 Very long texts are hashed whole, in blocks of shingles. Empty table: no rows. Other columns are ignored, whatever their
@@ -22,7 +25,7 @@ names.
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -32,6 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import field, from_row, numbered, read, saved
 from .components import components
+from .substring import scatter
 
 BITS = 64
 SEED = 42
@@ -150,6 +154,106 @@ def linked(fp: np.ndarray, key: np.ndarray, start: np.ndarray, m: int, bound: in
     return fp[out], fp[root[out]]
 
 
+# --- similarity 0.8: wide fingerprints, keys that allow for their least certain bits ---
+WIDE, WIDTH, FLIPS = 128, 16, 2
+SEGMENTS = WIDE // WIDTH
+#: Of sets of similarity 0.8 a bit differs with probability 0.151; 3.3 standard deviations more, 3 pairs in 10,000 differ in more.
+FAR = 33
+QUOTAS = np.arange(1, SEGMENTS + 1) * FAR // SEGMENTS
+
+
+def wide(some: np.ndarray) -> tuple[bytes, bytes]:
+    """The SimHash of WIDE bits of a set of hashes, and the FLIPS bits of each segment whose majorities are closest."""
+    ones = np.zeros(WIDE, np.int64)
+    for at in range(0, len(some), 255):  # sums of up to 255 bits stay within a byte
+        part = some[at : at + 255]
+        both = np.stack([part, scatter(part ^ np.uint64(SEED))], axis=1)
+        ones += np.unpackbits(both.astype("<u8").view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
+    margin = np.abs(2 * ones - len(some)).reshape(SEGMENTS, WIDTH)
+    low = np.argsort(margin, axis=1, kind="stable")[:, :FLIPS].astype(np.uint8)
+    return np.packbits((2 * ones > len(some)).astype(np.uint8), bitorder="little").tobytes(), low.tobytes()
+
+
+def segment_keys(bits: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """Keys [row, segment and variant] of fingerprints [row, segment] whose bits low [row, segment, flip] are taken either way.
+
+    Two meet in a segment if all bits of it in which they differ are among the least certain of one of them.
+    """
+    masks = np.uint16(1) << low.astype(np.uint16)
+    chosen = (np.arange(2**FLIPS)[:, None] >> np.arange(FLIPS)) & 1
+    flips = np.bitwise_or.reduce(np.where(chosen.astype(bool), masks[:, :, None, :], np.uint16(0)), axis=3)
+    keys = (bits[:, :, None] ^ flips).astype(np.int32) | (np.arange(SEGMENTS, dtype=np.int32) << WIDTH)[:, None]
+    return keys.reshape(len(bits), SEGMENTS * 2**FLIPS)
+
+
+def within_far(bits: np.ndarray, start: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """Whether rows i and j of bits [row, segment] differ in FAR bits at most, and each chain from start [row] keeps within its share."""
+    words = bits.view(np.uint64)
+
+    def near(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        ok = np.bitwise_count(words[i] ^ words[j]).sum(axis=-1, dtype=np.int64) <= FAR
+        at = np.flatnonzero(ok)
+        if len(at):
+            i, j = (np.broadcast_to(x, ok.shape)[at] for x in (i, j))
+            per = np.bitwise_count(bits[i] ^ bits[j]).astype(np.int64)
+            ring = (start[i][:, None] + np.arange(SEGMENTS)) % SEGMENTS
+            ok[at] = (np.cumsum(np.take_along_axis(per, ring, axis=1), axis=1) <= QUOTAS).all(axis=1)
+        return ok
+
+    return near
+
+
+def parted(key: np.ndarray, near: Callable[[np.ndarray, np.ndarray], np.ndarray], small: int = 64) -> np.ndarray:
+    """For each row the first row of its part: rows of one key that pairs of near rows connect. Rows are by key."""
+    first = np.flatnonzero(np.r_[np.ones(min(1, len(key)), bool), key[1:] != key[:-1]])
+    size = np.diff(np.r_[first, len(key)])
+    root = np.arange(len(key))
+    n = np.repeat(size, size)
+    some = np.flatnonzero((n > 1) & (n <= small))
+    for d in range(1, int(size[size <= small].max(initial=1))):
+        at = some[some + d < len(key)]
+        at = some = at[key[at + d] == key[at]]  # who has no partner at this distance has none further on
+        at = at[near(at, at + d)]
+        root = merged(root, at, at + d)
+    for lo, m in zip(first[size > small].tolist(), size[size > small].tolist()):
+        part = np.arange(m)
+        for i in range(m - 1):
+            todo = np.flatnonzero(part[i + 1 :] != part[i]) + i + 1
+            close = todo[near(todo + lo, np.array(i + lo))]
+            for r in np.unique(part[close]):
+                part[part == max(r, part[i])] = min(r, part[i])
+        root[lo : lo + m] = part + lo
+    return root
+
+
+def _segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        some = batch[batch["bits"].str.len() > 0]
+        bits = np.frombuffer(b"".join(some["bits"]), np.uint16).reshape(-1, SEGMENTS)
+        keys = segment_keys(bits, np.frombuffer(b"".join(some["low"]), np.uint8).reshape(-1, SEGMENTS, FLIPS))
+        each, words = keys.shape[1], bits.view(np.int64)
+        yield pd.DataFrame({"key": keys.ravel(), "id": np.repeat(some["id"].to_numpy(), each), **{f"w{k}": np.repeat(words[:, k], each) for k in range(WIDE // 64)}})
+
+
+def _close(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    got = [b for b in batches if len(b)]
+    if got:
+        rows = pd.concat(got, ignore_index=True).sort_values(["key", "id"], kind="stable")
+        key, ids = rows["key"].to_numpy(), rows["id"].to_numpy()
+        bits = np.stack([rows[f"w{k}"].to_numpy() for k in range(WIDE // 64)], axis=1).view(np.uint16)
+        root = parted(key, within_far(bits, key >> WIDTH))
+        out = np.flatnonzero(root != np.arange(len(root)))
+        yield pd.DataFrame({"u": ids[out], "v": ids[root[out]]}).drop_duplicates()
+
+
+def wide_links(classes: DataFrame, rows: int) -> DataFrame:
+    """Edges (u, v) between so many rows of classes (id, bits, low), as of wide(), that are within FAR bits and pass the chains of a segment they share."""
+    keys = classes.select("id", "bits", "low").mapInPandas(_segments, "key int, id long, " + ", ".join(f"w{k} long" for k in range(WIDE // 64)))
+    # a partition is held whole: a million rows or so each
+    parts = max(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows * SEGMENTS * 2**FLIPS // 1_000_000))
+    return keys.repartition(parts, "key").mapInPandas(_close, "u long, v long")
+
+
 def _links(m: int, bound: int, dense: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         got = [(b["fp"].to_numpy().view(np.uint64), b["key"].to_numpy().view(np.uint64), b["start"].to_numpy()) for b in batches if len(b)]

@@ -705,3 +705,53 @@ def test_training_sample_is_bounded_in_all(spark):
     assert count(per_lang=10, per_doc=150, total=1000) == 120
     assert count(per_lang=10, per_doc=150, total=60) == 60
     assert count(per_lang=10, per_doc=150, total=5) == 5
+
+
+def planted_pairs(seed=11, n=300):
+    """Pairs of texts with 5-word Jaccard of 0.8 to 0.9, each unlike all others."""
+    rnd, out = random.Random(seed), []
+    while len(out) < n:
+        ws = [f"w{rnd.randrange(10**7)}" for _ in range(rnd.choice([120, 300, 600]))]
+        copy = list(ws)
+        for k in rnd.sample(range(len(ws)), max(1, len(ws) // rnd.choice([45, 60, 90]))):
+            copy[k] = f"x{rnd.randrange(10**7)}"
+        if 0.8 <= _jaccard(" ".join(ws), " ".join(copy)) <= 0.9:
+            out.append((" ".join(ws), " ".join(copy)))
+    return out
+
+
+def test_near_dedup_links_by_fingerprints(spark):
+    """Near copies are found by the SimHash alone: its edges, without what other keys add, join planted pairs and no others."""
+    from plumbline.llm import minhash
+
+    docs = [(2 * k + side, text) for k, pair in enumerate(planted_pairs()) for side, text in enumerate(pair)]
+    known = minhash.WordHashes()
+    prints = [simhash.wide(minhash.shingles(minhash.lower_words(t), known)) for _, t in docs]
+    classes = spark.createDataFrame([(i, *map(bytearray, p)) for (i, _), p in zip(docs, prints)] + [(10**6, bytearray(), bytearray())], "id long, bits binary, low binary")
+    edges = {(min(r.u, r.v), max(r.u, r.v)) for r in simhash.wide_links(classes, len(docs)).collect()}
+    assert all(u // 2 == v // 2 for u, v in edges) and len(edges) >= 0.95 * len(docs) / 2
+
+
+def test_near_dedup_stage_uses_fingerprints(spark, monkeypatch):
+    """The stage finds near copies where none of its other keys does."""
+    from plumbline.llm import minhash
+
+    docs = [(2 * k + side, text) for k, pair in enumerate(planted_pairs(12, 100)) for side, text in enumerate(pair)]
+    df = spark.createDataFrame(docs, "_at long, text string")
+    monkeypatch.setattr(minhash, "_near", lambda batches: (b.iloc[:0].rename(columns={"key": "u", "id": "v"})[["u", "v"]] for b in batches))
+    root = {r._at: r._root for r in minhash.near_labels(df).collect()}
+    assert sum(root[2 * k] == root[2 * k + 1] for k in range(100)) >= 93 and len(set(root.values())) >= 100
+
+
+def test_variants_of_segments():
+    rnd = np.random.default_rng(8)
+    bits, low = rnd.integers(0, 2**16, (5, simhash.SEGMENTS)).astype(np.uint16), np.tile(np.array([3, 14], np.uint8), (5, simhash.SEGMENTS, 1))
+    keys = simhash.segment_keys(bits, low)
+    for row in range(5):
+        want = {(s << 16) | (int(bits[row, s]) & ~(1 << 3) & ~(1 << 14) | a << 3 | b << 14) for s in range(simhash.SEGMENTS) for a in (0, 1) for b in (0, 1)}
+        assert set(keys[row].tolist()) == want
+    a, b = np.zeros(8, np.uint16), np.zeros(8, np.uint16)
+    b[0], b[1] = 0b1111, 0b11111  # 4 and 5 bits: the share of one segment is 4, of two 8
+    near = simhash.within_far(np.stack([a, b]), np.array([0, 0]))
+    assert near(np.array([0]), np.array([1])).tolist() == [False]
+    assert simhash.within_far(np.stack([a, b]), np.array([2, 2]))(np.array([0]), np.array([1])).tolist() == [True]
